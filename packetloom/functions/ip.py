@@ -1,9 +1,13 @@
-"""IP address expressions.  All JVM-side: no Python runs per row."""
+"""IP address expressions.
+
+Everything is string work inside the JVM.  IPv4, the hot path, is one or two
+pattern tests in generated code; IPv6 text is first spelled out as 32 hex digits.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
-from ipaddress import ip_network
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,22 +15,27 @@ from pyspark.sql import functions as F
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4_PATTERN = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 
-# IANA special-purpose ranges that count as private.
+# IANA special-purpose ranges that count as private, as patterns.
+# 0/8, 10/8, 127/8, 169.254/16, 172.16/12, 192.0.0/24 without .9 and .10,
+# 192.0.2/24, 192.168/16, 198.18/15, 198.51.100/24, 203.0.113/24, 240/4
 PRIVATE_V4 = (
-    "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12",
-    "192.0.0.0/24", "192.0.0.170/31", "192.0.2.0/24", "192.168.0.0/16",
-    "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4",
-    "255.255.255.255/32",
-)
-PRIVATE_V4_EXCEPT = ("192.0.0.9/32", "192.0.0.10/32")
+    r"^(?:0|10|127|24[0-9]|25[0-5])\.|^169\.254\.|^172\.(?:1[6-9]|2[0-9]|3[01])\.|"
+    r"^192\.0\.0\.(?!9$|10$)|^192\.0\.2\.|^192\.168\.|^198\.1[89]\.|^198\.51\.100\.|^203\.0\.113\.")
+
+# The same for IPv6 written as 32 hex digits: ::1, ::, 64:ff9b:1::/48, 100::/64,
+# 2001::/23 without its public holes, 2001:db8::/32, 2002::/16, fc00::/7, fe80::/10
 PRIVATE_V6 = (
-    "::1/128", "::/128", "::ffff:0:0/96", "64:ff9b:1::/48", "100::/64",
-    "2001::/23", "2001:db8::/32", "2002::/16", "3fff::/20", "fc00::/7", "fe80::/10",
-)
-PRIVATE_V6_EXCEPT = (
-    "2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48",
-    "2001:20::/28", "2001:30::/28",
-)
+    r"^0{31}[01]$|^0064ff9b0001|^01000{12}|"
+    r"^2001(?!00010{23}[12]$|0003|00040112|002|003)0[01]|"
+    r"^20010db8|^2002|^f[cd]|^fe[89ab]")
+
+_V6_SHAPE = "^(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}$"
+_TAIL = r"[0-9]+(?:\.[0-9]+){3}$"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def is_ipv4(ip: Column) -> Column:
@@ -46,117 +55,90 @@ def long_to_ipv4(value: Column) -> Column:
         F.shiftright(value, shift).bitwiseAND(255).cast("string") for shift in (24, 16, 8, 0)])
 
 
-def _in_v4(value: Column, ranges: tuple[str, ...]) -> Column:
-    tests = []
-    for text in ranges:
-        net = ip_network(text)
-        tests.append(value.between(int(net.network_address), int(net.broadcast_address)))
-    return reduce(lambda a, b: a | b, tests)
+def _hex_from_groups(text: Column) -> Column:
+    """32 hex digits of lower-case IPv6 text without an IPv4 tail, else null."""
+    edge = F.when(text.startswith("::"), 1).otherwise(0) + F.when(text.endswith("::"), 1).otherwise(0)
+    colons = F.length(text) - F.length(F.replace(text, F.lit(":"), F.lit("")))
+
+    def spell_zeros(missing: Column) -> Column:
+        filled = F.replace(text, F.lit("::"), F.concat(F.repeat(F.lit(":0"), missing), F.lit(":")))
+        filled = F.regexp_replace(filled, F.when(text.startswith("::"), "^:").otherwise("^(?!)"), F.lit(""))
+        filled = F.regexp_replace(filled, F.when(text.endswith("::"), ":$").otherwise("^(?!)"), F.lit(""))
+        return F.when((missing >= 1) & ~text.rlike("::.*::|:::"), filled)
+
+    full = F.when(text.contains("::"), _let(8 - (colons - edge), spell_zeros)).otherwise(text)
+    return _let(full, lambda spelled: F.when(spelled.rlike(_V6_SHAPE), _let(
+        F.split(spelled, ":"), lambda parts: F.concat(*[F.lpad(parts[i], 4, "0") for i in range(8)]))))
+
+
+def _v4_tail_to_groups(text: Column) -> Column:
+    return F.when(text.contains("."), _let(
+        F.lpad(F.lower(F.hex(ipv4_to_long(F.regexp_extract(text, f"({_TAIL})", 1)))), 8, "0"),
+        lambda digits: F.concat(F.regexp_replace(text, _TAIL, ""), F.substring(digits, 1, 4),
+                                F.lit(":"), F.substring(digits, 5, 4)))).otherwise(text)
 
 
 def ipv6_to_hex(ip: Column) -> Column:
     """An IPv6 literal as 32 hex digits, null when it is not one."""
     text = F.lower(F.regexp_replace(ip, r"%[^%]+$", ""))
-    tail = F.regexp_extract(text, r"([0-9]+(?:\.[0-9]+){3})$", 1)
-    tail_value = ipv4_to_long(tail)
-    tail_hex = F.lpad(F.lower(F.hex(tail_value)), 8, "0")
-    has_tail = text.contains(".")
-    text = F.when(
-        has_tail,
-        F.concat(F.regexp_replace(text, r"[0-9]+(?:\.[0-9]+){3}$", ""),
-                 F.substring(tail_hex, 1, 4), F.lit(":"), F.substring(tail_hex, 5, 4)),
-    ).otherwise(text)
-    squeezed = text.contains("::")
-    sides = F.split(text, "::")
-    left = F.filter(F.split(sides[0], ":"), lambda g: g != "")
-    right = F.when(F.size(sides) > 1, F.filter(F.split(sides[1], ":"), lambda g: g != "")) \
-        .otherwise(F.array().cast("array<string>"))
-    known = F.size(left) + F.size(right)
-    groups = F.when(
-        squeezed,
-        F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - known)), right),
-    ).otherwise(F.split(text, ":"))
-    shape = (
-        text.rlike(r"^[0-9a-f:]+$") & (F.size(groups) == 8)
-        & F.when(squeezed, (F.size(sides) == 2) & (known <= 7)
-                 & ~text.contains(":::") & ~text.rlike(r"^:[^:]|[^:]:$")).otherwise(True)
-        & F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-    )
-    return F.when(
-        ip.contains(":") & F.when(has_tail, tail_value.isNotNull()).otherwise(True)
-        & F.coalesce(shape, F.lit(False)),
-        F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ""))
-
-
-def _in_v6(digits: Column, ranges: tuple[str, ...]) -> Column:
-    # equal-length lower-case hex compares like the number it spells
-    tests = []
-    for text in ranges:
-        net = ip_network(text)
-        tests.append(digits.between(f"{int(net.network_address):032x}",
-                                    f"{int(net.broadcast_address):032x}"))
-    return reduce(lambda a, b: a | b, tests)
-
-
-def _v4_mapped(digits: Column) -> Column:
-    """The IPv4 value inside ``::ffff:a.b.c.d``, else null."""
-    return F.when(F.substring(digits, 1, 24) == "0" * 20 + "ffff",
-                  F.conv(F.substring(digits, 25, 8), 16, 10).cast("long"))
+    return F.when(ip.contains(":"), _let(_let(text, _v4_tail_to_groups), _hex_from_groups))
 
 
-def is_valid_ip(ip: Column) -> Column:
-    return is_ipv4(ip) | F.coalesce(ipv6_to_hex(ip).isNotNull(), F.lit(False))
+def _is_mapped(digits: Column) -> Column:
+    return digits.startswith("0" * 20 + "ffff")
 
 
-def _private_v4(value: Column) -> Column:
-    return _in_v4(value, PRIVATE_V4) & ~_in_v4(value, PRIVATE_V4_EXCEPT)
+def _mapped_v4(digits: Column) -> Column:
+    """The IPv4 text inside ``::ffff:a.b.c.d`` given as hex digits."""
+    return long_to_ipv4(F.conv(F.substring(digits, 25, 8), 16, 10).cast("long"))
 
 
-def _private_v6(digits: Column) -> Column:
-    mapped = _v4_mapped(digits)
-    return F.when(mapped.isNotNull(), _private_v4(mapped)).otherwise(
-        _in_v6(digits, PRIVATE_V6) & ~_in_v6(digits, PRIVATE_V6_EXCEPT))
+def is_valid_ip(ip: Column) -> Column:
+    return is_ipv4(ip) | F.coalesce(ipv6_to_hex(ip).isNotNull(), F.lit(False))
+
+
+def _private_hex(digits: Column) -> Column:
+    return F.coalesce(F.when(_is_mapped(digits), _mapped_v4(digits).rlike(PRIVATE_V4))
+                      .otherwise(digits.rlike(PRIVATE_V6)), F.lit(False))
 
 
 def is_private_ip(ip: Column) -> Column:
     """Private or loopback; null and malformed text give false."""
-    return F.when(is_ipv4(ip), _private_v4(ipv4_to_long(ip))) \
-        .when(ip.contains(":"), F.coalesce(_private_v6(ipv6_to_hex(ip)), F.lit(False))) \
+    return F.when(is_ipv4(ip), ip.rlike(PRIVATE_V4)) \
+        .when(ip.contains(":"), _let(ipv6_to_hex(ip), _private_hex)) \
         .otherwise(F.lit(False))
 
 
+def _v4_class(ip: Column) -> Column:
+    return F.when(ip.startswith("127."), "loopback") \
+        .when(ip.rlike(r"^(?:22[4-9]|23[0-9])\."), "multicast") \
+        .when(ip.startswith("169.254."), "link_local") \
+        .when(ip == "0.0.0.0", "unspecified") \
+        .when(ip.rlike(PRIVATE_V4), "private") \
+        .otherwise("public")
+
+
+def _v6_class(digits: Column) -> Column:
+    return F.when(digits.isNull(), "unknown") \
+        .when(digits.startswith("0" * 20 + "ffff7f"), "loopback") \
+        .when(_is_mapped(digits), F.when(_private_hex(digits), "private").otherwise("public")) \
+        .when(digits.rlike("^0{31}1$"), "loopback") \
+        .when(digits.startswith("ff"), "multicast") \
+        .when(digits.rlike("^fe[89ab]"), "link_local") \
+        .when(digits.rlike("^0{32}$"), "unspecified") \
+        .when(digits.rlike(PRIVATE_V6), "private") \
+        .otherwise("public")
+
+
 def classify_ip(ip: Column) -> Column:
     """loopback, multicast, link_local, unspecified, private, public or unknown."""
-    v4 = ipv4_to_long(ip)
-    v6 = ipv6_to_hex(ip)
-    mapped = _v4_mapped(v6)
-
-    def v4_class(value: Column) -> Column:
-        return F.when(_in_v4(value, ("127.0.0.0/8",)), "loopback") \
-            .when(_in_v4(value, ("224.0.0.0/4",)), "multicast") \
-            .when(_in_v4(value, ("169.254.0.0/16",)), "link_local") \
-            .when(value == 0, "unspecified") \
-            .when(_private_v4(value), "private") \
-            .otherwise("public")
-
-    return F.when(is_ipv4(ip), v4_class(v4)) \
-        .when(~F.coalesce(ip.contains(":"), F.lit(False)) | v6.isNull(), "unknown") \
-        .when(mapped.isNotNull(), v4_class(mapped)) \
-        .when(_in_v6(v6, ("::1/128",)), "loopback") \
-        .when(_in_v6(v6, ("ff00::/8",)), "multicast") \
-        .when(_in_v6(v6, ("fe80::/10",)), "link_local") \
-        .when(_in_v6(v6, ("::/128",)), "unspecified") \
-        .when(_private_v6(v6), "private") \
-        .otherwise("public")
+    return F.when(is_ipv4(ip), _v4_class(ip)) \
+        .when(ip.contains(":"), _let(ipv6_to_hex(ip), _v6_class)) \
+        .otherwise(F.lit("unknown"))
 
 
 def extract_subnet(ip: Column, prefix_len: int = 24) -> Column:
-    """Network of ``ip/prefix_len`` as CIDR text; null for malformed text.
-
-    An IPv6 prefix that is not a multiple of four bits falls inside a hex digit
-    and is masked there.  The IPv6 text has all groups written out in short
-    form, with the first longest run of zero groups squeezed.
-    """
+    """Network of ``ip/prefix_len`` as CIDR text; null for malformed text or prefix."""
     v4 = F.lit(None).cast("string")
     if 0 <= prefix_len <= 32:
         mask = (0xFFFFFFFF << (32 - prefix_len)) & 0xFFFFFFFF
@@ -164,30 +146,35 @@ def extract_subnet(ip: Column, prefix_len: int = 24) -> Column:
                       F.lit(f"/{prefix_len}"))
     v6 = F.lit(None).cast("string")
     if 0 <= prefix_len <= 128:
-        digits = ipv6_to_hex(ip)
-        whole, part = divmod(prefix_len, 4)
-        pieces = [F.substring(digits, 1, whole)] if whole else []
-        if part:
-            nibble_mask = (0xF << (4 - part)) & 0xF
-            pieces.append(F.lower(F.hex(
-                F.conv(F.substring(digits, whole + 1, 1), 16, 10).cast("long")
-                .bitwiseAND(F.lit(nibble_mask).cast("long")))))
-        head = F.concat(*pieces) if pieces else F.lit("")
-        v6 = F.when(digits.isNotNull(),
-                    F.concat(hex_to_ipv6(F.rpad(head, 32, "0")), F.lit(f"/{prefix_len}")))
+        v6 = _let(ipv6_to_hex(ip), lambda digits: F.when(digits.isNotNull(), F.concat(
+            _let(_masked(digits, prefix_len), hex_to_ipv6), F.lit(f"/{prefix_len}"))))
     return F.when(is_ipv4(ip), v4).when(ip.contains(":"), v6)
 
 
+def _masked(digits: Column, prefix_len: int) -> Column:
+    """Hex digits with everything after the first ``prefix_len`` bits zero."""
+    whole, part = divmod(prefix_len, 4)
+    pieces = [F.substring(digits, 1, whole)] if whole else []
+    if part:
+        mask = (0xF << (4 - part)) & 0xF
+        nibble = F.conv(F.substring(digits, whole + 1, 1), 16, 10).cast("long")
+        pieces.append(F.lower(F.hex(nibble.bitwiseAND(F.lit(mask).cast("long")))))
+    head = F.concat(*pieces) if pieces else F.lit("")
+    return F.rpad(head, 32, "0")
+
+
 def hex_to_ipv6(digits: Column) -> Column:
     """Compressed text of 32 hex digits: the first longest run of zero groups is squeezed."""
-    groups = F.transform(
-        F.sequence(F.lit(0), F.lit(7)),
-        lambda i: F.regexp_replace(F.substring(digits, i * 4 + 1, F.lit(4)), "^0{1,3}", ""))
-    full = F.concat(F.lit(":"), F.array_join(groups, ":"), F.lit(":"))
-    result = full
-    for run in range(2, 9):
-        zeros = ":" + "0:" * run
-        squeezed = F.concat(F.substring_index(full, zeros, 1), F.lit("::"),
-                            F.substring(full, F.instr(full, zeros) + len(zeros), F.lit(64)))
-        result = F.when(full.contains(zeros), squeezed).otherwise(result)
-    return F.regexp_replace(F.regexp_replace(result, "^:(?!:)", ""), "(?<!:):$", "")
+    groups = [F.regexp_replace(F.substring(digits, 4 * i + 1, 4), "^0{1,3}", "") for i in range(8)]
+    full = F.concat(F.lit(":"), F.concat_ws(":", *groups), F.lit(":"))
+
+    def squeeze(text: Column) -> Column:
+        result = text
+        for run in range(2, 9):
+            zeros = ":" + "0:" * run
+            squeezed = F.concat(F.substring_index(text, zeros, 1), F.lit("::"),
+                                F.substring(text, F.instr(text, zeros) + len(zeros), F.lit(64)))
+            result = F.when(text.contains(zeros), squeezed).otherwise(result)
+        return F.regexp_replace(F.regexp_replace(result, "^:(?!:)", ""), "(?<!:):$", "")
+
+    return _let(full, squeeze)

@@ -101,12 +101,12 @@ def _(spark, d):
 
 
 @register("b8_browser_page", over("p", f"""
-    WITH f AS (SELECT * FROM p WHERE regexp_matches(src_ip, '(?i)168\\.1\\.1') AND regexp_matches(dst_ip, '(?i)0\\.1$')
+    WITH f AS (SELECT * FROM p WHERE regexp_matches(src_ip, '(?i)168\\.1\\.1') AND regexp_matches(dst_ip, '(?i)0\\.1')
                AND protocol = 'TCP' AND packet_length BETWEEN 100 AND 900)
     SELECT {SHORT_SQL}, (SELECT count(*) FROM f) AS total FROM f
     ORDER BY timestamp DESC, packet_number DESC LIMIT 15 OFFSET 15"""))
 def _(spark, d):
-    page, total = browse.packets_page(P(spark, d), 2, 15, src_ip=r"168\.1\.1", dst_ip=r"0\.1$",
+    page, total = browse.packets_page(P(spark, d), 2, 15, src_ip=r"168\.1\.1", dst_ip=r"0\.1",
                                       protocol="TCP", min_length=100, max_length=900)
     return page.select(*SHORT).crossJoin(F.broadcast(total))
 
@@ -576,7 +576,7 @@ def _(spark, d):
     return protocols.protocol_baseline(P(spark, d))
 
 
-@register("f8_protocol_drift", over("p", """WITH cur AS (SELECT * FROM p WHERE dst_ip = '10.0.0.1'), base AS (SELECT * FROM p WHERE src_ip <> '192.168.1.8'),
+@register("f8_protocol_drift", over("p", """WITH cur AS (SELECT * FROM p WHERE src_ip IN ('192.168.1.8', '192.168.1.9')), base AS (SELECT * FROM p WHERE src_ip <> '192.168.1.8'),
     c AS (SELECT protocol, round(count(*)::DOUBLE / (SELECT count(*) FROM cur) * 100, 2) AS percentage FROM cur GROUP BY 1),
     e AS (SELECT protocol, round(count(*)::DOUBLE / (SELECT count(*) FROM base) * 100, 2) AS percentage FROM base GROUP BY 1)
     SELECT c.protocol, c.percentage, coalesce(e.percentage, 0.0)::DOUBLE AS baseline_pct, round(abs(c.percentage - coalesce(e.percentage, 0)), 2) AS delta_pct,
@@ -585,4 +585,4 @@ def _(spark, d):
 def _(spark, d):
     packets = P(spark, d)
     baseline = protocols.protocol_baseline(packets.filter("src_ip <> '192.168.1.8'"))
-    return protocols.protocol_drift(packets.filter("dst_ip = '10.0.0.1'"), baseline)
+    return protocols.protocol_drift(packets.filter("src_ip IN ('192.168.1.8', '192.168.1.9')"), baseline)
