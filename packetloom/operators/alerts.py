@@ -26,13 +26,15 @@ def severity_rank(severity: Column) -> Column:
     return rank
 
 
-def _literal_rows(df: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
-    return df.sparkSession.createDataFrame([(v,) for v in values], f"{column} string")
+def literal_rows(df: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
+    """A small fixed list as rows, made in the JVM."""
+    return df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(v) for v in values])).alias(column))
 
 
 # ---- cooldown ------------------------------------------------------------------
 
 _CHUNK_WINDOWS = 16
+_CHUNK_SECONDS = 7 * 86_400
 
 
 def cooldown(alerts: DataFrame, window_seconds: float, tiebreak: str = "alert_id") -> DataFrame:
@@ -47,7 +49,7 @@ def cooldown(alerts: DataFrame, window_seconds: float, tiebreak: str = "alert_id
     if window_seconds <= 0:
         return alerts
     window = int(window_seconds * 1_000_000)
-    span = window * _CHUNK_WINDOWS
+    span = max(window * _CHUNK_WINDOWS, _CHUNK_SECONDS * 1_000_000)
     keyed = alerts.withColumns({"_t": F.unix_micros("timestamp"),
                                 **{f"_{k}": F.coalesce(F.col(k), F.lit("")) for k in KEY}})
     keys = [f"_{k}" for k in KEY]
@@ -59,13 +61,10 @@ def cooldown(alerts: DataFrame, window_seconds: float, tiebreak: str = "alert_id
     def summarise(group: pd.DataFrame) -> pd.DataFrame:
         t = np.sort(group["_t"].to_numpy(np.int64))
         follow = np.searchsorted(t, t + window)
-        last = np.arange(len(t))
-        while True:
-            step = follow[last]
-            moving = step < len(t)
-            if not moving.any():
-                break
-            last = np.where(moving, np.minimum(step, len(t) - 1), last)
+        # pointer doubling: the last alert reached from each possible entry
+        last = np.where(follow < len(t), np.minimum(follow, len(t) - 1), np.arange(len(t)))
+        while not np.array_equal(further := last[last], last):
+            last = further
         chunk = int(group["_chunk"].iloc[0])
         reach = int(np.searchsorted(t, chunk * span + window))
         use = min(reach + 1, len(t))
@@ -117,7 +116,9 @@ def highest_severity(alerts: DataFrame) -> DataFrame:
 
 def detector_yield(alerts: DataFrame, detectors: list[tuple[str, int, bool]]) -> DataFrame:
     """(detector_name, priority, enabled, alert_count) for every detector, found or not."""
-    listed = alerts.sparkSession.createDataFrame(detectors, "detector_name string, priority int, enabled boolean")
+    listed = alerts.sparkSession.range(1).select(F.inline(F.array(*[F.struct(
+        F.lit(name).alias("detector_name"), F.lit(priority).alias("priority"), F.lit(enabled).alias("enabled"))
+        for name, priority, enabled in detectors])))
     counts = alerts.groupBy("detector_name").agg(F.count(F.lit(1)).alias("n"))
     return F.broadcast(listed).join(counts, "detector_name", "left").select(
         "detector_name", "priority", "enabled", F.coalesce("n", F.lit(0)).alias("alert_count"))
@@ -143,7 +144,7 @@ def attack_family(attack_type: Column) -> Column:
 
 def _counts_with_zeros(alerts: DataFrame, label: Column, column: str, values: tuple[str, ...]) -> DataFrame:
     counts = alerts.groupBy(label.alias(column)).agg(F.count(F.lit(1)).alias("n"))
-    return _literal_rows(alerts, column, values).join(counts, column, "left").select(
+    return literal_rows(alerts, column, values).join(counts, column, "left").select(
         column, F.coalesce("n", F.lit(0)).alias("alerts"))
 
 

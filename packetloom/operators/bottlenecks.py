@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetloom.operators.alerts import severity_rank
+from packetloom.operators.alerts import literal_rows, severity_rank
 from packetloom.operators.profile import NetworkProfile
 from packetloom.schemas import SEVERITIES
 
@@ -191,7 +191,7 @@ def filter_events(events: DataFrame, severity: str | None = None, check: str | N
 
 def severity_counts(events: DataFrame) -> DataFrame:
     """All four severities, zero counts kept."""
-    levels = events.sparkSession.createDataFrame([(s,) for s in SEVERITIES], "severity string")
+    levels = literal_rows(events, "severity", SEVERITIES)
     counts = events.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
     return levels.join(counts, "severity", "left").select("severity", F.coalesce("n", F.lit(0)).alias("events"))
 

@@ -42,7 +42,7 @@ _ALERT_COLUMNS = """
        ELSE 'BruteForce-HTTP' END AS attack_type,
   CASE WHEN event_id % 101 = 5 THEN 'CRITICAL' WHEN event_id % 13 = 4 THEN 'HIGH' WHEN event_id % 3 = 1 THEN 'MEDIUM'
        WHEN event_id % 17 = 2 THEN 'info' ELSE 'LOW' END AS severity,
-  cast((event_id * 37) % 1000 AS double) / 1000 AS confidence,
+  cast((event_id * 37) % 983 AS double) / 1000 AS confidence,
   CASE WHEN event_id % 9 = 0 THEN 'MULTIPLE' WHEN event_id % 23 = 0 THEN '' WHEN event_id % 4 <> 0 THEN '192.168.1.8'
        ELSE concat('192.168.1.', cast(user_id % 50 + 1 AS {text})) END AS source_ip,
   CASE WHEN event_id % 7 = 0 THEN 'UNKNOWN'

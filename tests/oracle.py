@@ -30,6 +30,9 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+inexact = 0
+
+
 def canonical(value):
     if value is None:
         return None
@@ -55,12 +58,15 @@ def compare(spark_rows, spark_cols, duck_rows, duck_cols) -> str | None:
     if len(spark_rows) != len(duck_rows):
         return f"rows {len(spark_rows)} vs {len(duck_rows)}"
     order = sorted(spark_cols)
+    global inexact
+    inexact = 0
     left = sorted([[canonical(r[spark_cols.index(c)]) for c in order] for r in spark_rows], key=_key)
     right = sorted([[canonical(r[duck_cols.index(c)]) for c in order] for r in duck_rows], key=_key)
     for a, b in zip(left, right):
         for c, x, y in zip(order, a, b):
             same = x == y or (isinstance(x, float) and isinstance(y, float)
                               and math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9))
+            inexact += same and x != y
             if not same:
                 return f"{c}: {x!r} vs {y!r} in {dict(zip(order, a))}"
     return None
@@ -93,6 +99,7 @@ def main() -> int:
                 result = con.execute(item.sql)
                 cols = [d[0] for d in result.description]
                 problem = compare(rows, df.columns, result.fetchall(), cols)
+                note += f" ~{inexact} values differ in the last digits" if inexact else ""
             else:
                 problem, note = None, note + " (no sql)"
             if not rows:
