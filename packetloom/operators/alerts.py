@@ -37,25 +37,48 @@ _CHUNK_WINDOWS = 16
 _CHUNK_SECONDS = 7 * 86_400
 
 
-def cooldown(alerts: DataFrame, window_seconds: float, tiebreak: str = "alert_id") -> DataFrame:
+def cooldown(alerts: DataFrame, window_seconds: float, tiebreak: str = "alert_id",
+             light_limit: int = 1_000) -> DataFrame:
     """Per (source, attack type) keep an alert when the last *kept* one is old enough.
 
     The clock restarts only on kept alerts, so the choice is a chain along
-    time.  A busy key is not walked in one task: time is cut into chunks, every
-    chunk works out where each possible entry leaves it, those small summaries
-    are chained per key, and each chunk then replays from its known entry.
-    Alerts with equal times count as one; the smallest ``tiebreak`` stands for them.
+    time.  Keys with at most ``light_limit`` alert times are folded in one
+    expression each.  A busier key is not walked in one task: time is cut into
+    chunks, every chunk works out where each possible entry leaves it, those
+    small summaries are chained per key, and each chunk then replays from its
+    known entry.  Alerts with equal times count as one; the smallest
+    ``tiebreak`` stands for them.
     """
     if window_seconds <= 0:
         return alerts
     window = int(window_seconds * 1_000_000)
-    span = max(window * _CHUNK_WINDOWS, _CHUNK_SECONDS * 1_000_000)
     keyed = alerts.withColumns({"_t": F.unix_micros("timestamp"),
                                 **{f"_{k}": F.coalesce(F.col(k), F.lit("")) for k in KEY}})
     keys = [f"_{k}" for k in KEY]
     instants = (keyed.filter(F.col("_t").isNotNull())
-                .groupBy(*keys, "_t").agg(F.min(tiebreak).alias("_first"))
-                .withColumn("_chunk", F.floor(F.col("_t") / F.lit(span)).cast("long")))
+                .groupBy(*keys, "_t").agg(F.min(F.col(tiebreak).cast("string")).alias("_first")))
+    sizes = instants.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    light = _light_keys(instants.join(sizes.filter(F.col("_n") <= light_limit), keys, "left_semi"), keys, window)
+    heavy = _heavy_keys(instants.join(sizes.filter(F.col("_n") > light_limit), keys, "left_semi"), keys, window)
+    kept = light.unionByName(heavy)
+    same = [F.col(f"a.{k}") == F.col(f"k.{k}") for k in [*keys, "_t"]]
+    return (keyed.alias("a").join(kept.alias("k"), [*same, F.col(f"a.{tiebreak}").cast("string") == F.col("k._first")], "left_semi")
+            .drop("_t", *keys))
+
+
+def _light_keys(instants: DataFrame, keys: list[str], window: int) -> DataFrame:
+    """Fold the few times of each key; the lists are bounded by the caller."""
+    times = instants.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_t", "_first"))).alias("_all"))
+    kept = F.aggregate(
+        "_all", F.struct(F.lit(None).cast("long").alias("last"), F.slice("_all", 1, 0).alias("kept")),
+        lambda acc, x: F.when(acc["last"].isNull() | (x["_t"] - acc["last"] >= window),
+                              F.struct(x["_t"].alias("last"), F.array_append(acc["kept"], x).alias("kept"))).otherwise(acc))
+    return times.select(*keys, F.inline(kept["kept"]))
+
+
+def _heavy_keys(instants: DataFrame, keys: list[str], window: int) -> DataFrame:
+    span = max(window * _CHUNK_WINDOWS, _CHUNK_SECONDS * 1_000_000)
+    instants = instants.withColumn("_chunk", F.floor(F.col("_t") / F.lit(span)).cast("long"))
     key_schema = ", ".join(f"{k} string" for k in keys)
 
     def summarise(group: pd.DataFrame) -> pd.DataFrame:
@@ -99,11 +122,8 @@ def cooldown(alerts: DataFrame, window_seconds: float, tiebreak: str = "alert_id
             at = int(np.searchsorted(t, t[at] + window))
         return group.loc[kept, [*keys, "_t", "_first"]]
 
-    kept = (instants.join(entries, [*keys, "_chunk"]).groupBy(*keys, "_chunk")
+    return (instants.join(entries, [*keys, "_chunk"]).groupBy(*keys, "_chunk")
             .applyInPandas(replay, f"{key_schema}, _t long, _first string"))
-    same = [F.col(f"a.{k}") == F.col(f"k.{k}") for k in [*keys, "_t"]]
-    return (keyed.alias("a").join(kept.alias("k"), [*same, F.col(f"a.{tiebreak}").cast("string") == F.col("k._first")], "left_semi")
-            .drop("_t", *keys))
 
 
 # ---- counts ----------------------------------------------------------------------

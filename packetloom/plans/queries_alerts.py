@@ -36,10 +36,10 @@ def _cooldown_sql(seconds: int) -> str:
         .replace("WITH a AS", "WITH RECURSIVE a AS", 1).replace("), RECURSIVE u AS", "), u AS", 1)
 
 
-for _name, _seconds in (("k2_cooldown_6h", 21_600), ("k2_cooldown_5min", 300)):
+for _name, _seconds, _limit in (("k2_cooldown_6h", 21_600, 1_000), ("k2_cooldown_5min", 300, 1_000), ("k2_cooldown_busy_keys", 3_600, 50)):
     @register(_name, _cooldown_sql(_seconds))
-    def _(spark, d, seconds=_seconds):
-        return al.cooldown(A(spark, d), seconds).select("alert_id", "source_ip", "attack_type", "timestamp")
+    def _(spark, d, seconds=_seconds, limit=_limit):
+        return al.cooldown(A(spark, d), seconds, light_limit=limit).select("alert_id", "source_ip", "attack_type", "timestamp")
 
 
 @register("k2_cooldown_off", over("a", "SELECT alert_id FROM a"))

@@ -65,11 +65,11 @@ RAW_SQL = {c: c for c in ft.RAW_FEATURES}
 
 
 def select_sql(parts: dict[str, str], source: str = "e") -> str:
-    return "SELECT packet_number, " + ", ".join(f"round(({x})::DOUBLE, 4) AS {n}" for n, x in parts.items()) + f" FROM {source}{W_SQL}"
+    return "SELECT packet_number, " + ", ".join(f"round(({x})::DOUBLE, 4) + 0.0::DOUBLE AS {n}" for n, x in parts.items()) + f" FROM {source}{W_SQL}"
 
 
 def rounded(df: DataFrame, names) -> DataFrame:
-    return df.select("packet_number", *[F.round(F.col(n).cast("double"), 4).alias(n) for n in names])
+    return df.select("packet_number", *[(F.round(F.col(n).cast("double"), 4) + F.lit(0.0)).alias(n) for n in names])
 
 
 @register("m1_engineered_columns", over("p", f"""WITH {E_SQL} SELECT packet_number, is_tcp, is_udp, is_icmp, packet_size_category, src_ip_frequency, dst_ip_frequency, hour_of_day,
@@ -233,7 +233,7 @@ SCALE_SQL = CLIP_SQL + ", sc AS (SELECT packet_number, " + ", ".join(f"({c} - av
 
 
 def _r(names, source: str) -> str:
-    return "SELECT packet_number, " + ", ".join(f"round({c}, 4) AS {c}" for c in names) + f" FROM {source}"
+    return "SELECT packet_number, " + ", ".join(f"round({c}, 4) + 0.0::DOUBLE AS {c}" for c in names) + f" FROM {source}"
 
 
 @register("n6_median_imputation", over("p", f"WITH {IMPUTE_SQL} {_r(PREP, 'im')}"))
@@ -263,7 +263,7 @@ def _(spark, d):
 
 
 @register("n10_apply_fitted", over("p", f"""WITH {CLIP_SQL}, st AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in SCALED)} FROM cl)
-    SELECT packet_number, {', '.join(f"round((greatest({q1} - 3 * ({q3} - {q1}), least({q3} + 3 * ({q3} - {q1}), y.{c})) - m_{c}) / s_{c}, 4) AS {c}" for c, (q1, q3) in _Q.items() if c in SCALED)}
+    SELECT packet_number, {', '.join(f"round((greatest({q1} - 3 * ({q3} - {q1}), least({q3} + 3 * ({q3} - {q1}), y.{c})) - m_{c}) / s_{c}, 4) + 0.0::DOUBLE AS {c}" for c, (q1, q3) in _Q.items() if c in SCALED)}
     FROM (SELECT packet_number, packet_length * 20.0::DOUBLE AS packet_length, src_port, dst_port, 0 AS ttl FROM p) y, st"""))
 def _(spark, d):
     rows = holes(spark, d)
