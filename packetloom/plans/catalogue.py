@@ -66,6 +66,7 @@ def load_all() -> dict[str, Entry]:
         queries_features,
         queries_models,
         queries_score,
+        queries_sources,
         queries_streaming,
     )
     return ENTRIES
