@@ -42,22 +42,11 @@ def export_dissected(spark, d) -> str:
     fixtures.use_utc(spark)
     path = scratch(spark, "dissected")
     events = spark.read.parquet(f"{d}/events.parquet")
-    events.selectExpr("event_id AS _o", *_split(_DISSECTED.format(t="string"))) \
+    events.selectExpr("event_id AS _o", *fixtures.select_list(_DISSECTED.format(t="string"))) \
         .repartitionByRange(3, "_o").sortWithinPartitions("_o").drop("_o").write.json(path)
     return path
 
 
-def _split(text: str) -> list[str]:
-    """Cut a select list at its top-level commas."""
-    out, depth, start = [], 0, 0
-    for i, ch in enumerate(text):
-        depth += (ch == "(") - (ch == ")")
-        if ch == "," and depth == 0:
-            out.append(text[start:i])
-            start = i + 1
-    return [*out, text[start:]]
-
-
 _INGEST_TIME = "2024-06-01 00:00:00"
 RECORDS_SQL = f"""d AS (SELECT event_id, {_DISSECTED.format(t='varchar')} FROM events),
   d2 AS (SELECT event_id + 1 AS packet_number, CASE WHEN sniff_timestamp = 'x' THEN TIMESTAMP '{_INGEST_TIME}' ELSE make_timestamp(CAST(TRY_CAST(sniff_timestamp AS DECIMAL(20, 6)) * 1000000 AS BIGINT)) END AS timestamp,

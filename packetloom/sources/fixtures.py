@@ -87,24 +87,39 @@ def _fill(columns: str, engine: str, flavour: str = "real") -> str:
     return columns.format(ts=ts, text=_TEXT[engine], iso=_ISO[engine])
 
 
-def _view(spark: SparkSession, sf_dir: str, columns: str, flavour: str = "real") -> DataFrame:
+def derive(events: DataFrame, table: str, flavour: str = "real") -> DataFrame:
+    """``packets``, ``alerts`` or ``raw`` over an ``events`` frame, which may be a stream."""
+    columns = {"packets": _PACKET_COLUMNS, "alerts": _ALERT_COLUMNS, "raw": _RAW_COLUMNS}[table]
+    return events.selectExpr(*select_list(_fill(columns, "spark", flavour)))
+
+
+def select_list(text: str) -> list[str]:
+    """Cut a select list at its top-level commas."""
+    out, depth, start = [], 0, 0
+    for i, ch in enumerate(text):
+        depth += (ch == "(") - (ch == ")")
+        if ch == "," and depth == 0:
+            out.append(text[start:i])
+            start = i + 1
+    return [*out, text[start:]]
+
+
+def _view(spark: SparkSession, sf_dir: str, table: str, flavour: str = "real") -> DataFrame:
     use_utc(spark)
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    events.createOrReplaceTempView("packetloom_events")
-    return spark.sql(f"SELECT {_fill(columns, 'spark', flavour)} FROM packetloom_events")
+    return derive(spark.read.parquet(f"{sf_dir}/events.parquet"), table, flavour)
 
 
 def packets(spark: SparkSession, sf_dir: str, flavour: str = "real") -> DataFrame:
     """Packet view: ``real`` keeps event times, ``burst`` packs two packets per millisecond."""
-    return _view(spark, sf_dir, _PACKET_COLUMNS, flavour)
+    return _view(spark, sf_dir, "packets", flavour)
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, _ALERT_COLUMNS)
+    return _view(spark, sf_dir, "alerts")
 
 
 def raw_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _view(spark, sf_dir, _RAW_COLUMNS)
+    rows = _view(spark, sf_dir, "raw")
     return rows.unionByName(rows.filter(F.col("packet_number") % 50 == 0))
 
 
