@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,11 +12,13 @@ from packetloom.functions.ip import is_private_ip
 from packetloom.functions.text import size_class
 
 EPS = 1e-9
+Step = Callable[[DataFrame], DataFrame]
 WINDOWS = (5, 10, 30)
 ROLLED = ("packet_length", "src_port", "dst_port", "ttl")
 PROTOCOLS = ("TCP", "UDP", "ICMP", "ARP", "DNS")
 HALO = max(WINDOWS) - 1
-BUCKET_ROWS = 100_000
+BUCKET_ROWS = 10_000
+RANGE_ROWS = 100_000
 
 
 # ---- engineered columns ---------------------------------------------------------
@@ -61,14 +63,14 @@ def running_offsets(counts: DataFrame, key: str, rows: str, group: int = 4096) -
         key, (F.col("_base") + F.sum(rows).over(inside) - F.col(rows)).alias("_before"))
 
 
-def order_index(df: DataFrame, order: str = "packet_number", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def order_index(df: DataFrame, order: str = "packet_number", range_rows: int = RANGE_ROWS) -> DataFrame:
     """Rows plus ``_idx``: 0, 1, 2 ... in ``order``, gaps closed.
 
     Rows are numbered inside ranges of ``order`` and shifted by the number of
     rows in earlier ranges.  Ranges depend on values only, so a task that runs
     again numbers its rows as before.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(order) / F.lit(bucket_rows)))
+    ranged = df.withColumn("_range", F.floor(F.col(order) / F.lit(range_rows)))
     offsets = running_offsets(ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows")), "_range", "_rows")
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(order))
     return (ranged.withColumn("_in", inside).join(offsets, "_range")
@@ -89,20 +91,56 @@ def with_halo(df: DataFrame, halo: int = HALO, bucket_rows: int = BUCKET_ROWS) -
             .withColumn("_bucket", F.explode(F.when(tail, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own")))))
 
 
+_ORDER = Window.partitionBy("_bucket").orderBy("_idx")
+_SO_FAR = _ORDER.rowsBetween(Window.unboundedPreceding, 0)
+
+
 def frame(rows: int):
-    return Window.partitionBy("_bucket").orderBy("_idx").rowsBetween(-(rows - 1), 0)
+    return _ORDER.rowsBetween(-(rows - 1), 0)
 
 
-def rolling(df: DataFrame, columns: dict[str, Column], order: str = "packet_number",
-            bucket_rows: int = BUCKET_ROWS, contiguous: bool = False) -> DataFrame:
-    """Add windowed ``columns`` (over :func:`frame`) in packet order of the whole capture.
+def rolling(df: DataFrame, *steps: Step, order: str = "packet_number", bucket_rows: int = BUCKET_ROWS,
+            contiguous: bool = False) -> DataFrame:
+    """Apply windowed ``steps`` in packet order of the whole capture.
 
-    ``contiguous`` says that ``order`` is 0 or 1, 2, 3 ... without gaps, as the
-    ingest job numbers packets; the indexing shuffle is then skipped.
+    All steps share one partitioning and order, so together they cost one
+    shuffle and one sort.  ``contiguous`` says that ``order`` is 0 or 1, 2, 3
+    ... without gaps, as the ingest job numbers packets; the indexing shuffle
+    is then skipped.
     """
-    indexed = df.withColumn("_idx", F.col(order).cast("long")) if contiguous else order_index(df, order, bucket_rows)
-    return (with_halo(indexed, bucket_rows=bucket_rows).withColumns(columns)
-            .filter(F.col("_bucket") == F.col("_own")).drop("_idx", "_own", "_bucket"))
+    rows = df.withColumn("_idx", F.col(order).cast("long")) if contiguous \
+        else order_index(df, order, max(bucket_rows, RANGE_ROWS if bucket_rows >= BUCKET_ROWS else bucket_rows))
+    rows = with_halo(rows, bucket_rows=bucket_rows).withColumn("_n", F.row_number().over(_ORDER))
+    for step in steps:
+        rows = step(rows)
+    return rows.filter(F.col("_bucket") == F.col("_own")).drop("_idx", "_own", "_bucket", "_n")
+
+
+def window_sums(df: DataFrame, values: dict[str, Column], windows: Sequence[int]) -> DataFrame:
+    """Columns ``<name>_<w>``: sums of whole numbers over the last ``w`` rows.
+
+    A running total less the running total ``w`` rows back: constant work per
+    row, and exact, as bucket totals stay far below 2^63.
+    """
+    total = {f"_t_{name}": F.sum(value.cast("long")).over(_SO_FAR) for name, value in values.items()}
+    sums = {f"{name}_{w}": F.col(f"_t_{name}") - F.coalesce(F.lag(f"_t_{name}", w).over(_ORDER), F.lit(0))
+            for name in values for w in windows}
+    return df.withColumns(total).withColumns(sums).drop(*total)
+
+
+def seen(w: int) -> Column:
+    """Rows in the frame of ``w`` rows."""
+    return F.least(F.col("_n"), F.lit(w)).cast("long")
+
+
+def mean_of(name: str, w: int) -> Column:
+    return F.col(f"{name}_{w}") / seen(w)
+
+
+def variance_of(name: str, square: str, w: int) -> Column:
+    """Sample variance from exact sums; 0 for a single row."""
+    n, s, q = seen(w), F.col(f"{name}_{w}"), F.col(f"{square}_{w}")
+    return F.coalesce(F.try_divide(n * q - s * s, n * (n - 1)), F.lit(0.0))
 
 
 # ---- feature steps ---------------------------------------------------------------
@@ -136,60 +174,90 @@ def flag_features() -> dict[str, Column]:
             for n, bit in (("syn", SYN), ("ack", ACK), ("rst", RST), ("fin", FIN), ("psh", PSH))}
 
 
-def syn_ratio() -> dict[str, Column]:
+def syn_ratio(df: DataFrame) -> DataFrame:
     """SYN share over the last ten packets; needs the flag features."""
-    syn, ack = (F.sum(f"flag_{n}").over(frame(10)) for n in ("syn", "ack"))
-    return {"syn_ack_ratio": syn / (syn + ack + EPS)}
+    rows = window_sums(df, {"_syn": F.col("flag_syn"), "_ack": F.col("flag_ack")}, [10])
+    syn, ack = F.col("_syn_10"), F.col("_ack_10")
+    return rows.withColumn("syn_ack_ratio", syn / (syn + ack + EPS)).drop("_syn_10", "_ack_10")
+
+
+def whole(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("long"), F.lit(0).cast("long"))
 
 
-def rolling_statistics(columns: Sequence[str] = ROLLED, windows: Sequence[int] = WINDOWS) -> dict[str, Column]:
-    out: dict[str, Column] = {}
-    for name in columns:
-        for w in windows:
-            x, over = number(name), frame(w)
-            low, high = F.min(x).over(over), F.max(x).over(over)
-            out |= {f"{name}_w{w}_mean": F.avg(x).over(over),
-                    f"{name}_w{w}_std": F.coalesce(F.stddev_samp(x).over(over), F.lit(0.0)),
-                    f"{name}_w{w}_min": low, f"{name}_w{w}_max": high, f"{name}_w{w}_range": high - low}
-    return out
+def rolling_statistics(df: DataFrame, columns: Sequence[str] = ROLLED) -> DataFrame:
+    """Mean, sample deviation, extremes and range over the last 5, 10 and 30 packets.
 
+    Extremes of 10 and 30 rows are put together from those of 5 rows, which
+    are the only ones read row by row.
+    """
+    sums = {f"_s_{c}": whole(c) for c in columns} | {f"_q_{c}": whole(c) * whole(c) for c in columns}
+    rows = window_sums(df, sums, WINDOWS)
+    ends = (("min", F.min, F.least), ("max", F.max, F.greatest))
+    rows = rows.withColumns({f"{c}_w5_{n}": pick(number(c)).over(frame(5)) for c in columns for n, pick, _ in ends})
+
+    def spread(big: int, small: int) -> dict[str, Column]:
+        return {f"{c}_w{big}_{n}": join(*[F.coalesce(F.lag(f"{c}_w{small}_{n}", k).over(_ORDER), F.col(f"{c}_w{small}_{n}"))
+                                          for k in range(0, big, small)])
+                for c in columns for n, _, join in ends}
+
+    rows = rows.withColumns(spread(10, 5)).withColumns(spread(30, 10))
+    out = {}
+    for c in columns:
+        for w in WINDOWS:
+            out |= {f"{c}_w{w}_mean": mean_of(f"_s_{c}", w), f"{c}_w{w}_std": F.sqrt(variance_of(f"_s_{c}", f"_q_{c}", w)),
+                    f"{c}_w{w}_range": F.col(f"{c}_w{w}_max") - F.col(f"{c}_w{w}_min")}
+    return rows.withColumns(out).drop(*[f"{n}_{w}" for n in sums for w in WINDOWS])
+
+
+def diversity(df: DataFrame) -> DataFrame:
+    """Distinct ports of the last 30 packets and the source's share of their frequencies.
+
+    The last 30 values are gathered once for all features that need them.
+    """
+    rows = window_sums(_recent(df), {"_freq": whole("src_ip_frequency")}, [30])
 
-def diversity() -> dict[str, Column]:
-    freq = number("src_ip_frequency")
+    def distinct(field: str) -> Column:
+        return F.size(F.array_distinct(F.transform("_recent", lambda x: x[field]))).cast("double")
 
-    def distinct(name: str) -> Column:
-        return F.size(F.array_distinct(F.collect_list(number(name)).over(frame(30)))).cast("double")
+    return rows.withColumns({
+        "dst_port_nunique_w30": distinct("dst_port"), "src_port_nunique_w30": distinct("src_port"),
+        "src_ip_concentration": number("src_ip_frequency") / (F.col("_freq_30") + EPS)}).drop("_freq_30", "_recent")
 
-    return {"dst_port_nunique_w30": distinct("dst_port"), "src_port_nunique_w30": distinct("src_port"),
-            "src_ip_concentration": freq / (F.sum(freq).over(frame(30)) + EPS)}
 
+def _recent(df: DataFrame) -> DataFrame:
+    if "_recent" in df.columns:
+        return df
+    return df.withColumn("_recent", F.collect_list(F.struct(
+        whole("dst_port").alias("dst_port"), whole("src_port").alias("src_port"),
+        F.coalesce(F.col("protocol"), F.lit("\u0000")).alias("protocol"))).over(frame(30)))
 
-def protocol_entropy() -> dict[str, Column]:
+
+def protocol_entropy(df: DataFrame) -> DataFrame:
     """Entropy of the last 30 protocols; a missing protocol is a class of its own."""
-    recent = F.collect_list(F.coalesce(F.col("protocol"), F.lit("\u0000"))).over(frame(30))
+    names = F.transform("_recent", lambda x: x["protocol"])
 
     def part(total: Column, name: Column, items: Column) -> Column:
         share = F.size(F.filter(items, lambda x: x == name)) / F.size(items)
         return total + share * F.log2(share + EPS)
 
-    # bind the window's list once, then use it in both loops
-    total = F.get(F.transform(F.array(recent), lambda items: F.aggregate(
+    # bind the list once, then use it in both loops
+    total = F.get(F.transform(F.array(names), lambda items: F.aggregate(
         F.array_distinct(items), F.lit(0.0), lambda acc, name: part(acc, name, items))), F.lit(0))
-    return {"protocol_entropy_w30": -total}
+    return _recent(df).withColumn("protocol_entropy_w30", -total)
 
 
-def burstiness() -> dict[str, Column]:
+def burstiness(df: DataFrame) -> DataFrame:
     length, src, dst = number("packet_length"), number("src_ip_frequency"), number("dst_ip_frequency")
-    last, seen = frame(30), F.count(F.lit(1)).over(frame(30))
-    mean = F.when(seen >= 2, F.avg(length).over(last)).otherwise(0.0)
-    variance = F.coalesce(F.var_samp(length).over(last), F.lit(0.0))
-    return {
-        "burstiness_index": variance / (mean + EPS), "traffic_density": mean / (length + EPS),
+    rows = window_sums(df, {"_s": whole("packet_length"), "_q": whole("packet_length") * whole("packet_length")}, [30])
+    mean = F.when(F.col("_n") >= 2, mean_of("_s", 30)).otherwise(0.0)
+    return rows.withColumns({
+        "burstiness_index": variance_of("_s", "_q", 30) / (mean + EPS), "traffic_density": mean / (length + EPS),
         "traffic_imbalance": F.abs(src - dst) / (src + dst + EPS),
-        "connection_freq_w10": F.count(F.lit(1)).over(frame(10)).cast("double"),
+        "connection_freq_w10": seen(10).cast("double"),
         "is_malformed": F.coalesce(F.upper("protocol").contains("MALFORM"), F.lit(False)).cast("int"),
         "is_tiny_packet": (length < 20).cast("int"),
-    }
+    }).drop("_s_30", "_q_30")
 
 
 def zscore_features(df: DataFrame, columns: Sequence[str] = ROLLED) -> DataFrame:
@@ -205,22 +273,24 @@ RAW_FEATURES = ("packet_length", "src_port", "dst_port", "ttl", "ip_version", "i
                 "src_ip_frequency", "dst_ip_frequency", "hour_of_day", "is_private_src", "is_private_dst")
 
 
+ROLLING_FEATURES = (
+    "syn_ack_ratio", *[f"{c}_w{w}_{k}" for c in ROLLED for w in WINDOWS for k in ("mean", "std", "min", "max", "range")])
+LATE_FEATURES = ("dst_port_nunique_w30", "src_port_nunique_w30", "src_ip_concentration", "protocol_entropy_w30",
+                 "burstiness_index", "traffic_density", "traffic_imbalance", "connection_freq_w10", "is_malformed", "is_tiny_packet")
+
+
 def feature_names() -> list[str]:
     """The versioned, ordered list of model inputs; identifiers are never among them."""
-    return [*RAW_FEATURES, *base_features(), *flag_features(), *syn_ratio(), *rolling_statistics(),
-            *[f"{c}_zscore" for c in Z_COLUMNS], *diversity(), *protocol_entropy(), *burstiness()]
+    return [*RAW_FEATURES, *base_features(), *flag_features(), *ROLLING_FEATURES,
+            *[f"{c}_zscore" for c in Z_COLUMNS], *LATE_FEATURES]
 
 
 def feature_matrix(df: DataFrame, order: str = "packet_number", bucket_rows: int = BUCKET_ROWS,
                    contiguous: bool = False) -> DataFrame:
-    """Engineered packets plus every feature as a double, null and non-finite values as 0.
-
-    All rolling columns share one partitioning and order, so they cost one
-    shuffle and one sort together.
-    """
+    """Engineered packets plus every feature as a double, null and non-finite values as 0."""
     rows = df.withColumns({**base_features(), **flag_features()})
-    rows = rolling(rows, {**syn_ratio(), **rolling_statistics(), **diversity(), **protocol_entropy(), **burstiness()},
-                   order, bucket_rows, contiguous)
+    rows = rolling(rows, syn_ratio, rolling_statistics, protocol_entropy, diversity, burstiness,
+                   order=order, bucket_rows=bucket_rows, contiguous=contiguous)
     rows = zscore_features(rows, Z_COLUMNS)
     return rows.withColumns({name: finite(F.col(name)) for name in feature_names()})
 

@@ -87,18 +87,18 @@ def _(spark, d):
 @register("m3_flag_features", over("p", f"WITH {E_SQL} {select_sql({**FLAG_SQL, **RATIO_SQL})}"))
 def _(spark, d):
     rows = fixtures.packets(spark, d).withColumns(ft.flag_features())
-    return rounded(ft.rolling(rows, ft.syn_ratio(), bucket_rows=SMALL_BUCKETS), {**FLAG_SQL, **RATIO_SQL})
+    return rounded(ft.rolling(rows, ft.syn_ratio, bucket_rows=SMALL_BUCKETS), {**FLAG_SQL, **RATIO_SQL})
 
 
 @register("m4_rolling_statistics", over("p", f"WITH {E_SQL} {select_sql(ROLL_SQL)}"))
 def _(spark, d):
-    return rounded(ft.rolling(fixtures.packets(spark, d), ft.rolling_statistics(), bucket_rows=SMALL_BUCKETS), ROLL_SQL)
+    return rounded(ft.rolling(fixtures.packets(spark, d), ft.rolling_statistics, bucket_rows=SMALL_BUCKETS), ROLL_SQL)
 
 
 @register("m4_rolling_over_gaps", over("p", f"WITH e AS (SELECT * REPLACE (packet_number * packet_number AS packet_number) FROM p) {select_sql(ROLL_SQL)}"))
 def _(spark, d):
     rows = fixtures.packets(spark, d).withColumn("packet_number", F.expr("packet_number * packet_number"))
-    return rounded(ft.rolling(rows, ft.rolling_statistics(), bucket_rows=SMALL_BUCKETS), ROLL_SQL)
+    return rounded(ft.rolling(rows, ft.rolling_statistics, bucket_rows=SMALL_BUCKETS), ROLL_SQL)
 
 
 @register("m5_zscores", over("p", f"WITH {E_SQL} {select_sql(Z_SQL)}"))
@@ -108,17 +108,17 @@ def _(spark, d):
 
 @register("m6_rolling_diversity", over("p", f"WITH {E_SQL} {select_sql(DIV_SQL)}"))
 def _(spark, d):
-    return rounded(ft.rolling(engineered(spark, d), ft.diversity(), bucket_rows=SMALL_BUCKETS), DIV_SQL)
+    return rounded(ft.rolling(engineered(spark, d), ft.diversity, bucket_rows=SMALL_BUCKETS), DIV_SQL)
 
 
 @register("m7_protocol_entropy", over("p", f"WITH {E_SQL} {select_sql(ENT_SQL)}"))
 def _(spark, d):
-    return rounded(ft.rolling(fixtures.packets(spark, d), ft.protocol_entropy(), bucket_rows=SMALL_BUCKETS), ENT_SQL)
+    return rounded(ft.rolling(fixtures.packets(spark, d), ft.protocol_entropy, bucket_rows=SMALL_BUCKETS), ENT_SQL)
 
 
 @register("m8_burstiness", over("p", f"WITH {E_SQL} {select_sql(BURST_SQL)}"))
 def _(spark, d):
-    return rounded(ft.rolling(engineered(spark, d), ft.burstiness(), bucket_rows=SMALL_BUCKETS), BURST_SQL)
+    return rounded(ft.rolling(engineered(spark, d), ft.burstiness, bucket_rows=SMALL_BUCKETS), BURST_SQL)
 
 
 ALL_SQL = {**RAW_SQL, **BASE_SQL, **FLAG_SQL, **RATIO_SQL, **ROLL_SQL, **Z_SQL, **DIV_SQL, **ENT_SQL, **BURST_SQL}
@@ -143,7 +143,7 @@ def scored(spark, d) -> DataFrame:
     """Scored packets, written once to the shared checkpoint folder."""
     checkpoint_root(spark)
     rows = engineered(spark, d).withColumns(ft.flag_features())
-    rows = ft.rolling(rows, {**ft.syn_ratio(), **ft.diversity()})
+    rows = ft.rolling(rows, ft.syn_ratio, ft.diversity)
     return labels.label_scores(rows).select("packet_number", "syn_score", "ddos_score", "bruteforce_score", "portscan_score",
                                             "packet_length", "src_port", "dst_port", "ttl", "syn_ack_ratio", "dst_port_nunique_w30").checkpoint()
 
