@@ -31,7 +31,9 @@ def main() -> None:
     from packetloom.session import build_session
 
     spark = build_session("bench", f"local[{cpus}]", {
-        "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+        "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+        # the bench tables are a few MB: let AQE keep partitions small enough to use all cores
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k"})
     spark.sparkContext.setLogLevel("ERROR")
     entries = load_all()
     names = [n for n in HEADLINE if not only or n in only]

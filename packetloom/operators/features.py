@@ -91,12 +91,12 @@ def with_halo(df: DataFrame, halo: int = HALO, bucket_rows: int = BUCKET_ROWS) -
             .withColumn("_bucket", F.explode(F.when(tail, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own")))))
 
 
-_ORDER = Window.partitionBy("_bucket").orderBy("_idx")
-_SO_FAR = _ORDER.rowsBetween(Window.unboundedPreceding, 0)
+def in_order():
+    return Window.partitionBy("_bucket").orderBy("_idx")
 
 
 def frame(rows: int):
-    return _ORDER.rowsBetween(-(rows - 1), 0)
+    return in_order().rowsBetween(-(rows - 1), 0)
 
 
 def rolling(df: DataFrame, *steps: Step, order: str = "packet_number", bucket_rows: int = BUCKET_ROWS,
@@ -110,7 +110,7 @@ def rolling(df: DataFrame, *steps: Step, order: str = "packet_number", bucket_ro
     """
     rows = df.withColumn("_idx", F.col(order).cast("long")) if contiguous \
         else order_index(df, order, max(bucket_rows, RANGE_ROWS if bucket_rows >= BUCKET_ROWS else bucket_rows))
-    rows = with_halo(rows, bucket_rows=bucket_rows).withColumn("_n", F.row_number().over(_ORDER))
+    rows = with_halo(rows, bucket_rows=bucket_rows).withColumn("_n", F.row_number().over(in_order()))
     for step in steps:
         rows = step(rows)
     return rows.filter(F.col("_bucket") == F.col("_own")).drop("_idx", "_own", "_bucket", "_n")
@@ -122,8 +122,9 @@ def window_sums(df: DataFrame, values: dict[str, Column], windows: Sequence[int]
     A running total less the running total ``w`` rows back: constant work per
     row, and exact, as bucket totals stay far below 2^63.
     """
-    total = {f"_t_{name}": F.sum(value.cast("long")).over(_SO_FAR) for name, value in values.items()}
-    sums = {f"{name}_{w}": F.col(f"_t_{name}") - F.coalesce(F.lag(f"_t_{name}", w).over(_ORDER), F.lit(0))
+    so_far = in_order().rowsBetween(Window.unboundedPreceding, 0)
+    total = {f"_t_{name}": F.sum(value.cast("long")).over(so_far) for name, value in values.items()}
+    sums = {f"{name}_{w}": F.col(f"_t_{name}") - F.coalesce(F.lag(f"_t_{name}", w).over(in_order()), F.lit(0))
             for name in values for w in windows}
     return df.withColumns(total).withColumns(sums).drop(*total)
 
@@ -197,7 +198,7 @@ def rolling_statistics(df: DataFrame, columns: Sequence[str] = ROLLED) -> DataFr
     rows = rows.withColumns({f"{c}_w5_{n}": pick(number(c)).over(frame(5)) for c in columns for n, pick, _ in ends})
 
     def spread(big: int, small: int) -> dict[str, Column]:
-        return {f"{c}_w{big}_{n}": join(*[F.coalesce(F.lag(f"{c}_w{small}_{n}", k).over(_ORDER), F.col(f"{c}_w{small}_{n}"))
+        return {f"{c}_w{big}_{n}": join(*[F.coalesce(F.lag(f"{c}_w{small}_{n}", k).over(in_order()), F.col(f"{c}_w{small}_{n}"))
                                           for k in range(0, big, small)])
                 for c in columns for n, _, join in ends}
 

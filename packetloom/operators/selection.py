@@ -36,12 +36,9 @@ def cut_at_rank(df: DataFrame, column: str, k: int) -> Cut | None:
     lo, hi, total = rows.agg(F.min("x"), F.max("x"), F.count(F.lit(1))).first()
     if total <= k or k <= 0:
         return None
-    above = 0
-    while True:
+    above, equal = 0, total
+    while lo != hi:
         inside = rows.filter(F.col("x").between(F.lit(lo), F.lit(hi)))
-        if lo == hi:
-            equal = inside.count()
-            return Cut(lo, above, k - above, equal)
         # the bin number never falls as x grows, so whole bins are ordered
         bin_no = F.least(F.lit(BINS - 1), F.floor(
             (F.col("x") - F.lit(lo)).cast("double") / F.lit(float(hi - lo)) * BINS))
@@ -52,7 +49,8 @@ def cut_at_rank(df: DataFrame, column: str, k: int) -> Cut | None:
         hit = (bins.withColumn("upto", upto).filter(F.col("upto") >= k - above)
                .orderBy(F.desc("bin")).select("n", "lo", "hi", "upto").first())
         above += hit["upto"] - hit["n"]
-        lo, hi = hit["lo"], hit["hi"]
+        lo, hi, equal = hit["lo"], hit["hi"], hit["n"]
+    return Cut(lo, above, k - above, equal)
 
 
 def top_rows(df: DataFrame, order: Sequence[str], k: int) -> DataFrame:
