@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetloom.operators.selection import exact_quantiles
+from packetloom.session import checkpoint_root
 
 TREES, SAMPLE, CONTAMINATION = 200, 256, 0.05
 
@@ -108,7 +109,9 @@ def train(df: DataFrame, names: Sequence[str], order: str = "packet_number", tre
     rows = tree_samples(df, names, order, trees, size, seed).groupBy("tree").applyInPandas(build, "tree int, nodes string").collect()
     grown = tuple(tuple(json.loads(r["nodes"])) for r in sorted(rows, key=lambda r: r["tree"]))
     forest = Forest(tuple(names), size, grown)
-    scores = df.select(score(forest).alias("s"))
+    # scored once: the statistics and the exact quantile read the stored scores
+    checkpoint_root(df.sparkSession)
+    scores = df.select(score(forest).alias("s")).checkpoint()
     share = max(0.001, min(0.499, contamination))
     stats = scores.agg(F.avg("s").alias("m"), F.stddev_pop("s").alias("d")).first()
     cutoff = exact_quantiles(scores, ["s"], [share])["s"][0]

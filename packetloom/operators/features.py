@@ -19,19 +19,29 @@ PROTOCOLS = ("TCP", "UDP", "ICMP", "ARP", "DNS")
 HALO = max(WINDOWS) - 1
 BUCKET_ROWS = 10_000
 RANGE_ROWS = 100_000
+# about 60 bytes a value: 120 MB at most, whatever the size of the packet table
+BROADCAST_VALUES = 2_000_000
 
 
 # ---- engineered columns ---------------------------------------------------------
 
-def with_frequency(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Rows plus how often their ``column`` value occurs; 0 for null.
+def with_frequency(df: DataFrame, *columns: tuple[str, str]) -> DataFrame:
+    """Rows plus how often their value of each (column, name) occurs; 0 for null.
 
-    A grouped count joined back rather than a window: the count is combined
-    before its shuffle, Spark broadcasts the table of counts when its measured
-    size allows, and otherwise the skew join splits a value holding many rows.
+    A grouped count joined back rather than a window: counts are combined
+    before their shuffle, so a value holding many rows costs one row per task.
+    One pass with a small sketch tells how many values there are: up to
+    ``BROADCAST_VALUES`` the counts are broadcast and the packets stay where
+    they are; beyond that the join is left to Spark, whose skew handling splits
+    the partitions of frequent values.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias(name))
-    return df.join(counts, column, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("long")))
+    sizes = df.agg(*[F.approx_count_distinct(c).alias(c) for c, _ in columns]).first()
+    for column, name in columns:
+        counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias(name))
+        if sizes[column] <= BROADCAST_VALUES:
+            counts = F.broadcast(counts)
+        df = df.join(counts, column, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("long")))
+    return df
 
 
 def engineer(df: DataFrame) -> DataFrame:
@@ -48,7 +58,7 @@ def engineer(df: DataFrame) -> DataFrame:
         "hour_of_day": F.hour("timestamp"),
         "is_private_src": is_private_ip(F.col("src_ip")).cast("int"),
         "is_private_dst": is_private_ip(F.col("dst_ip")).cast("int")})
-    return with_frequency(with_frequency(flagged, "src_ip", "src_ip_frequency"), "dst_ip", "dst_ip_frequency")
+    return with_frequency(flagged, ("src_ip", "src_ip_frequency"), ("dst_ip", "dst_ip_frequency"))
 
 
 # ---- order and buckets -----------------------------------------------------------
@@ -289,10 +299,10 @@ def feature_names() -> list[str]:
 def feature_matrix(df: DataFrame, order: str = "packet_number", bucket_rows: int = BUCKET_ROWS,
                    contiguous: bool = False) -> DataFrame:
     """Engineered packets plus every feature as a double, null and non-finite values as 0."""
-    rows = df.withColumns({**base_features(), **flag_features()})
+    # the global statistics are taken from the packets, before any shuffle
+    rows = zscore_features(df, Z_COLUMNS).withColumns({**base_features(), **flag_features()})
     rows = rolling(rows, syn_ratio, rolling_statistics, protocol_entropy, diversity, burstiness,
                    order=order, bucket_rows=bucket_rows, contiguous=contiguous)
-    rows = zscore_features(rows, Z_COLUMNS)
     return rows.withColumns({name: finite(F.col(name)) for name in feature_names()})
 
 

@@ -6,10 +6,10 @@ import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.operators.selection import exact_quantiles
+from packetloom.operators.selection import exact_quantiles, top_filter
 
 IQR_MULTIPLE = 3.0
 
@@ -93,24 +93,23 @@ def apply(df: DataFrame, fitted: Fitted, keep: Sequence[str] = ()) -> DataFrame:
 
 def stratified_split(df: DataFrame, label: str, order: str = "packet_number", test_share: float = 0.2,
                      seed: int = 42, min_per_class: int = 2) -> DataFrame:
-    """Rows plus ``is_test``: each class gives its share of rows, chosen by a seeded hash.
+    """Rows plus ``is_test``: each class gives exactly its share of rows, chosen by a seeded hash.
 
-    Classes are ranked inside 1 024 hash buckets and the bucket sizes say where
-    each class is cut, so a class holding most rows is spread over all tasks.
-    With a class of fewer than ``min_per_class`` rows the classes are ignored.
+    Per class the hash value that cuts off its share is found by counting, so
+    the split itself is a plain expression: rows are not ranked, sorted or
+    moved, whatever the size of a class.  With a class of fewer than
+    ``min_per_class`` rows the classes are ignored.
     """
-    classes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    plain = (classes.agg(F.min("n")).first()[0] or 0) < min_per_class
-    group = F.lit("all") if plain else F.col(label).cast("string")
-    place = F.xxhash64(F.col(order), F.lit(seed))
-    rows = df.withColumns({"_g": group, "_h": place, "_k": F.pmod(F.shiftright(place, 40), F.lit(1024))})
-    sizes = rows.groupBy("_g", "_k").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("_g").orderBy("_k")) - F.col("_n")
-    sizes = sizes.select("_g", "_k", before.alias("_before"), F.sum("_n").over(Window.partitionBy("_g")).alias("_all"))
-    inside = F.row_number().over(Window.partitionBy("_g", "_k").orderBy("_h", order))
-    ranked = rows.withColumn("_in", inside).join(F.broadcast(sizes), ["_g", "_k"])
-    return ranked.withColumn("is_test", F.col("_before") + F.col("_in") <= F.round(F.col("_all") * test_share)) \
-        .drop("_g", "_h", "_k", "_in", "_before", "_all")
+    # two bits less than a long, so that differences of hashes cannot overflow
+    rows = df.withColumn("_h", F.shiftright(F.xxhash64(F.col(order), F.lit(seed)), 2))
+    counts = [(r[label], r["n"]) for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()]
+    groups = [(F.col(label).eqNullSafe(F.lit(value)), n) for value, n in counts]
+    if min((n for _, n in groups), default=0) < min_per_class:
+        groups = [(F.lit(True), sum(n for _, n in groups))]
+    chosen = F.lit(False)
+    for mine, n in groups:
+        chosen = chosen | (mine & top_filter(rows.filter(mine), ["_h", order], int(n * test_share + 0.5)))
+    return rows.withColumn("is_test", chosen).drop("_h")
 
 
 def save(spark: SparkSession, fitted: Fitted, path: str) -> None:

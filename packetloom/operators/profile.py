@@ -1,21 +1,24 @@
 """Small frames every score is computed from.
 
-The packet table is read three times however many scores are asked for: once
-for plain totals, once folded to (second, protocol), once folded to hosts.
-All later work runs on the folded frames.
+The packet table is read twice however many scores are asked for: once folded
+to (second, protocol), once folded to hosts.  Both folded frames are written to
+the checkpoint folder, so that the many small aggregates on top of them never
+reach back to the packets.  The table of packet lengths is a third read, made
+only for the checks that need it.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.text import seconds_between
 from packetloom.operators.clean import normalise_protocols
 from packetloom.operators.timeseries import floor_time, roll_up
 from packetloom.operators.traffic import talker_counts
+from packetloom.session import checkpoint_root
 
 
 @dataclass(frozen=True)
@@ -29,34 +32,53 @@ class NetworkProfile:
     lengths: DataFrame
 
 
+def _wide(value: Column) -> Column:
+    """Sum of whole numbers with room for squares over any table."""
+    return F.sum(value.cast("decimal(38,0)"))
+
+
+def _sample_std(n: Column, total: Column, squares: Column) -> Column:
+    """Sample deviation from exact sums; null under two values."""
+    count = n.cast("decimal(20,0)")
+    return F.when(n > 1, F.sqrt((count * squares - total * total).cast("double") / (n.cast("double") * (n - 1).cast("double"))))
+
+
 def network_profile(df: DataFrame) -> NetworkProfile:
+    checkpoint_root(df.sparkSession)
     rows = normalise_protocols(df)
-    length = F.col("packet_length")
+    length, ttl = F.col("packet_length").cast("long"), F.col("ttl").cast("long")
     cells = rows.groupBy(floor_time(F.col("timestamp"), 1).alias("interval_start"), "protocol").agg(
-        F.sum(length.cast("long")).alias("bytes"), F.count(F.lit(1)).alias("packets"))
+        F.sum(length).alias("bytes"), F.count(F.lit(1)).alias("packets"), F.sum(length * length).alias("squares"),
+        F.min("timestamp").alias("first"), F.max("timestamp").alias("last"),
+        F.count("ttl").alias("ttl_n"), F.sum(ttl).alias("ttl_sum"), F.sum(ttl * ttl).alias("ttl_squares")).checkpoint()
     per_second = cells.filter(F.col("interval_start").isNotNull()).groupBy("interval_start").agg(
         F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets"))
     per_minute = roll_up(per_second, 60)
     protocols = cells.groupBy("protocol").agg(
         F.sum("packets").alias("packet_count"), F.sum("bytes").alias("byte_count"))
-    talkers = talker_counts(rows)
+    talkers = talker_counts(rows).checkpoint()
     sources = talkers.filter(F.col("side") == "src")
     lengths = rows.groupBy("packet_length").agg(F.count(F.lit(1)).alias("n"))
 
-    timed = F.col("timestamp").isNotNull()
-    span = F.coalesce(seconds_between(F.min("timestamp"), F.max("timestamp")), F.lit(0.0))
+    timed = F.col("interval_start").isNotNull()
+    sums = cells.agg(
+        F.sum("packets").alias("total_packets"), F.sum("bytes").alias("total_bytes"), F.max("last").alias("capture_end"),
+        F.coalesce(seconds_between(F.min("first"), F.max("last")), F.lit(0.0)).alias("_span"),
+        F.coalesce(F.sum(F.when(timed, F.col("bytes"))), F.lit(0)).alias("_bytes"),
+        F.coalesce(F.sum(F.when(timed, F.col("packets"))), F.lit(0)).alias("_packets"),
+        _wide(F.col("bytes")).alias("_s"), _wide(F.col("squares")).alias("_q"), F.sum("ttl_n").alias("ttl_count"),
+        _wide(F.col("ttl_sum")).alias("_ts"), _wide(F.col("ttl_squares")).alias("_tq"))
 
-    def per_sec(total):
-        return F.coalesce(F.when(span > 0, F.round(total / span, 4)), F.lit(0.0))
+    def per_sec(total: str) -> Column:
+        return F.coalesce(F.when(F.col("_span") > 0, F.round(F.col(total) / F.col("_span"), 4)), F.lit(0.0))
 
-    totals = rows.agg(
-        F.count(F.lit(1)).alias("total_packets"), F.sum(length.cast("long")).alias("total_bytes"),
-        F.max("timestamp").alias("capture_end"), F.round(span, 4).alias("duration_seconds"),
-        per_sec(F.sum(F.when(timed, length.cast("long")))).alias("avg_bytes_per_second"),
-        per_sec(F.count_if(timed)).alias("avg_packets_per_second"),
-        F.avg(length).alias("mean_length"), F.round(F.avg(length), 2).alias("avg_packet_size"),
-        F.round(F.stddev_samp(length), 2).alias("std_packet_size"),
-        F.count("ttl").alias("ttl_count"), F.stddev_samp("ttl").alias("ttl_std"))
+    mean = F.try_divide(F.col("total_bytes"), F.col("total_packets"))
+    totals = sums.select(
+        "total_packets", "total_bytes", "capture_end", F.round("_span", 4).alias("duration_seconds"),
+        per_sec("_bytes").alias("avg_bytes_per_second"), per_sec("_packets").alias("avg_packets_per_second"),
+        mean.alias("mean_length"), F.round(mean, 2).alias("avg_packet_size"),
+        F.round(_sample_std(F.col("total_packets"), F.col("_s"), F.col("_q")), 2).alias("std_packet_size"),
+        "ttl_count", _sample_std(F.col("ttl_count"), F.col("_ts"), F.col("_tq")).alias("ttl_std"))
     peaks = per_second.agg(F.max("bytes").cast("double").alias("peak_bytes_per_second"),
                            F.max("packets").cast("double").alias("peak_packets_per_second"))
     minutes = per_minute.agg(

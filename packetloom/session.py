@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings every job relies on.  Sizes of shuffles are left to AQE: the number
-# of shuffle partitions below is only the starting point it coalesces from.
+# Settings every job relies on.
 BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -18,6 +16,22 @@ BASE_CONF = {
 }
 
 
+def sized_for(input_bytes: int, cores: int) -> dict[str, str]:
+    """Shuffle and scan settings for an input of this size.
+
+    AQE joins small partitions but never adds any, so the starting number must
+    fit the largest shuffle: the packet rows once over, at 256 MB a task.  At
+    100 TB that is some 400 000 tasks per full shuffle, and far fewer rows
+    after partial aggregation, which AQE then joins.
+    """
+    target = 256 * 1024 * 1024
+    return {
+        "spark.sql.shuffle.partitions": str(max(cores, -(-input_bytes // target))),
+        "spark.sql.files.maxPartitionBytes": str(target if input_bytes > 100 * target * cores // 10 else 128 * 1024 * 1024),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target // 2),
+    }
+
+
 def build_session(app_name: str = "packetloom", master: str | None = None,
                   extra: dict[str, str] | None = None) -> SparkSession:
     """Session with the settings above; ``extra`` wins over them."""
@@ -48,11 +62,3 @@ def checkpoint_root(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root
-
-
-def on_cluster(spark: SparkSession) -> bool:
-    return not spark.sparkContext.master.startswith("local")
-
-
-def default_parallelism(spark: SparkSession) -> int:
-    return int(os.environ.get("BENCH_CPUS", spark.sparkContext.defaultParallelism))

@@ -56,7 +56,7 @@ def test_malformed_is_anchored(spark):
 
 def test_null_address_has_frequency_zero(spark):
     rows = spark.createDataFrame([("a",), ("a",), (None,), (None,), (None,)], "src_ip string")
-    got = features.with_frequency(rows, "src_ip", "n").orderBy("n").collect()
+    got = features.with_frequency(rows, ("src_ip", "n")).orderBy("n").collect()
     assert [(r.src_ip, r.n) for r in got] == [(None, 0)] * 3 + [("a", 2)] * 2
 
 
