@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.text import seconds_between
+from packetloom.session import checkpoint_root
 
 CHART_COLUMNS = ("src_ip", "dst_ip", "protocol", "packet_size_category", "transport_layer")
 
@@ -15,22 +16,36 @@ def rate(amount: Column, seconds: Column, digits: int = 4) -> Column:
     return F.coalesce(F.when(seconds > 0, F.round(amount / seconds, digits)), F.lit(0.0))
 
 
+def _basic_sums() -> list[Column]:
+    return [F.count(F.lit(1)).alias("total_packets"),
+            F.coalesce(F.sum(F.col("packet_length").cast("long")), F.lit(0)).alias("total_bytes"),
+            F.min("timestamp").alias("capture_start"), F.max("timestamp").alias("capture_end")]
+
+
+def _basic_columns() -> list[Column]:
+    seconds = F.coalesce(seconds_between(F.col("capture_start"), F.col("capture_end")), F.lit(0.0))
+    return [F.col("total_packets"), F.col("total_bytes"), F.round(seconds, 4).alias("capture_duration_seconds"),
+            rate(F.col("total_packets"), seconds).alias("packets_per_second"),
+            rate(F.col("total_bytes"), seconds).alias("bytes_per_second"), F.col("capture_start"), F.col("capture_end")]
+
+
+def _size_sums() -> list[Column]:
+    length = F.col("packet_length")
+    return [F.round(F.avg(length), 2).alias("avg_packet_size"),
+            F.min(length).alias("min_packet_size"), F.max(length).alias("max_packet_size"),
+            F.round(F.percentile(length, F.lit(0.5)), 2).alias("median_packet_size"),
+            F.round(F.stddev_samp(length), 2).alias("std_packet_size")]
+
+
+SIZE_COLUMNS = ("avg_packet_size", "min_packet_size", "max_packet_size", "median_packet_size", "std_packet_size")
+
+
 def basic_stats(df: DataFrame) -> DataFrame:
     """One row: packets, bytes, time range, duration and rates.
 
     Rows without a time still count in packets and bytes.
     """
-    raw = df.agg(
-        F.count(F.lit(1)).alias("total_packets"),
-        F.coalesce(F.sum(F.col("packet_length").cast("long")), F.lit(0)).alias("total_bytes"),
-        F.min("timestamp").alias("capture_start"), F.max("timestamp").alias("capture_end"))
-    seconds = F.coalesce(seconds_between(F.col("capture_start"), F.col("capture_end")), F.lit(0.0))
-    return raw.select(
-        "total_packets", "total_bytes",
-        F.round(seconds, 4).alias("capture_duration_seconds"),
-        rate(F.col("total_packets"), seconds).alias("packets_per_second"),
-        rate(F.col("total_bytes"), seconds).alias("bytes_per_second"),
-        "capture_start", "capture_end")
+    return df.agg(*_basic_sums()).select(*_basic_columns())
 
 
 def talker_counts(df: DataFrame) -> DataFrame:
@@ -49,33 +64,38 @@ def host_cardinality(df: DataFrame, approx: bool = False) -> DataFrame:
     if approx:
         return df.agg(F.approx_count_distinct("src_ip").alias("unique_src_ips"),
                       F.approx_count_distinct("dst_ip").alias("unique_dst_ips"))
-    return talker_counts(df).agg(
-        F.count_if(F.col("side") == "src").alias("unique_src_ips"),
-        F.count_if(F.col("side") == "dst").alias("unique_dst_ips"))
+    return count_hosts(talker_counts(df))
+
+
+def count_hosts(talkers: DataFrame) -> DataFrame:
+    return talkers.agg(F.count_if(F.col("side") == "src").alias("unique_src_ips"),
+                       F.count_if(F.col("side") == "dst").alias("unique_dst_ips"))
 
 
 def top_talkers(df: DataFrame, n: int = 10) -> DataFrame:
-    """(side, rank, ip, packets) of the ``n`` busiest hosts on each side.
+    """(side, rank, ip, packets) of the ``n`` busiest hosts on each side."""
+    return rank_hosts(talker_counts(df), n)
 
-    Spark keeps only the best ``n`` rows of every task before the rank shuffle
-    (window group limit).
-    """
+
+def rank_hosts(talkers: DataFrame, n: int) -> DataFrame:
+    """Spark keeps only the best ``n`` rows of every task before the rank shuffle (window group limit)."""
     order = Window.partitionBy("side").orderBy(F.desc("packets"), F.asc("ip"))
-    return (talker_counts(df).withColumn("rank", F.row_number().over(order))
+    return (talkers.withColumn("rank", F.row_number().over(order))
             .filter(F.col("rank") <= n).select("side", "rank", "ip", "packets"))
 
 
+def _stored_talkers(df: DataFrame) -> DataFrame:
+    """Talker counts written to the checkpoint folder, for use by several parts of one record."""
+    checkpoint_root(df.sparkSession)
+    return talker_counts(df).checkpoint()
+
+
 def packet_statistics(df: DataFrame) -> DataFrame:
     """Mean, min, max, median and sample deviation of packet length.
 
     The exact median keeps one counter per distinct length, at most 65 536.
     """
-    length = F.col("packet_length")
-    return df.agg(
-        F.round(F.avg(length), 2).alias("avg_packet_size"),
-        F.min(length).alias("min_packet_size"), F.max(length).alias("max_packet_size"),
-        F.round(F.percentile(length, F.lit(0.5)), 2).alias("median_packet_size"),
-        F.round(F.stddev_samp(length), 2).alias("std_packet_size"))
+    return df.agg(*_size_sums())
 
 
 def category_counts(df: DataFrame, column: str) -> DataFrame:
@@ -97,13 +117,15 @@ def traffic_summary(df: DataFrame, n: int = 10) -> DataFrame:
     """One record: counters, hosts, sizes, protocol counts, top talkers and minute series."""
     from packetloom.operators.timeseries import minute_timeline
 
-    tops = top_talkers(df, n)
+    talkers = _stored_talkers(df)
+    tops = rank_hosts(talkers, n)
     protocols = as_nested(
         category_counts(df, "protocol").select(F.col("category").alias("protocol"), "packets"),
         "protocol_counts", "protocol", "packets")
     minutes = as_nested(minute_timeline(df).select("minute", "packets", "bytes"),
                         "minute_series", "minute", "packets", "bytes")
-    record = basic_stats(df).crossJoin(host_cardinality(df)).crossJoin(packet_statistics(df))
+    totals = df.agg(*_basic_sums(), *_size_sums()).select(*_basic_columns(), *SIZE_COLUMNS)
+    record = totals.crossJoin(count_hosts(talkers))
     for side in ("src", "dst"):
         ranked = as_nested(tops.filter(F.col("side") == side).select("rank", "ip", "packets"),
                            f"top_{side}_ips", "rank", "ip", "packets")
@@ -113,7 +135,8 @@ def traffic_summary(df: DataFrame, n: int = 10) -> DataFrame:
 
 def ingest_summary(df: DataFrame, n: int = 10) -> DataFrame:
     """One record of what an ingest run wrote."""
-    tops = top_talkers(df, n)
+    talkers = _stored_talkers(df)
+    tops = rank_hosts(talkers, n)
     length = F.col("packet_length")
     totals = df.agg(
         F.count(F.lit(1)).alias("total_packets"),
@@ -122,7 +145,7 @@ def ingest_summary(df: DataFrame, n: int = 10) -> DataFrame:
         F.count_if(F.col("src_ip").isNotNull() & (F.col("src_ip") != "None")).alias("packets_with_ip"),
         F.count_if(F.col("src_ip").isNull() | (F.col("src_ip") == "None")).alias("packets_without_ip"),
         F.min("timestamp").alias("capture_start"), F.max("timestamp").alias("capture_end"))
-    record = totals.crossJoin(host_cardinality(df))
+    record = totals.crossJoin(count_hosts(talkers))
     for column in ("protocol", "transport_layer"):
         record = record.crossJoin(as_nested(category_counts(df, column),
                                             f"{column}_distribution", "category", "packets"))
