@@ -196,7 +196,7 @@ def _(spark, d):
                                  ip.extract_subnet(F.col("ip"), 20).alias("subnet20"))
 
 
-_SIZES = "cast(CASE WHEN event_id % 2 = 0 THEN event_id * event_id * event_id * event_id ELSE (event_id % 400) * 128 - 512 END AS bigint)"
+_SIZES = "cast(CASE WHEN event_id % 2 = 0 THEN (event_id % 20000) * (event_id % 20000) * (event_id % 20000) * (event_id % 20000) ELSE (event_id % 400) * 128 - 512 END AS bigint)"
 
 
 def _unit_sql(step: str, units: tuple[str, ...]) -> str:
