@@ -78,10 +78,6 @@ def format_timestamp(text: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Colu
     return F.coalesce(F.date_format(parse_time(text), pattern), text)
 
 
-def epoch_micros(ts: Column) -> Column:
-    return F.unix_micros(ts)
-
-
 def seconds_between(start: Column, end: Column) -> Column:
     return (F.unix_micros(end) - F.unix_micros(start)) / F.lit(1e6)
 

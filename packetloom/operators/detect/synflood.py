@@ -23,7 +23,7 @@ def window_profile(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     tcp = F.upper(F.coalesce("protocol", F.lit(""))) == "TCP" if "protocol" in df.columns else F.lit(True)
     mask = tolerant_flags(F.col("tcp_flags")) if "tcp_flags" in df.columns else F.lit(SYN).cast("long")
 
-    def seen(test) -> F.Column:
+    def seen(test):
         return F.count_if(tcp & test)
 
     by_target = df.groupBy(*keys, "dst_ip").agg(
