@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import decontam
+from packetloom.llm import bpe, decontam
 from packetloom.llm.common import sorted_join, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("hits.item_ids").cast("long").alias("n_items"),
         F.sha2(sorted_join(F.col("hits.item_ids")), 256).alias("items_sha256"),
         (F.size("hits.spans") > 0).alias("contaminated"))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query("op4_bpe")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bpe.encode(docs, tokenizer_path()).select(
+        "doc_id", "ids", F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"))
+    return bpe.decode(encoded, tokenizer_path()).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
