@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import bpe, decontam
+from packetloom.llm import bpe, decontam, fingerprints, urls
 from packetloom.llm.common import sorted_join, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,39 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "ids", F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"))
     return bpe.decode(encoded, tokenizer_path()).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op1_fingerprints")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    pairs = fingerprints.with_next(fingerprints.fingerprint(docs), "doc_id", ["text", "sketch"])
+    size = F.length("text")
+    cut = F.floor(size / 4).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), size - cut), F.substring(F.col("next.text"), F.lit(1), cut))
+    pairs = pairs.select("doc_id", size.cast("long").alias("n_chars"), "sketch", F.col("next.sketch").alias("next_sketch"), edited.alias("edited"))
+    pairs = fingerprints.fingerprint(pairs, "edited", "edited_sketch")
+    own, other, after = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return pairs.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.printed(own).alias("fingerprint"), fingerprints.printed(other).alias("edited_fingerprint"),
+        fingerprints.likeness(own, other).alias("near_edited"), fingerprints.likeness(own, after).alias("near_next"),
+        fingerprints.resemblance(own, other).alias("jaccard_edited"), fingerprints.resemblance(own, after).alias("jaccard_next"))
+
+
+URL_RULES = """SELECT * FROM VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+  ('block', 'net', '/es/'), ('block', 'net', '/fr/') AS r(verdict, host, path)"""
+
+
+@query("op5_url_filter", r"""
+WITH rules(verdict, host, path) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+  ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+fit AS (SELECT page_id, arg_max(rules.host || rules.path, length(rules.host || rules.path)) AS rule,
+  arg_max(verdict, length(rules.host || rules.path)) AS verdict
+  FROM parts JOIN rules ON (parts.host = rules.host OR ends_with(parts.host, '.' || rules.host)) AND starts_with(parts.path, rules.path) GROUP BY 1)
+SELECT parts.page_id, parts.host, parts.path, fit.rule, coalesce(fit.verdict, 'allow') AS verdict FROM parts LEFT JOIN fit USING (page_id)""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, spark.sql(URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
