@@ -37,7 +37,7 @@ class WordBpe:
     share is encoded once.
     """
 
-    def __init__(self, spec: dict, cache_words: int = 600_000):
+    def __init__(self, spec: dict, cache_words: int = 300_000):
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.ids: dict[str, int] = model["vocab"]
@@ -49,10 +49,6 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut_special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        names = [""] * (1 + max([*self.ids.values(), *self.special.values()]))
-        for token, i in [*self.ids.items(), *self.special.items()]:
-            names[i] = token
-        self.names = pa.array(names)
         self.letters = _byte_letters()
         self.cache_words = cache_words
         self.cache: dict[str, tuple[int, ...]] = {}
@@ -103,53 +99,47 @@ class WordBpe:
         return self._is_own_encoding(left) and self._is_own_encoding(right)
 
     def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of distinct words (in byte letters), along their trie."""
-        trie: dict = {}
-        for word in words:
-            node = trie
-            for letter in word:
-                node = node.setdefault(letter, {})
-            node[""] = word
+        """Ids of distinct words (in byte letters), along their trie.
+
+        Sorted, the words are their trie in preorder: what a word shares with the one before
+        is the path down to the node where they part, whose states are still at hand, and
+        its other letters are the new nodes below.
+        """
         out: dict[str, tuple[int, ...]] = {}
-        ids, follows, longest = self.ids, self.follows, self.longest
-        # of each prefix of the node at hand: the last token of its encoding, and where that begins
+        ids, follows, longest, suffix = self.ids, self.follows, self.longest, self.suffix
+        # of each node on the path: the last token of its encoding, and where that begins
         last: list[str | None] = [None]
         begins = [0]
-
-        def step(tail: str, depth: int, end: str) -> tuple[str, int]:
-            for size in range(len(tail), 0, -1):
-                token = tail[-size:] + end
-                if token in ids:
-                    key = (last[depth - size], token)
-                    known = follows.get(key)
-                    if known is None:
-                        known = follows[key] = self._may_follow(*key) if key[0] is not None else self._is_own_encoding(token)
-                    if known:
-                        return token, depth - size
-            raise ValueError(f"no token of the vocabulary ends {tail + end!r}")
-
-        todo: list[tuple[dict, str, int]] = [(trie, "", 0)]
-        while todo:
-            node, tail, depth = todo.pop()
-            if depth:
-                del last[depth:], begins[depth:]  # leaves the prefixes of this node
-                word = node.get("")
-                if word is not None:
-                    token, begin = step(tail, depth, self.suffix)
-                    tokens = [ids[token]]
-                    while begin:
-                        tokens.append(ids[last[begin]])
-                        begin = begins[begin]
-                    out[word] = tuple(tokens[::-1])
-                    if len(node) == 1:
-                        continue
-                token, begin = step(tail, depth, "")
-                last.append(token)
-                begins.append(begin)
-            for letter, child in node.items():
-                if letter:
-                    todo.append((child, (tail + letter)[-longest:], depth + 1))
-        if len(follows) > 4 * self.cache_words:
+        before = ""
+        for word in sorted(words):
+            size, shared, most = len(word), 0, min(len(before), len(last) - 1)
+            while shared < most and word[shared] == before[shared]:
+                shared += 1
+            shared = min(shared, size - 1)
+            del last[shared + 1:], begins[shared + 1:]
+            for depth in range(shared + 1, size + 1):
+                end = suffix if depth == size else ""
+                for begin in range(max(0, depth - longest), depth):
+                    token = word[begin:depth] + end
+                    if token in ids:
+                        key = (last[begin], token)
+                        known = follows.get(key)
+                        if known is None:
+                            known = follows[key] = self._may_follow(*key) if begin else self._is_own_encoding(token)
+                        if known:
+                            break
+                else:
+                    raise ValueError(f"no token of the vocabulary ends {word[:depth] + end!r}")
+                if depth < size:
+                    last.append(token)
+                    begins.append(begin)
+            tokens = [ids[token]]
+            while begin:
+                tokens.append(ids[last[begin]])
+                begin = begins[begin]
+            out[word] = tuple(tokens[::-1])
+            before = word
+        if len(follows) > 2 * self.cache_words:
             follows.clear()
         return out
 
@@ -164,6 +154,8 @@ class WordBpe:
         for section in self.cut_special.split(chunk) if self.cut_special else [chunk]:
             if section in self.special:
                 yield self.special[section]
+            elif section.isascii() and section.isalpha():
+                yield section.lower()
             elif section:
                 for m in self.pattern.finditer(self._normal(section)):
                     if m[0]:
@@ -171,13 +163,17 @@ class WordBpe:
 
     def _learn(self, chunks: set[str]) -> None:
         pieces = {chunk: list(self._pieces(chunk)) for chunk in chunks}
-        words = {p for found in pieces.values() for p in found if isinstance(p, str)}
+        words = {p for found in pieces.values() for p in found}
         if len(self.words) > self.cache_words:
             self.words.clear()
         known = self.words
-        known |= self.encode_words(words - known.keys())
+        known |= self.encode_words(w for w in words if w.__class__ is str and w not in known)
         for chunk, found in pieces.items():
-            self.cache[chunk] = tuple(chain.from_iterable((p,) if isinstance(p, int) else known[p] for p in found))
+            if len(found) == 1:
+                first = found[0]
+                self.cache[chunk] = (first,) if first.__class__ is int else known[first]
+            else:
+                self.cache[chunk] = tuple(chain.from_iterable((p,) if p.__class__ is int else known[p] for p in found))
 
     def encode(self, texts: Iterable[str | None]) -> pa.ListArray:
         flat, ends, group, held = [], [0], [], 0
@@ -185,7 +181,7 @@ class WordBpe:
             text = text or ""
             group.append(_SPACE.split(text) if any(c in text for c in _NOT_SPACE) else text.split())
             held += len(group[-1])
-            if held >= self.cache_words // 2:
+            if held >= 100_000:
                 self._encode_group(group, flat, ends)
                 group, held = [], 0
         self._encode_group(group, flat, ends)
@@ -202,21 +198,33 @@ class WordBpe:
             flat.append(ids)
             ends.append(ends[-1] + len(ids))
 
+
+class Decoder:
+    """Tokens by id."""
+
+    def __init__(self, spec: dict):
+        ids = {**spec["model"]["vocab"], **{t["content"]: t["id"] for t in spec["added_tokens"]}}
+        names = [""] * (1 + max(ids.values()))
+        for token, i in ids.items():
+            names[i] = token
+        self.names = pa.array(names, pa.large_string())
+
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """Tokens joined by spaces, as a tokenizer without a decoder gives them."""
-        tokens = self.names.cast(pa.large_string()).take(ids.values)
+        tokens = self.names.take(ids.values)
         return pc.binary_join(pa.LargeListArray.from_arrays(ids.offsets.cast(pa.int64()), tokens), pa.scalar(" ", pa.large_string()))
 
 
-_LOADED: dict[int, WordBpe] = {}
+_LOADED: dict[tuple, object] = {}
 
 
-def _loaded(holder) -> WordBpe:
-    """One encoder a worker, so that its words serve the next tasks too."""
-    if holder.id not in _LOADED:
+def _loaded(holder: _Holder, make):
+    """One encoder or decoder a worker, so that its words serve the next tasks too."""
+    key = (make, holder.id)
+    if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[holder.id] = WordBpe(json.loads(holder.value))
-    return _LOADED[holder.id]
+        _LOADED[key] = make(json.loads(holder.value))
+    return _LOADED[key]
 
 
 class _Holder:
@@ -243,12 +251,12 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
     through the trie; at ``cache_words`` words a worker starts anew.  Other columns stay as
     they are; one already named ``ids`` is replaced.
     """
-    return _mapped(docs, tokenizer, text, ids, "array<int>", lambda bpe, column: bpe.encode(column.to_pylist()))
+    return _mapped(docs, tokenizer, text, ids, "array<int>", WordBpe, lambda bpe, column: bpe.encode(column.to_pylist()))
 
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` with the text of ``ids`` (null: empty): their tokens joined by one space, special ones included."""
-    return _mapped(df, tokenizer, ids, text, "string", lambda bpe, column: bpe.decode(_whole(column)))
+    return _mapped(df, tokenizer, ids, text, "string", Decoder, lambda names, column: names.decode(_whole(column)))
 
 
 def _whole(ids: pa.Array) -> pa.ListArray:
@@ -257,7 +265,7 @@ def _whole(ids: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes.to_numpy(zero_copy_only=False))]), pa.int32()), ids.flatten())
 
 
-def _mapped(df: DataFrame, tokenizer: str, source: str, target: str, kind: str, work) -> DataFrame:
+def _mapped(df: DataFrame, tokenizer: str, source: str, target: str, kind: str, make, work) -> DataFrame:
     shaped = df.withColumn(target, F.lit(None).cast(kind)) if target != source else df
     source_at, target_at = shaped.columns.index(source), shaped.columns.index(target)
     holder = _Holder(df, tokenizer)
@@ -265,7 +273,7 @@ def _mapped(df: DataFrame, tokenizer: str, source: str, target: str, kind: str,
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             arrays = list(batch.columns)
-            arrays[target_at] = work(_loaded(holder), arrays[source_at]).cast(batch.schema.field(target_at).type)
+            arrays[target_at] = work(_loaded(holder, make), arrays[source_at]).cast(batch.schema.field(target_at).type)
             yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
 
     return shaped.mapInArrow(apply, shaped.schema)
