@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import bpe, decontam, fingerprints, urls
+from packetloom.llm import bpe, decontam, fingerprints, licenses, urls
 from packetloom.llm.common import sorted_join, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,9 @@ SELECT parts.page_id, parts.host, parts.path, fit.rule, coalesce(fit.verdict, 'a
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages, spark.sql(URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op6_licenses")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs).drop("text")
