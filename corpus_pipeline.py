@@ -1,11 +1,37 @@
-"""Corpus clean-up: toxicity, line dedup, near-dedup, decontamination, token counts."""
+"""Corpus clean-up: toxicity, line dedup, near-dedup, decontamination, token counts.
+
+Every stage reads what the one before wrote.  An empty table, null texts and repeated rows
+pass through as each stage's operator states; rows without a ``doc_id`` stay, as no
+stage can tell what they repeat.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from packetloom.llm import decontam
+from packetloom.llm import bpe, decontam, linededup, neardup, toxicity
 from packetloom.llm.common import scratch, table
+from packetloom.llm.queries import tokenizer_path
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier finds toxic, by the threshold of their language, go."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that another document holds first are taken out, and ``n_chars`` counted anew.
+
+    Copies of whole documents are left to the next stage; documents that had nothing else go.
+    """
+    left = linededup.without_repeats(docs)
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    return neardup.drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,9 +39,17 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("benchmark decontamination", decontaminate)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document left, with their count and a digest of what they decode to."""
+    ids = bpe.encode(docs, tokenizer_path())
+    return bpe.decode(ids, tokenizer_path()).select(
+        "doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("toxicity", reject_toxic), ("line dedup", dedup_lines), ("near dedup", dedup_documents),
+          ("decontamination", decontaminate), ("encoding", encode)]
 
-# Training, sketches and token ids have no SQL form.
+# Training, sketches and token ids have no SQL form; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
