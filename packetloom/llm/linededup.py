@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from packetloom.llm.common import bind, text_or_empty
 
-REACH = 6  # units next to a repeated chunk that are compared too
+REACH = 4  # units next to a repeated chunk that are compared too
 
 
 def units(text: Column) -> Column:
@@ -39,18 +39,19 @@ def _text_of(u: Column, chunk: Column) -> Column:
 
 
 def _candidates(modulus: int, least_words: int) -> Column:
-    """(start, end, hash) of the chunks of more than one line and ``least_words`` words of the column ``_units``."""
+    """(start, end, hash) of the chunks of more than one line and ``least_words`` words (told by their blanks) of the column ``_units``."""
     u = F.col("_units")
     several = F.filter(chunks(u, modulus), lambda c: c["end"] > c["start"])
     hashed = bind(several, lambda found: F.transform(found, lambda c: bind(_text_of(u, c), lambda t: F.struct(
-        c["start"].alias("start"), c["end"].alias("end"), F.xxhash64(t).alias("hash"), F.size(F.split(t, "\\s+")).alias("words")))))
-    return F.filter(hashed, lambda c: c["words"] > least_words)
+        c["start"].alias("start"), c["end"].alias("end"), F.xxhash64(t).alias("hash"), (F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))).alias("blanks")))))
+    return F.filter(hashed, lambda c: c["blanks"] >= least_words)
 
 
-def _same_run(a: str, b: str) -> Column:
-    """How many leading elements two arrays share."""
-    return F.size(F.filter(F.sequence(F.lit(1), F.lit(REACH)), lambda i: (
-        (i <= F.least(F.size(a), F.size(b))) & (F.slice(F.col(a), 1, i) == F.slice(F.col(b), 1, i)))))
+def _same_run(a: str, b: str, backwards: bool = False) -> Column:
+    """How many leading, or else last, lines two texts share."""
+    turned = (lambda c: F.reverse(units(F.col(c)))) if backwards else (lambda c: units(F.col(c)))
+    return bind(turned(a), lambda x: bind(turned(b), lambda y: F.size(F.filter(F.sequence(F.lit(1), F.lit(REACH)), lambda i: (
+        (i <= F.least(F.size(x), F.size(y))) & (F.slice(x, F.lit(1), i) == F.slice(y, F.lit(1), i)))))))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 3, least_words: int = 8, copy_share: float | None = 0.5) -> DataFrame:
@@ -58,7 +59,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", modulu
 
     A chunk of several lines and ``least_words`` words at least that occurs elsewhere too
     is removed but for its first occurrence, in the order of key and place, after comparing
-    it byte by byte; up to six lines on each side that equal those of the first occurrence
+    it byte by byte; up to four lines on each side that equal those of the first occurrence
     go with it.  What is removed stays where it occurs first.
 
     A document of which one earlier document holds ``copy_share`` (of the words of the
@@ -92,14 +93,14 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", modulu
     held = found.select("_key", "_of", "_row", "doc_words", "_units", F.explode("_places").alias("c")).select(
         "_key", "_of", "_row", "doc_words", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.hash").alias("hash"),
         _text_of(u, F.col("c")).alias("chunk"),
-        F.reverse(F.slice(u, F.greatest(F.lit(1), F.col("c.start") + 1 - REACH), F.least(F.lit(REACH), F.col("c.start")))).alias("before"),
-        F.slice(u, F.col("c.end") + 2, REACH).alias("after"))
+        F.array_join(F.slice(u, F.greatest(F.lit(1), F.col("c.start") + 1 - REACH), F.least(F.lit(REACH), F.col("c.start"))), "").alias("before"),
+        F.array_join(F.slice(u, F.col("c.end") + 2, REACH), "").alias("after"))
     firsts = held.groupBy("hash", "chunk").agg(F.count("*").alias("n"), F.min(F.struct("_key", "_of", "start", "doc_words", "before", "after")).alias("first")).where("n > 1").drop("n")
     again = held.join(firsts, ["hash", "chunk"]).where(
         ~(F.col("_key").eqNullSafe(F.col("first._key")) & (F.col("_of") == F.col("first._of")) & (F.col("start") == F.col("first.start"))))
     again = again.select(
         "_key", "_of", "doc_words", _n_words(F.col("chunk")).alias("words"), F.col("first._key").alias("f_key"), F.col("first._of").alias("f_of"), F.col("first.doc_words").alias("f_words"),
-        F.sequence(F.col("start") - _same_run("before", "first.before"), F.col("end") + _same_run("after", "first.after")).alias("lines"))
+        F.sequence(F.col("start") - _same_run("before", "first.before", backwards=True), F.col("end") + _same_run("after", "first.after")).alias("lines"))
     by_first = again.groupBy("_key", "_of", "f_key", "f_of").agg(
         F.sum("words").alias("words"), F.max(F.greatest("doc_words", "f_words")).alias("longer"), F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))
     itself = F.col("_key").eqNullSafe(F.col("f_key")) & (F.col("_of") == F.col("f_of"))
