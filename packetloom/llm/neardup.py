@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from packetloom.llm.common import stored
 
 BANDS, BAND_ROWS = 30, 4
-SAMPLES = BANDS * BAND_ROWS
-SKETCH_WORDS = 8
-SKETCH_BITS = 64 * SKETCH_WORDS
+SAMPLES, SKETCH_BITS = BANDS * BAND_ROWS, 512
+# of nodes in buckets that hold several components: precise enough to part 0.75 from 0.65
+FINE_SAMPLES, FINE_BITS = 1024, 4096
 _SPACE_FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 _RNG = np.random.default_rng(20_240_101)
-_MULTIPLY = _RNG.integers(1 << 32, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
+_MULTIPLY = _RNG.integers(1 << 32, 1 << 63, FINE_SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _RNG.integers(0, 1 << 63, FINE_SAMPLES, dtype=np.uint64)
 
 
 def shingles(text: bytes | None, size: int = 5) -> np.ndarray:
@@ -44,11 +44,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def minhash(hashes: np.ndarray) -> np.ndarray:
+def minhash(hashes: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
     """Smallest value of the set under each of the hash functions."""
-    best = None
-    for i in range(0, len(hashes), 1024):  # small enough for the cache
-        low = (hashes[i:i + 1024] * _MULTIPLY[:, None] + _ADD[:, None]).min(axis=1)
+    best, part = None, max(32, 130_000 // samples)  # small enough for the cache
+    for i in range(0, len(hashes), part):
+        low = (hashes[i:i + part] * _MULTIPLY[:samples, None] + _ADD[:samples, None]).min(axis=1)
         best = low if best is None else np.minimum(best, low)
     return best
 
@@ -61,22 +61,24 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
+def odd_sketch(samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     """Parity bitmap: every (function, sample) flips one bit."""
-    bit = _mixed(samples + np.arange(SAMPLES, dtype=np.uint64) * np.uint64(0x1000193)) % np.uint64(SKETCH_BITS)
-    odd = np.bincount(bit.astype(np.int64), minlength=SKETCH_BITS) & 1
+    bit = _mixed(samples + np.arange(len(samples), dtype=np.uint64) * np.uint64(0x1000193)) % np.uint64(bits)
+    odd = np.bincount(bit.astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def sketch_limit(similarity: float, deviations: float = 7.0) -> int:
-    """Most bits in which the sketches of two sets of at least that similarity differ, but for one pair in a trillion.
+def sketch_limit(similarity: float, samples: int = SAMPLES, bits: int = SKETCH_BITS, deviations: float = 6.0) -> int:
+    """Most bits in which the sketches of two sets of at least that similarity differ, but for one pair in a billion.
 
-    Of the samples 1 - similarity differ, give or take ``deviations`` standard deviations
-    of a binomial; each differing one flips two bits, some of which meet.
+    Of the samples 1 - similarity differ, with the deviation of a binomial; each differing
+    one flips two bits, and flips that meet cancel out, which adds a deviation of its own.
     """
-    differing = SAMPLES * (1 - similarity) + deviations * (SAMPLES * similarity * (1 - similarity)) ** 0.5
-    expected = SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * differing))
-    return int(expected + deviations * (SKETCH_BITS / 4 * (1 - (1 - 2 / SKETCH_BITS) ** (4 * differing))) ** 0.5 / 2)
+    flips = 2 * samples * (1 - similarity)
+    single = (1 - 2 / bits) ** flips
+    of_samples = 2 * single * (samples * similarity * (1 - similarity)) ** 0.5
+    of_meetings = max(0.0, bits / 4 * (1 - single ** 2) - flips * single ** 2)
+    return int(bits / 2 * (1 - single) + deviations * (of_samples ** 2 + of_meetings) ** 0.5)
 
 
 SIGNED = pa.schema([("doc", pa.int64()), ("node", pa.binary()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
@@ -114,6 +116,20 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc", F.col("text").cast("binary").alias("text")).mapInArrow(sets, "node binary, hashes binary")
 
 
+def fine_sketches(docs: DataFrame, size: int) -> DataFrame:
+    """(node, fine) of (doc, text): the large odd sketches."""
+    schema = pa.schema([("node", pa.binary()), ("fine", pa.list_(pa.int64()))])
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py(), size) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary()),
+                pa.array([odd_sketch(minhash(h, FINE_SAMPLES), FINE_BITS) if len(h) else None for h in sets], pa.list_(pa.int64()))], schema=schema)
+
+    return docs.select("doc", F.col("text").cast("binary").alias("text")).mapInArrow(sketches, "node binary, fine array<long>")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough: 100 * common >= per_cent * all."""
 
@@ -163,16 +179,16 @@ def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 100) -> Da
 
 
 def _bits_apart(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.get(F.col(a), i).bitwiseXOR(F.get(F.col(b), i))) for i in range(SKETCH_WORDS)), F.lit(0))
+    """In how many bits two sketches differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
-def _alike(per_cent: int) -> Column:
-    """Whether sizes and odd sketches of a pair leave the similarity possible."""
-    return (100 * F.least("na", "nb") >= per_cent * F.greatest("na", "nb")) & (_bits_apart("sa", "sb") <= sketch_limit(per_cent / 100))
+def _sizes_fit(per_cent: int) -> Column:
+    return 100 * F.least("na", "nb") >= per_cent * F.greatest("na", "nb")
 
 
-def _side(rows: DataFrame, name: str, *more: str) -> DataFrame:
-    return rows.select(F.col("node").alias(name), F.col("n_shingles").alias(f"n{name}"), F.col("sketch").alias(f"s{name}"), *[F.col(c).alias(f"{c}_{name}") for c in more])
+def _side(rows: DataFrame, name: str, sketch: str, *more: str) -> DataFrame:
+    return rows.select(F.col("node").alias(name), F.col("n_shingles").alias(f"n{name}"), F.col(sketch).alias(f"s{name}"), *[F.col(c).alias(f"{c}_{name}") for c in more])
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, per_cent: int = 75) -> DataFrame:
@@ -186,37 +202,51 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     1. Documents with equal sets are one node from here on.
     2. Bands of MinHash samples put similar nodes into common buckets: at a similarity of
        0.75 a pair misses all of them once in ninety thousand times.  Each member is paired
-       with the smallest of its bucket, never members with each other, so a bucket with a
-       third of all documents gives no more pairs than it has members.
+       with three leaders of its bucket (the node that shares buckets with most others, the
+       smallest and the largest), never members with each other, so a bucket with a
+       third of all documents gives no more than thrice as many pairs as it has members.
     3. Odd sketches and sizes rule pairs out, whole sets confirm the rest, links make
        components.
     4. In a bucket that still holds several components, and only there, members of
-       different components may be similar although neither is to the smallest.  Their
-       sketches are compared within the join, and only pairs that pass leave it.
+       different components may be similar although neither is to a leader.  Their
+       large sketches are compared within the join, and only pairs that pass leave it.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(text, F.lit("")).alias("text")).where(F.col("doc").isNotNull())
     signatures = stored(signed(docs, size), "signatures")
     heads = stored(signatures.where("n_shingles > 0").groupBy("node").agg(
         F.min("doc").alias("first"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")]), "nodes")
 
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        used = heads.join(nodes.distinct(), "node", "left_semi")
+        return docs.join(used.select(F.col("first").alias("doc")).distinct(), "doc", "left_semi")
+
     def compared(pairs: DataFrame) -> DataFrame:
-        used = heads.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-        texts = docs.join(used.select(F.col("first").alias("doc")).distinct(), "doc", "left_semi")
-        return confirmed(pairs, shingle_sets(texts, size), per_cent)
+        return confirmed(pairs, shingle_sets(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node"))), size), per_cent)
 
     members = heads.select("node", F.explode("bands").alias("bucket"))
-    leaders = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = stored(members.join(leaders, "bucket"), "buckets")
-    pairs = shared.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    sifted = stored(pairs.join(_side(heads, "a"), "a").join(_side(heads, "b"), "b").where(_alike(per_cent)).select("a", "b"), "pairs")
+    crowd = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stored(members.join(crowd, "bucket"), "buckets")
+    # the node that meets most others is the likeliest to be what they were copied from
+    central = shared.groupBy("node").agg(F.sum("n").alias("met"))
+    leaders = shared.join(central, "node").groupBy("bucket").agg(
+        F.max(F.struct("met", "node")).alias("most"), F.min("node").alias("least"), F.max("node").alias("last")).select(
+        "bucket", F.explode(F.array_distinct(F.array("most.node", "least", "last"))).alias("leader"))
+    pairs = shared.join(leaders, "bucket").where("node != leader").select(
+        F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+    sifted = stored(pairs.join(_side(heads, "a", "sketch"), "a").join(_side(heads, "b", "sketch"), "b").where(
+        _sizes_fit(per_cent) & (_bits_apart("sa", "sb") <= sketch_limit(per_cent / 100))).select("a", "b"), "pairs")
     links = stored(compared(sifted), "confirmed")
     settled = stored(components(heads, links), "components")
-    # what the smallest of a bucket did not tie together
-    placed = shared.join(settled, "node")
+    # what the leaders of a bucket did not tie together
+    placed = shared.drop("n").join(settled, "node")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-    rest = stored(placed.where("node != leader").join(mixed, "bucket").join(heads.select("node", "n_shingles", "sketch"), "node"), "open-buckets")
-    across = stored(_side(rest, "a", "bucket", "component").join(
-        _side(rest, "b", "bucket", "component"), (F.col("bucket_a") == F.col("bucket_b")) & (F.col("component_a") < F.col("component_b")) & _alike(per_cent)).select("a", "b").distinct(), "more-pairs")
+    rest = stored(placed.join(mixed, "bucket"), "open-buckets")
+    fine = fine_sketches(texts_of(rest.select("node")), size).dropDuplicates(["node"])
+    rest = rest.join(heads.select("node", "n_shingles").join(fine, "node"), "node")
+    across = stored(_side(rest, "a", "fine", "bucket", "component").join(
+        _side(rest, "b", "fine", "bucket", "component"),
+        (F.col("bucket_a") == F.col("bucket_b")) & (F.col("component_a") < F.col("component_b")) & _sizes_fit(per_cent)
+        & (_bits_apart("sa", "sb") <= sketch_limit(per_cent / 100, FINE_SAMPLES, FINE_BITS))).select("a", "b").distinct(), "more-pairs")
     if not across.isEmpty():
         settled = components(heads, links.unionByName(compared(across)))
     named = heads.select("node", "first").join(settled, "node")
