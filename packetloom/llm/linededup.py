@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from packetloom.llm.common import bind, text_or_empty
 
-REACH = 4  # units next to a repeated chunk that are compared too
+REACH = 6  # units next to a repeated chunk that are compared too
 
 
 def units(text: Column) -> Column:
@@ -59,7 +59,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", modulu
 
     A chunk of several lines and ``least_words`` words at least that occurs elsewhere too
     is removed but for its first occurrence, in the order of key and place, after comparing
-    it byte by byte; up to four lines on each side that equal those of the first occurrence
+    it byte by byte; up to six lines on each side that equal those of the first occurrence
     go with it.  What is removed stays where it occurs first.
 
     A document of which one earlier document holds ``copy_share`` (of the words of the
@@ -95,14 +95,19 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", modulu
         _text_of(u, F.col("c")).alias("chunk"),
         F.array_join(F.slice(u, F.greatest(F.lit(1), F.col("c.start") + 1 - REACH), F.least(F.lit(REACH), F.col("c.start"))), "").alias("before"),
         F.array_join(F.slice(u, F.col("c.end") + 2, REACH), "").alias("after"))
-    firsts = held.groupBy("hash", "chunk").agg(F.count("*").alias("n"), F.min(F.struct("_key", "_of", "start", "doc_words", "before", "after")).alias("first")).where("n > 1").drop("n")
-    again = held.join(firsts, ["hash", "chunk"]).where(
-        ~(F.col("_key").eqNullSafe(F.col("first._key")) & (F.col("_of") == F.col("first._of")) & (F.col("start") == F.col("first.start"))))
+    firsts = held.groupBy("hash", "chunk").agg(F.count("*").alias("n"), F.min(F.struct("_key", "_of", "start")).alias("first")).where("n > 1").drop("n")
+    is_first = F.col("_key").eqNullSafe(F.col("first._key")) & (F.col("_of") == F.col("first._of")) & (F.col("start") == F.col("first.start"))
+    # the places of a chunk are moved once: this join and the next read the same exchange
+    keepers = held.join(firsts, ["hash", "chunk"]).where(is_first).select(
+        "hash", "chunk", *[F.col(c).alias(f"f{c}") for c in ("_key", "_of", "start", "doc_words", "before", "after")]).dropDuplicates(["hash", "chunk"])
+    again = held.join(keepers, ["hash", "chunk"]).where(
+        ~(F.col("_key").eqNullSafe(F.col("f_key")) & (F.col("_of") == F.col("f_of")) & (F.col("start") == F.col("fstart"))))
     again = again.select(
-        "_key", "_of", "doc_words", _n_words(F.col("chunk")).alias("words"), F.col("first._key").alias("f_key"), F.col("first._of").alias("f_of"), F.col("first.doc_words").alias("f_words"),
-        F.sequence(F.col("start") - _same_run("before", "first.before", backwards=True), F.col("end") + _same_run("after", "first.after")).alias("lines"))
-    by_first = again.groupBy("_key", "_of", "f_key", "f_of").agg(
-        F.sum("words").alias("words"), F.max(F.greatest("doc_words", "f_words")).alias("longer"), F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))
+        "_key", "_of", "doc_words", "f_key", "f_of", "fdoc_words", F.struct("start", _n_words(F.col("chunk")).alias("words"), F.sequence(
+            F.col("start") - _same_run("before", "fbefore", backwards=True), F.col("end") + _same_run("after", "fafter")).alias("lines")).alias("place"))
+    by_first = again.groupBy("_key", "_of", "f_key", "f_of").agg(F.max(F.greatest("doc_words", "fdoc_words")).alias("longer"), F.collect_set("place").alias("_at")).select(
+        "_key", "_of", "f_key", "f_of", "longer", F.aggregate("_at", F.lit(0), lambda n, x: n + x["words"]).alias("words"),
+        F.array_distinct(F.flatten(F.transform("_at", lambda x: x["lines"]))).alias("lines"))
     itself = F.col("_key").eqNullSafe(F.col("f_key")) & (F.col("_of") == F.col("f_of"))
     drops = by_first.groupBy("_key", "_of").agg(
         F.max(F.when(~itself, F.col("words") / F.col("longer")).otherwise(0.0)).alias("_share"), F.array_distinct(F.flatten(F.collect_list("lines"))).alias("_drop"))
