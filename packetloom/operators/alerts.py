@@ -47,7 +47,7 @@ def cooldown(alerts: DataFrame, window_seconds: float, tiebreak: str = "alert_id
     chunks, every chunk works out where each possible entry leaves it, those
     small summaries are chained per key, and each chunk then replays from its
     known entry.  Alerts with equal times count as one; the smallest
-    ``tiebreak`` stands for them.
+    ``tiebreak`` stands for them.  Alerts without a time all stay.
     """
     if window_seconds <= 0:
         return alerts
@@ -62,8 +62,8 @@ def cooldown(alerts: DataFrame, window_seconds: float, tiebreak: str = "alert_id
     heavy = _heavy_keys(instants.join(sizes.filter(F.col("_n") > light_limit), keys, "left_semi"), keys, window)
     kept = light.unionByName(heavy)
     same = [F.col(f"a.{k}") == F.col(f"k.{k}") for k in [*keys, "_t"]]
-    return (keyed.alias("a").join(kept.alias("k"), [*same, F.col(f"a.{tiebreak}").cast("string") == F.col("k._first")], "left_semi")
-            .drop("_t", *keys))
+    timed = keyed.alias("a").join(kept.alias("k"), [*same, F.col(f"a.{tiebreak}").cast("string") == F.col("k._first")], "left_semi")
+    return timed.drop("_t", *keys).unionByName(alerts.filter(F.col("timestamp").isNull()))
 
 
 def _light_keys(instants: DataFrame, keys: list[str], window: int) -> DataFrame:
@@ -233,10 +233,10 @@ def alert_summary(alerts: DataFrame, n: int = 10) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("detector_name", "alerts"))).alias("detector_counts")))
 
 
-def threat_level(alerts: DataFrame) -> DataFrame:
-    """Worst severity present, LOW when there is none."""
+def threat_level(alerts: DataFrame, *by: str) -> DataFrame:
+    """Worst severity present, LOW when there is none; one row, or one a value of ``by``."""
     worst = F.max(severity_rank(F.upper("severity")))
-    return alerts.agg(F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]),
+    return alerts.groupBy(*by).agg(F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]),
                                    F.greatest(F.lit(1), F.coalesce(worst, F.lit(1)))).alias("threat_level"))
 
 

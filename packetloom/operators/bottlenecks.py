@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from packetloom.operators.alerts import literal_rows, severity_rank
 from packetloom.operators.profile import NetworkProfile
+from packetloom.operators.selection import exact_quantiles
 from packetloom.schemas import SEVERITIES
 
 
@@ -80,9 +81,9 @@ def zscore_spike(per_second: DataFrame, limits: BottleneckLimits = BottleneckLim
 def iqr_spike(per_second: DataFrame, limits: BottleneckLimits = BottleneckLimits()) -> DataFrame:
     """The largest second above the upper quartile fence."""
     x = F.col("packets").cast("double")
-    # seconds with equal counts share one entry of the exact quantile
-    q = per_second.agg(F.count(F.lit(1)).alias("n"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.max(x).alias("x"))
-    fence = F.col("q")[1] + limits.spike_iqr * (F.col("q")[1] - F.col("q")[0])
+    low, high = exact_quantiles(per_second, ["packets"], [0.25, 0.75])["packets"]
+    q = per_second.agg(F.count(F.lit(1)).alias("n"), F.max(x).alias("x"))
+    fence = F.lit(None).cast("double") if low is None else F.lit(high + limits.spike_iqr * (high - low))
     return _events(q, _event(
         (F.col("n") >= 4) & (F.col("x") > fence), "pps_spike_iqr", "MEDIUM", "packets_per_second", F.col("x"), fence,
         F.format_string("outlier of %.0f packets/s", F.col("x")), "Check which application bursts."))

@@ -27,8 +27,12 @@ DETECTORS: tuple[tuple[str, int, Detector], ...] = (
 
 def all_alerts(df: DataFrame, limits: Thresholds = Thresholds(),
                detectors: Sequence[tuple[str, int, Detector]] = DETECTORS,
-               disabled: Sequence[str] = ()) -> DataFrame:
-    """Alerts of all enabled detectors.  One that cannot be planned is logged and left out."""
+               disabled: Sequence[str] = (), failed: list[str] | None = None) -> DataFrame:
+    """Alerts of all enabled detectors.
+
+    One that cannot be planned ends the run; with a ``failed`` list it is logged, named
+    there and left out.
+    """
     found = None
     for name, _, detect in sorted(detectors, key=lambda d: d[1]):
         if name in disabled:
@@ -36,7 +40,10 @@ def all_alerts(df: DataFrame, limits: Thresholds = Thresholds(),
         try:
             alerts = detect(df, limits)
         except Exception:
+            if failed is None:
+                raise
             log.exception("detector %s failed", name)
+            failed.append(name)
             continue
         found = alerts if found is None else found.unionByName(alerts)
     if found is None:
@@ -57,6 +64,6 @@ def first_per_key(alerts: DataFrame) -> DataFrame:
 
 def run_detection(df: DataFrame, limits: Thresholds = Thresholds(), dedup: bool = True,
                   detectors: Sequence[tuple[str, int, Detector]] = DETECTORS,
-                  disabled: Sequence[str] = ()) -> DataFrame:
-    alerts = all_alerts(df, limits, detectors, disabled)
+                  disabled: Sequence[str] = (), failed: list[str] | None = None) -> DataFrame:
+    alerts = all_alerts(df, limits, detectors, disabled, failed)
     return first_per_key(alerts) if dedup else alerts

@@ -9,6 +9,7 @@ value.  Each round is one scan of one column and returns one row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -27,63 +28,108 @@ class Cut:
     equal: int
 
 
-def cut_at_rank(df: DataFrame, column: str, k: int) -> Cut | None:
-    """Value of the ``k``-th largest ``column`` and how many of its copies are in the top ``k``.
-
-    None when the table has at most ``k`` rows with a value.
-    """
-    rows = df.select(F.col(column).alias("x")).filter(F.col("x").isNotNull())
-    lo, hi, total = rows.agg(F.min("x"), F.max("x"), F.count(F.lit(1))).first()
+def _ranked(df: DataFrame, x: Column, k: int) -> tuple[Cut | None, int, int]:
+    """(cut at the ``k``-th largest value, rows with a value, rows without one); the cut is None if at most ``k`` have one."""
+    column = df.select(x.alias("x"))
+    floating = column.schema["x"].dataType.typeName() in ("double", "float")
+    if floating:  # NaN is no value, and the infinities are counted apart
+        column = column.select(F.nanvl(F.col("x").cast("double"), F.lit(None).cast("double")).alias("x"))
+    infinity = F.lit(float("inf"))
+    finite = (F.abs("x") != infinity) if floating else F.col("x").isNotNull()
+    lo, hi, total, rows_all, top, inner = column.agg(
+        F.min(F.when(finite, F.col("x"))), F.max(F.when(finite, F.col("x"))), F.count("x"), F.count(F.lit(1)),
+        F.count_if(F.col("x") == infinity) if floating else F.lit(0), F.count_if(F.coalesce(finite, F.lit(False)))).first()
     if total <= k or k <= 0:
-        return None
-    above, equal = 0, total
+        return None, total, rows_all - total
+    if k <= top:
+        return Cut(float("inf"), 0, k, top), total, rows_all - total
+    if k > top + inner:
+        return Cut(float("-inf"), top + inner, k - top - inner, total - top - inner), total, rows_all - total
+    above, equal = top, inner
+    rows = column.filter(finite)
     while lo != hi:
         inside = rows.filter(F.col("x").between(F.lit(lo), F.lit(hi)))
-        # the bin number never falls as x grows, so whole bins are ordered
-        bin_no = F.least(F.lit(BINS - 1), F.floor(
-            (F.col("x") - F.lit(lo)).cast("double") / F.lit(float(hi - lo)) * BINS))
-        bins = inside.groupBy(bin_no.alias("bin")).agg(
+        # the bin number never falls as x grows, so whole bins are ordered; halves where the whole width is no double
+        if math.isfinite(hi - lo):
+            share = (F.col("x") - F.lit(lo)).cast("double") / F.lit(float(hi - lo))
+        else:
+            share = (F.col("x") / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2)
+        bins = inside.groupBy(F.least(F.lit(BINS - 1), F.floor(share * BINS)).alias("bin")).agg(
             F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
         # at most BINS rows reach this window
         upto = F.sum("n").over(Window.orderBy(F.desc("bin")))
         hit = (bins.withColumn("upto", upto).filter(F.col("upto") >= k - above)
                .orderBy(F.desc("bin")).select("n", "lo", "hi", "upto").first())
+        if (hit["lo"], hit["hi"]) == (lo, hi):
+            raise ArithmeticError(f"values between {lo} and {hi} lie too close to be told apart")
         above += hit["upto"] - hit["n"]
         lo, hi, equal = hit["lo"], hit["hi"], hit["n"]
-    return Cut(lo, above, k - above, equal)
+    return Cut(lo, above, k - above, equal), total, rows_all - total
+
+
+def cut_at_rank(df: DataFrame, column: str, k: int) -> Cut | None:
+    """Value of the ``k``-th largest ``column`` and how many of its copies are in the top ``k``.
+
+    Null and NaN are no values.  None when the table has at most ``k`` rows with a value.
+    """
+    return _ranked(df, F.col(column), k)[0]
+
+
+def _row_hash(df: DataFrame) -> Column:
+    """A number that tells rows with equal order columns apart, the same in every run."""
+    return F.shiftright(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), 2)
 
 
 def top_rows(df: DataFrame, order: Sequence[str], k: int) -> DataFrame:
-    """The ``k`` largest rows by the numeric columns ``order``, exactly, as a filter.
+    """The ``k`` largest rows by the numeric columns ``order``: exactly ``k``, or all where there are fewer.
 
-    Rows tied on every column of ``order`` but the last are decided by the next
-    one; give a unique last column to make the choice definite.
+    Rows without a value (null or NaN) come after all others.  Rows tied on every column of
+    ``order`` are decided by a hash of the row; of rows equal in all columns it does not
+    matter which are taken.
     """
-    return df.filter(top_filter(df, order, k))
+    columns = [F.col(c) for c in order]
+    sure, tied, open_ = _top(df, [*columns, _row_hash(df)], k)
+    kept = df.filter(sure)
+    return kept if tied is None else kept.unionByName(df.filter(tied).limit(open_))
 
 
 def top_filter(df: DataFrame, order: Sequence[str], k: int) -> Column:
+    """The same as a condition; rows equal in all columns are taken together, so only they can exceed ``k``."""
+    sure, tied, _ = _top(df, [*[F.col(c) for c in order], _row_hash(df)], k)
+    return sure if tied is None else sure | tied
+
+
+def _top(df: DataFrame, order: list[Column], k: int) -> tuple[Column, Column | None, int]:
+    """(condition of rows in the top ``k``, condition of equal rows of which some more are, how many)."""
     if k <= 0:
-        return F.lit(False)
-    first, rest = order[0], list(order[1:])
-    cut = cut_at_rank(df, first, k)
+        return F.lit(False), None, 0
+    x, rest = order[0], order[1:]
+    cut, total, missing = _ranked(df, x, k)
+    if total + missing <= k:
+        return F.lit(True), None, 0
+    value = F.nanvl(x.cast("double"), F.lit(None).cast("double")) if df.select(x.alias("x")).schema["x"].dataType.typeName() in ("double", "float") else x
     if cut is None:
-        return F.col(first).isNotNull()
-    higher = F.col(first) > F.lit(cut.value)
-    tied = F.col(first) == F.lit(cut.value)
-    if cut.taken >= cut.equal or not rest:
-        return higher | tied
-    return higher | (tied & top_filter(df.filter(tied), rest, cut.taken))
+        sure, tied, open_ = _top(df.filter(value.isNull()), rest, k - total)
+        return value.isNotNull() | sure, None if tied is None else value.isNull() & tied, open_
+    higher = F.coalesce(value > F.lit(cut.value), F.lit(False))
+    same = F.coalesce(value == F.lit(cut.value), F.lit(False))
+    if cut.taken >= cut.equal:
+        return higher | same, None, 0
+    if not rest:
+        return higher, same, cut.taken
+    sure, tied, open_ = _top(df.filter(same), rest, cut.taken)
+    return higher | (same & sure), None if tied is None else same & tied, open_
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float],
                     accuracy: int = 10_000, exact_limit: int = 2_000_000) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles of many columns in a few scans.
+    """Linear-interpolated quantiles of many columns in a few scans; null and NaN are no values.
 
     A mergeable sketch brackets each quantile, counting fixes its place inside
     the bracket, and only the values inside are looked at exactly.  A bracket
     holding more than ``exact_limit`` values is narrowed again first.
     """
+    df = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in dict.fromkeys(columns)])
     eps = 2.0 / accuracy
     brackets: dict[tuple[str, float], tuple[float, float]] = {}
     sketch = df.agg(*[

@@ -125,10 +125,9 @@ def _(spark, d):
 
 
 @register("k14_threat_level", over("a", f"""SELECT source_ip, CASE max({RANK.format(c='upper(severity)')}) WHEN 4 THEN 'CRITICAL' WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS threat_level
-    FROM a WHERE attack_type = 'NetworkHealth' GROUP BY 1 HAVING source_ip = '192.168.1.8'"""))
+    FROM a GROUP BY 1"""))
 def _(spark, d):
-    rows = A(spark, d).filter("attack_type = 'NetworkHealth' AND source_ip = '192.168.1.8'")
-    return al.threat_level(rows).select(F.lit("192.168.1.8").alias("source_ip"), "threat_level")
+    return al.threat_level(A(spark, d), "source_ip")
 
 
 @register("k15_acknowledge_state", over("a", """WITH e AS (SELECT alert_id, timestamp + INTERVAL 2 HOUR AS t FROM a WHERE severity = 'HIGH' UNION ALL SELECT alert_id, timestamp + INTERVAL 1 HOUR FROM a WHERE attack_type LIKE 'DDoS%')

@@ -576,13 +576,15 @@ def _(spark, d):
     return protocols.protocol_baseline(P(spark, d))
 
 
-@register("f8_protocol_drift", over("p", """WITH cur AS (SELECT * FROM p WHERE src_ip IN ('192.168.1.8', '192.168.1.9')), base AS (SELECT * FROM p WHERE src_ip <> '192.168.1.8'),
+@register("f8_protocol_drift", over("p", """WITH mid AS (SELECT min(epoch_us(timestamp)) + (max(epoch_us(timestamp)) - min(epoch_us(timestamp))) // 2 AS t FROM p),
+    cur AS (SELECT p.* FROM p, mid WHERE epoch_us(timestamp) > t), base AS (SELECT p.* FROM p, mid WHERE epoch_us(timestamp) <= t),
     c AS (SELECT protocol, round(count(*)::DOUBLE / (SELECT count(*) FROM cur) * 100, 2) AS percentage FROM cur GROUP BY 1),
     e AS (SELECT protocol, round(count(*)::DOUBLE / (SELECT count(*) FROM base) * 100, 2) AS percentage FROM base GROUP BY 1)
     SELECT c.protocol, c.percentage, coalesce(e.percentage, 0.0)::DOUBLE AS baseline_pct, round(abs(c.percentage - coalesce(e.percentage, 0)), 2) AS delta_pct,
     printf('share moved from %.1f%% to %.1f%%', coalesce(e.percentage, 0)::DOUBLE, c.percentage) AS reason
-    FROM c LEFT JOIN e ON c.protocol = e.protocol WHERE abs(c.percentage - coalesce(e.percentage, 0)) > 20"""))
+    FROM c LEFT JOIN e ON c.protocol = e.protocol WHERE abs(c.percentage - coalesce(e.percentage, 0)) > 0.001"""))
 def _(spark, d):
-    packets = P(spark, d)
-    baseline = protocols.protocol_baseline(packets.filter("src_ip <> '192.168.1.8'"))
-    return protocols.protocol_drift(packets.filter("src_ip IN ('192.168.1.8', '192.168.1.9')"), baseline)
+    packets = P(spark, d).withColumn("_t", F.unix_micros("timestamp"))
+    middle = packets.agg((F.min("_t") + F.expr("(max(_t) - min(_t)) div 2")).alias("_middle"))
+    halves = packets.crossJoin(F.broadcast(middle))
+    return protocols.protocol_drift(halves.filter("_t > _middle"), protocols.protocol_baseline(halves.filter("_t <= _middle")), points=0.001)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -253,7 +254,7 @@ def _(spark, d):
 def _(spark, d):
     rows = fixtures.packets(spark, d)
     kept = prep.varying_columns(rows, PREP)
-    return rows.limit(1).select(F.explode(F.array(*[F.lit(c) for c in PREP])).alias("name")).withColumn("kept", F.col("name").isin(*kept))
+    return spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in PREP])).alias("name")).withColumn("kept", F.col("name").isin(*kept))
 
 
 @register("n9_standard_scaling", over("p", f"WITH {SCALE_SQL} {_r(SCALED, 'sc')}"))
@@ -286,6 +287,6 @@ def _(spark, d):
 @register("n13_saved_preprocessing", over("p", f"WITH {SCALE_SQL} {_r(SCALED, 'sc')}"))
 def _(spark, d):
     rows = holes(spark, d)
-    path = f"{checkpoint_root(spark)}/preprocessing"
+    path = f"{checkpoint_root(spark)}/preprocessing-{uuid.uuid4().hex}"
     prep.save(spark, prep.fit(rows, PREP), path)
     return rounded(prep.apply(rows, prep.load(spark, path), ["packet_number"]), SCALED)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings every job relies on.
@@ -52,12 +50,12 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts.
 
-    On a cluster this is ``spark.checkpoint.dir``, set by whoever runs it; a
-    temporary folder is used only when that is unset, i.e. in local tests.
+    On a cluster this is ``spark.checkpoint.dir``, set by whoever runs it.  Where
+    it is unset, a folder in the warehouse is taken, which all nodes share too.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="packetloom-ckpt-")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)

@@ -17,7 +17,6 @@ from packetloom.operators.traffic import ingest_summary
 from packetloom.schemas import CSV_ALIASES, DISSECTED, PACKETS
 
 SPLIT_TABLE_LIMIT = 1_000_000
-PAGE_LIMIT = 10_000
 _LONG_NAMES = {short: long for long, short in CSV_ALIASES.items()}
 
 
@@ -39,12 +38,12 @@ def read_csv(spark: SparkSession, path: str, must_have_rows: bool = False) -> Da
 def read_table(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Packet table; with ``limit`` only the newest rows.
 
-    A page is taken as top-k; a large limit becomes a cut-off found by
-    counting, so no task holds ``limit`` rows.
+    The limit becomes a cut-off found by counting, so no task holds ``limit``
+    rows; rows without a time come after all others.
     """
     rows = spark.read.parquet(path)
-    if limit is None or limit <= PAGE_LIMIT:
-        return newest(rows, limit)
+    if limit is None:
+        return newest(rows, None)
     timed = rows.withColumn("_t", F.unix_micros("timestamp"))
     return top_rows(timed, ["_t", "packet_number"], limit).drop("_t")
 
@@ -168,15 +167,22 @@ def keep_newest(spark: SparkSession, path: str, target: str, keep: int = 1_000_0
 
     Days wholly after the cut-off pass through by partition pruning; only the
     boundary day is compared row by row.  Gives the kept rows, or None when
-    nothing has to go.
+    nothing has to go.  Packets without a time are the oldest.
     """
     rows = spark.read.parquet(path).withColumn("_t", F.unix_micros("timestamp"))
     if rows.count() <= keep:
         return None
     cut = cut_at_rank(rows, "_t", keep)
+    if cut is None:  # all packets with a time stay
+        timeless = rows.filter(F.col("_t").isNull())
+        return _rewritten(spark, rows.filter(F.col("_t").isNotNull()).unionByName(
+            top_rows(timeless, ["packet_number"], keep - rows.filter(F.col("_t").isNotNull()).count())), target)
     day = F.to_date(F.timestamp_micros(F.lit(cut.value)))
     boundary = top_rows(rows.filter(F.col("event_date") == day), ["_t", "packet_number"],
                         keep - rows.filter(F.col("event_date") > day).count())
-    kept = rows.filter(F.col("event_date") > day).unionByName(boundary).drop("_t")
-    kept.hint("rebalance", F.col("event_date")).write.mode("overwrite").partitionBy("event_date").parquet(target)
+    return _rewritten(spark, rows.filter(F.col("event_date") > day).unionByName(boundary), target)
+
+
+def _rewritten(spark: SparkSession, rows: DataFrame, target: str) -> DataFrame:
+    rows.drop("_t").hint("rebalance", F.col("event_date")).write.mode("overwrite").partitionBy("event_date").parquet(target)
     return spark.read.parquet(target)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 KEY = ["source_ip", "attack_type"]
@@ -14,30 +15,33 @@ KEY = ["source_ip", "attack_type"]
 def cooldown(alerts: DataFrame, window_seconds: float, delay: str = "10 minutes") -> DataFrame:
     """Per (source, attack type) pass an alert when the last passed one is old enough.
 
-    State is one time per key and is dropped once the watermark is past the
-    cooldown, after which the next alert passes anyway.  Alerts of one batch
-    are taken in time order; an alert that arrives out of order across batches
-    is judged against what has passed before it in arrival order.
+    State is one time per key, in microseconds, and is dropped once the watermark is past
+    the cooldown, after which the next alert passes anyway.  Alerts of one batch are taken
+    in time order; an alert that arrives out of order across batches is judged against what
+    has passed before it in arrival order.  Alerts without a time all pass, and a null
+    source or type is the same key as an empty one, as in the batch form.
     """
     schema = alerts.schema
     names = schema.names
-    step = pd.Timedelta(seconds=window_seconds)
+    step = round(window_seconds * 1_000_000)
 
     def judge(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["timestamp", "alert_id"])
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values(["timestamp", "alert_id"], na_position="last")
+        times = rows["timestamp"].astype("datetime64[us]").astype("int64").to_numpy()
         kept = []
-        for place, when in enumerate(rows["timestamp"]):
-            if last is None or when - last >= step:
+        for place, timeless in enumerate(rows["timestamp"].isna()):
+            if timeless or last is None or times[place] - last >= step:
                 kept.append(place)
-                last = when
-        state.update((int(last.value // 1_000 if last.unit == "ns" else last.as_unit("us").value),))
-        expires = int((last + step).timestamp() * 1_000)
-        state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
+                last = last if timeless else int(times[place])
+        if last is not None:
+            state.update((last,))
+            state.setTimeoutTimestamp(max((last + step) // 1_000, state.getCurrentWatermarkMs() + 1))
         yield rows.iloc[kept][names]
 
-    return alerts.withWatermark("timestamp", delay).groupBy(*KEY).applyInPandasWithState(
+    keyed = alerts.withColumns({f"_{k}": F.coalesce(k, F.lit("")) for k in KEY})
+    return keyed.withWatermark("timestamp", delay).groupBy(*[f"_{k}" for k in KEY]).applyInPandasWithState(
         judge, schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
