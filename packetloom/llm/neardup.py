@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     def compared(pairs: DataFrame) -> DataFrame:
         return confirmed(pairs, shingle_sets(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node"))), size), per_cent)
 
-    members = heads.select("node", F.explode("bands").alias("bucket"))
+    members = heads.select("node", F.posexplode("bands").alias("band", "bucket"))
     crowd = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = stored(members.join(crowd, "bucket"), "buckets")
     # the node that meets most others is the likeliest to be what they were copied from
@@ -242,11 +242,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
     rest = stored(placed.join(mixed, "bucket"), "open-buckets")
     fine = fine_sketches(texts_of(rest.select("node")), size).dropDuplicates(["node"])
-    rest = rest.join(heads.select("node", "n_shingles").join(fine, "node"), "node")
-    across = stored(_side(rest, "a", "fine", "bucket", "component").join(
-        _side(rest, "b", "fine", "bucket", "component"),
+    rest = rest.join(heads.select("node", "n_shingles", "bands").join(fine, "node"), "node").withColumn("earlier", F.slice("bands", F.lit(1), F.col("band")))
+    # a pair leaves the first bucket that it shares only
+    across = stored(_side(rest, "a", "fine", "bucket", "component", "earlier").join(
+        _side(rest, "b", "fine", "bucket", "component", "earlier"),
         (F.col("bucket_a") == F.col("bucket_b")) & (F.col("component_a") < F.col("component_b")) & _sizes_fit(per_cent)
-        & (_bits_apart("sa", "sb") <= sketch_limit(per_cent / 100, FINE_SAMPLES, FINE_BITS))).select("a", "b").distinct(), "more-pairs")
+        & (_bits_apart("sa", "sb") <= sketch_limit(per_cent / 100, FINE_SAMPLES, FINE_BITS)) & ~F.arrays_overlap("earlier_a", "earlier_b")).select("a", "b"), "more-pairs")
     if not across.isEmpty():
         settled = components(heads, links.unionByName(compared(across)))
     named = heads.select("node", "first").join(settled, "node")
