@@ -95,10 +95,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", modulu
         _text_of(u, F.col("c")).alias("chunk"),
         F.array_join(F.slice(u, F.greatest(F.lit(1), F.col("c.start") + 1 - REACH), F.least(F.lit(REACH), F.col("c.start"))), "").alias("before"),
         F.array_join(F.slice(u, F.col("c.end") + 2, REACH), "").alias("after"))
-    firsts = held.groupBy("hash", "chunk").agg(F.count("*").alias("n"), F.min(F.struct("_key", "_of", "start")).alias("first")).where("n > 1").drop("n")
-    is_first = F.col("_key").eqNullSafe(F.col("first._key")) & (F.col("_of") == F.col("first._of")) & (F.col("start") == F.col("first.start"))
-    # the places of a chunk are moved once: this join and the next read the same exchange
-    keepers = held.join(firsts, ["hash", "chunk"]).where(is_first).select(
+    firsts = held.groupBy("hash", "chunk").agg(F.count("*").alias("n"), F.min(F.struct("_key", "_of", "start", "end")).alias("first")).where("n > 1").drop("n")
+    is_first = F.col("_key").eqNullSafe(F.col("first._key")) & (F.col("_of") == F.col("first._of")) & (F.col("start") == F.col("first.start")) & (F.col("end") == F.col("first.end"))
+    # the places of a chunk are moved once: this join and the next have the same keys (which the
+    # coalesce keeps a plain test) and columns, and so the same exchange
+    keepers = held.join(firsts, ["hash", "chunk"]).where(F.coalesce(is_first, F.lit(False))).select(
         "hash", "chunk", *[F.col(c).alias(f"f{c}") for c in ("_key", "_of", "start", "doc_words", "before", "after")]).dropDuplicates(["hash", "chunk"])
     again = held.join(keepers, ["hash", "chunk"]).where(
         ~(F.col("_key").eqNullSafe(F.col("f_key")) & (F.col("_of") == F.col("f_of")) & (F.col("start") == F.col("fstart"))))
