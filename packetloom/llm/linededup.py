@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from packetloom.llm.common import bind, text_or_empty
 
-REACH = 6  # units next to a repeated chunk that are compared too
-
 
 def units(text: Column) -> Column:
     """The text cut after line ends and, as prose runs on in long lines, after sentence and clause marks; joined they give the text."""
@@ -38,29 +36,48 @@ def _text_of(u: Column, chunk: Column) -> Column:
     return F.array_join(F.slice(u, chunk["start"] + 1, chunk["end"] - chunk["start"] + 1), "")
 
 
-def _candidates(modulus: int, least_words: int) -> Column:
-    """(start, end, hash) of the chunks of more than one line and ``least_words`` words (told by their blanks) of the column ``_units``."""
-    u = F.col("_units")
-    several = F.filter(chunks(u, modulus), lambda c: c["end"] > c["start"])
-    hashed = bind(several, lambda found: F.transform(found, lambda c: bind(_text_of(u, c), lambda t: F.struct(
-        c["start"].alias("start"), c["end"].alias("end"), F.xxhash64(t).alias("hash"), (F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))).alias("blanks")))))
-    return F.filter(hashed, lambda c: c["blanks"] >= least_words)
+def _candidates(least_words: int) -> Column:
+    """(start, end, hash) of the shortest runs of several units and ``least_words`` words of the column ``_units``.
+
+    One run begins at every unit that has words and one ends at every such unit, so the runs
+    within a repeated passage cover it whole, wherever it stands.
+    """
+    least = F.lit(least_words)
+
+    def of(p: Column) -> Column:  # (at, words) of the units with words, one word at least
+        last = F.size(p) - 1
+        pair = lambda k: F.get(p, k)["words"] + F.get(p, k + 1)["words"] >= least
+        enough = lambda k, m: F.aggregate(F.slice(p, k + 1, m - k + 1), F.lit(0), lambda n, x: n + x["words"]) >= least
+        run = lambda k, m: F.when(m.isNotNull() & k.isNotNull(), F.struct(F.get(p, k)["at"].alias("start"), F.get(p, m)["at"].alias("end")))
+
+        def forward(k: Column) -> Column:
+            far = F.least(k + least - 1, last)
+            more = F.when(far >= k + 2, F.get(F.filter(F.sequence(k + 2, far), lambda m: enough(k, m)), 0))
+            return bind(F.when(pair(k), k + 1).otherwise(more), lambda m: run(k, m))
+
+        def backward(m: Column) -> Column:
+            far = F.greatest(m - least + 1, F.lit(0))
+            more = F.when(far <= m - 2, F.get(F.filter(F.sequence(m - 2, far, F.lit(-1)), lambda k: enough(k, m)), 0))
+            return bind(F.when(~pair(m - 1), more), lambda k: run(k, m))
+        runs = F.concat(F.transform(F.sequence(F.lit(0), last - 1), forward), F.transform(F.sequence(F.lit(1), last), backward))
+        return F.when(last > 0, F.array_distinct(F.filter(runs, lambda r: r.isNotNull())))
+    with_words = F.filter(F.transform("_units", lambda t, i: F.struct(i.alias("at"), _n_words(t).alias("words"))), lambda x: x["words"] > 0)
+    return bind(F.transform("_units", lambda t: F.xxhash64(t)), lambda h: F.transform(bind(with_words, of), lambda r: F.struct(
+        r["start"].alias("start"), r["end"].alias("end"), F.xxhash64(F.slice(h, r["start"] + 1, r["end"] - r["start"] + 1)).alias("hash"))))
 
 
-def _same_run(a: str, b: str, backwards: bool = False) -> Column:
-    """How many leading, or else last, lines two texts share."""
-    turned = (lambda c: F.reverse(units(F.col(c)))) if backwards else (lambda c: units(F.col(c)))
-    return bind(turned(a), lambda x: bind(turned(b), lambda y: F.size(F.filter(F.sequence(F.lit(1), F.lit(REACH)), lambda i: (
-        (i <= F.least(F.size(x), F.size(y))) & (F.slice(x, F.lit(1), i) == F.slice(y, F.lit(1), i)))))))
+def _share(part: Column, text: Column) -> Column:
+    """Words of the lines of ``part``, as a share of those of the longer document."""
+    return _n_words(F.array_join(F.transform(part["lines"], lambda i: F.get(F.col("_units"), i)), "")) / F.greatest(_n_words(text), part["words"])
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 3, least_words: int = 8, copy_share: float | None = 0.5) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``, and ``n_lines``, ``n_removed``, ``is_copy``.
 
-    A chunk of several lines and ``least_words`` words at least that occurs elsewhere too
-    is removed but for its first occurrence, in the order of key and place, after comparing
-    it byte by byte; up to six lines on each side that equal those of the first occurrence
-    go with it.  What is removed stays where it occurs first.
+    A run of several lines and ``least_words`` words at least that occurs elsewhere too is
+    removed but for its first occurrence, in the order of key and place, after comparing it
+    byte by byte.  Every line begins a run and ends one, so a longer passage goes whole.
+    What is removed stays where it occurs first; where runs overlap, line by line.
 
     A document of which one earlier document holds ``copy_share`` (of the words of the
     longer of both) is a copy as a whole: it is left as it is and marked ``is_copy``, for
@@ -70,10 +87,10 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", modulu
     alike; rows of one key and different texts are different documents, a null key
     comes first.  Other columns are kept; those with the names of the results are replaced.
 
-    Hashes of chunks are counted with partial sums; only documents that hold a repeated
-    hash are cut again, and only such chunks are moved as text.  The table itself is moved
+    Hashes of runs are counted with partial sums; only documents that hold a repeated
+    hash are cut again, and only such runs are moved as text.  The table itself is moved
     once: both joins with it use the same columns and keys and so share one exchange.  A
-    chunk of a third of all documents is one row a task in the counts, and one key of a
+    run of a third of all documents is one row a task in the counts, and one key of a
     plain join that the runtime may split.
     """
     new = ("n_lines", "n_removed", "is_copy")
@@ -82,7 +99,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", modulu
     same = lambda a, b: F.col(f"{a}.{key}").eqNullSafe(F.col(f"{b}._key")) & (F.col(f"{a}._hash") == F.col(f"{b}._of"))
 
     cut = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_of"), units(text_or_empty(text)).alias("_units"))
-    seen = cut.select("_key", "_of", F.explode(_candidates(modulus, least_words)).alias("c")).select("_key", "_of", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.hash").alias("hash"))
+    seen = cut.select("_key", "_of", F.explode(_candidates(least_words)).alias("c")).select("_key", "_of", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.hash").alias("hash"))
     repeated = seen.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     places = seen.join(repeated, "hash").groupBy("_key", "_of").agg(F.collect_set(F.struct("start", "end", "hash")).alias("_places"))
 
@@ -91,32 +108,24 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", modulu
     found = rows.alias("r").join(places.alias("p"), same("r", "p")).select(
         "_key", "_of", F.xxhash64(*[F.col(f"r.{c}") for c in kept]).alias("_row"), units(text_or_empty(f"r.{text}")).alias("_units"), _n_words(F.col(f"r.{text}")).alias("doc_words"), "_places")
     held = found.select("_key", "_of", "_row", "doc_words", "_units", F.explode("_places").alias("c")).select(
-        "_key", "_of", "_row", "doc_words", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.hash").alias("hash"),
-        _text_of(u, F.col("c")).alias("chunk"),
-        F.array_join(F.slice(u, F.greatest(F.lit(1), F.col("c.start") + 1 - REACH), F.least(F.lit(REACH), F.col("c.start"))), "").alias("before"),
-        F.array_join(F.slice(u, F.col("c.end") + 2, REACH), "").alias("after"))
-    firsts = held.groupBy("hash", "chunk").agg(F.count("*").alias("n"), F.min(F.struct("_key", "_of", "start", "end")).alias("first")).where("n > 1").drop("n")
-    is_first = F.col("_key").eqNullSafe(F.col("first._key")) & (F.col("_of") == F.col("first._of")) & (F.col("start") == F.col("first.start")) & (F.col("end") == F.col("first.end"))
-    # the places of a chunk are moved once: this join and the next have the same keys (which the
-    # coalesce keeps a plain test) and columns, and so the same exchange
-    keepers = held.join(firsts, ["hash", "chunk"]).where(F.coalesce(is_first, F.lit(False))).select(
-        "hash", "chunk", *[F.col(c).alias(f"f{c}") for c in ("_key", "_of", "start", "doc_words", "before", "after")]).dropDuplicates(["hash", "chunk"])
-    again = held.join(keepers, ["hash", "chunk"]).where(
-        ~(F.col("_key").eqNullSafe(F.col("f_key")) & (F.col("_of") == F.col("f_of")) & (F.col("start") == F.col("fstart"))))
-    again = again.select(
-        "_key", "_of", "doc_words", "f_key", "f_of", "fdoc_words", F.struct("start", _n_words(F.col("chunk")).alias("words"), F.sequence(
-            F.col("start") - _same_run("before", "fbefore", backwards=True), F.col("end") + _same_run("after", "fafter")).alias("lines")).alias("place"))
-    by_first = again.groupBy("_key", "_of", "f_key", "f_of").agg(F.max(F.greatest("doc_words", "fdoc_words")).alias("longer"), F.collect_set("place").alias("_at")).select(
-        "_key", "_of", "f_key", "f_of", "longer", F.aggregate("_at", F.lit(0), lambda n, x: n + x["words"]).alias("words"),
-        F.array_distinct(F.flatten(F.transform("_at", lambda x: x["lines"]))).alias("lines"))
-    itself = F.col("_key").eqNullSafe(F.col("f_key")) & (F.col("_of") == F.col("f_of"))
-    drops = by_first.groupBy("_key", "_of").agg(
-        F.max(F.when(~itself, F.col("words") / F.col("longer")).otherwise(0.0)).alias("_share"), F.array_distinct(F.flatten(F.collect_list("lines"))).alias("_drop"))
+        "_key", "_of", "_row", "doc_words", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.hash").alias("hash"), _text_of(u, F.col("c")).alias("chunk"))
+    firsts = held.groupBy("hash", "chunk").agg(F.count("*").alias("n"), F.min(F.struct("_key", "_of", "start", "end", "doc_words")).alias("first")).where("n > 1").drop("n")
+    itself = F.col("_key").eqNullSafe(F.col("first._key")) & (F.col("_of") == F.col("first._of"))
+    # a run that overlaps its own first occurrence leaves that whole
+    begin = F.when(itself, F.greatest(F.col("start"), F.col("first.end") + 1)).otherwise(F.col("start"))
+    again = held.join(firsts, ["hash", "chunk"]).where(~(itself & (F.col("start") == F.col("first.start")))).select(
+        "_key", "_of", itself.alias("itself"), F.col("first._key").alias("f_key"), F.col("first._of").alias("f_of"), F.col("first.doc_words").alias("fdoc_words"), begin.alias("begin"), "end").where("begin <= end")
+    by_first = again.groupBy("_key", "_of", "f_key", "f_of", "itself", "fdoc_words").agg(F.collect_set(F.struct("begin", "end")).alias("_at")).select(
+        "_key", "_of", F.struct("itself", F.struct("f_key", "f_of").alias("first"), F.col("fdoc_words").alias("words"), F.array_distinct(F.flatten(
+            F.transform("_at", lambda x: F.sequence(x["begin"], x["end"])))).alias("lines")).alias("part"))
+    drops = by_first.groupBy("_key", "_of").agg(F.collect_list("part").alias("_parts"))
     joined = rows.alias("r").join(drops.alias("d"), same("r", "d"), "left").withColumn("_units", units(text_or_empty(text)))
-    copy = F.coalesce(F.col("_share") >= copy_share, F.lit(False)) if copy_share is not None else F.lit(False)
-    drop = F.when(copy | F.col("_drop").isNull(), F.array().cast("array<int>")).otherwise(F.col("_drop"))
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_units") - 1), drop), lambda i: F.get(u, i))
-    return joined.withColumn("_n", F.size(drop)).withColumn("_copy", copy).select(
+    copy = F.coalesce(F.exists("_parts", lambda x: ~x["itself"] & (_share(x, F.col(text)) >= copy_share)), F.lit(False)) if copy_share is not None else F.lit(False)
+    joined = joined.withColumn("_copy", copy)
+    joined = joined.withColumn("_drop", F.when(F.col("_copy") | F.col("_parts").isNull(), F.array().cast("array<int>")).otherwise(
+        F.array_distinct(F.flatten(F.transform("_parts", lambda x: x["lines"])))))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_units") - 1), F.col("_drop")), lambda i: F.get(u, i))
+    return joined.withColumn("_n", F.size("_drop")).select(
         *[F.when(F.col("_n") > 0, F.array_join(left, "")).otherwise(F.col(c)).alias(c) if c == text else F.col(f"r.{c}") for c in kept],
         F.size("_units").cast("long").alias("n_lines"), F.col("_n").cast("long").alias("n_removed"), F.col("_copy").alias("is_copy"))
 

@@ -98,3 +98,26 @@ def test_a_new_start_moves_no_border(spark):
     texts = lambda r: ["".join(r.u[c.start:c.end + 1]) for c in r.c]
     assert "".join(texts(got[1])) == "".join(body)
     assert texts(got[1])[2:] == texts(got[2])[-len(texts(got[1])) + 2:]
+
+
+def test_every_short_passage_is_found(spark):
+    rng = random.Random(14)
+    rows, planted = [], {}
+    for i in range(40):
+        passage = prose(rng, 9)
+        while not 51 <= len("".join(passage).split()) <= 60:
+            passage = prose(rng, 9)
+        # the passage stands on its own or begins and ends within lines of its host
+        inner = "and then " * (i % 2) + "".join(passage) + "so on " * (i % 2)
+        planted[i + 100] = "".join(passage[1:])
+        rows += [(i, "".join(prose(rng, 20)) + inner + "".join(prose(rng, 20))), (i + 100, "".join(prose(rng, 20)) + inner[9 * (i % 2):] + "".join(prose(rng, 20)))]
+    got, before = run(spark, rows), dict(rows)
+    for i, text in planted.items():
+        assert text in before[i] and text not in got[i].text and len(before[i]) - len(got[i].text) >= len(text)
+        assert got[i - 100].text == before[i - 100]
+
+
+def test_overlapping_runs_leave_the_first_whole(spark):
+    line = "one two three four five, "
+    got = run(spark, [(1, line * 9)])
+    assert got[1].text == line * 2
