@@ -121,3 +121,17 @@ def test_overlapping_runs_leave_the_first_whole(spark):
     line = "one two three four five, "
     got = run(spark, [(1, line * 9)])
     assert got[1].text == line * 2
+
+
+def test_only_near_duplicates_are_left_whole(spark):
+    rng = random.Random(15)
+    passage, filler = "".join(prose(rng, 10)), "one and the same line again,\n" * 40
+    rows = [(1, "".join(prose(rng, 6)) + passage), (2, "".join(prose(rng, 6)) + passage),  # 0.6 of the words, a Jaccard of 0.45
+            (3, filler + "".join(prose(rng, 8))), (4, filler + "".join(prose(rng, 8)))]  # most lines, few different ones
+    got, before = run(spark, rows), dict(rows)
+    assert not any(r.is_copy for r in got.values())
+    assert passage not in got[2].text and got[1].text == before[1]
+    assert "again" not in got[4].text and got[3].text.count("again") == 2
+    copy = before[1] + "".join(prose(rng, 1))
+    got = run(spark, [*rows[:2], (5, copy)])
+    assert got[5].is_copy and got[5].text == copy
