@@ -1,4 +1,4 @@
-"""Line dedup by content-defined chunks of lines."""
+"""Line dedup by repeated runs of lines."""
 
 from __future__ import annotations
 
@@ -7,14 +7,33 @@ from pyspark.sql import functions as F
 
 from packetloom.llm.common import bind, text_or_empty
 
+LONG, SLICE = 16, 8  # words a unit has at most; words a slice of a run without borders has
+SPACE = "[\\s\\x85\\p{Z}]"
 
-def units(text: Column) -> Column:
-    """The text cut after line ends and, as prose runs on in long lines, after sentence and clause marks; joined they give the text."""
-    return F.array_remove(F.split(text, "(?<=\\n)|(?<=[.!?,;:] )"), "")
+
+def units(text: Column, modulus: int = 3) -> Column:
+    """The text cut after line ends and, as prose runs on in long lines, after sentence and clause marks; joined they give the text.
+
+    What then has more than sixteen words is cut at word borders that ``chunks`` finds, and
+    slices of eight words where it finds none for long, as in one word over and over.
+    """
+    parts = F.array_remove(F.split(text, "(?<=\\n)|(?<=[.!?,;:] )"), "")
+    is_long = lambda p: (F.length(p) > 2 * LONG) & (_n_words(p) > LONG)
+    return bind(parts, lambda ps: F.when(F.exists(ps, is_long), F.flatten(F.transform(ps, lambda p: F.when(is_long(p), _pieces(p, modulus)).otherwise(F.array(p))))).otherwise(ps))
+
+
+def _pieces(part: Column, modulus: int) -> Column:
+    words = F.array_remove(F.split(part, f"(?<={SPACE})(?!{SPACE})"), "")
+    run = lambda w, at, n: F.array_join(F.slice(w, at + 1, n), "")
+
+    def cut(w: Column, c: Column) -> Column:
+        n = c["end"] - c["start"] + 1
+        return F.when(n > LONG, F.transform(F.sequence(c["start"], c["end"], F.lit(SLICE)), lambda at: run(w, at, F.least(F.lit(SLICE), c["end"] - at + 1)))).otherwise(F.array(run(w, c["start"], n)))
+    return bind(words, lambda w: F.flatten(F.transform(chunks(w, modulus), lambda c: cut(w, c))))
 
 
 def _n_words(text: Column) -> Column:
-    return F.size(F.array_remove(F.split(text, "\\s+"), ""))
+    return F.size(F.array_remove(F.split(text, f"{SPACE}+"), ""))
 
 
 def chunks(lines: Column, modulus: int) -> Column:
@@ -112,7 +131,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", modulu
     rows = docs.select(*kept).withColumn("_hash", F.xxhash64(text))
     same = lambda a, b: F.col(f"{a}.{key}").eqNullSafe(F.col(f"{b}._key")) & (F.col(f"{a}._hash") == F.col(f"{b}._of"))
 
-    cut = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_of"), units(text_or_empty(text)).alias("_units"))
+    cut = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_of"), units(text_or_empty(text), modulus).alias("_units"))
     seen = cut.select("_key", "_of", F.explode(_candidates(least_words)).alias("c")).select("_key", "_of", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.hash").alias("hash"))
     repeated = seen.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     places = seen.join(repeated, "hash").groupBy("_key", "_of").agg(F.collect_set(F.struct("start", "end", "hash")).alias("_places"))
@@ -120,7 +139,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", modulu
     # the hash of the whole row keeps all columns in the exchange, as the last join needs them
     u = F.col("_units")
     found = rows.alias("r").join(places.alias("p"), same("r", "p")).select(
-        "_key", "_of", F.xxhash64(*[F.col(f"r.{c}") for c in kept]).alias("_row"), units(text_or_empty(f"r.{text}")).alias("_units"), _n_words(F.col(f"r.{text}")).alias("doc_words"), "_places")
+        "_key", "_of", F.xxhash64(*[F.col(f"r.{c}") for c in kept]).alias("_row"), units(text_or_empty(f"r.{text}"), modulus).alias("_units"), _n_words(F.col(f"r.{text}")).alias("doc_words"), "_places")
     held = found.select("_key", "_of", "_row", "doc_words", "_units", F.explode("_places").alias("c")).select(
         "_key", "_of", "_row", "doc_words", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.hash").alias("hash"), _text_of(u, F.col("c")).alias("chunk"))
     firsts = held.groupBy("hash", "chunk").agg(F.count("*").alias("n"), F.min(F.struct("_key", "_of", "start", "end", "doc_words")).alias("first")).where("n > 1").drop("n")
@@ -133,7 +152,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", modulu
         "_key", "_of", F.struct("itself", F.struct("f_key", "f_of").alias("first"), F.col("fdoc_words").alias("words"), F.array_distinct(F.flatten(
             F.transform("_at", lambda x: F.sequence(x["begin"], x["end"])))).alias("lines")).alias("part"))
     drops = by_first.groupBy("_key", "_of").agg(F.collect_list("part").alias("_parts"))
-    joined = rows.alias("r").join(drops.alias("d"), same("r", "d"), "left").withColumn("_units", units(text_or_empty(text)))
+    joined = rows.alias("r").join(drops.alias("d"), same("r", "d"), "left").withColumn("_units", units(text_or_empty(text), modulus))
     copy = F.coalesce(F.exists("_parts", lambda x: ~x["itself"] & (_share(x, F.col("_parts"), F.col(text)) >= copy_share)), F.lit(False)) if copy_share is not None else F.lit(False)
     joined = joined.withColumn("_copy", copy)
     joined = joined.withColumn("_drop", F.when(F.col("_copy") | F.col("_parts").isNull(), F.array().cast("array<int>")).otherwise(

@@ -135,3 +135,31 @@ def test_only_near_duplicates_are_left_whole(spark):
     copy = before[1] + "".join(prose(rng, 1))
     got = run(spark, [*rows[:2], (5, copy)])
     assert got[5].is_copy and got[5].text == copy
+
+
+@pytest.mark.parametrize("between", ["\n", "\t", " ", "\u00a0", "\u3000"])
+def test_passages_without_blanks_or_marks(spark, between):
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(4, 8)))
+    passage = between.join(word() for _ in range(60))
+    rows = [(i, "".join(prose(rng, 12)) + f"{word()}{between}" * i + passage + f"{between}{word()}" * i + ".\n" + "".join(prose(rng, 12))) for i in (1, 2)]
+    got, before = run(spark, rows), dict(rows)
+    assert got[1].text == before[1] and not got[2].is_copy
+    left = [w for w in passage.split(between) if w in got[2].text]
+    assert len(left) <= 24 and len(before[2]) - len(got[2].text) <= len(passage) + 1
+
+
+def test_one_word_over_and_over(spark):
+    rng = random.Random(17)
+    rows = [(i, "".join(prose(rng, 12)) + "start " * i + f"{w} " * (60 + 7 * i) + "".join(prose(rng, 12))) for i, w in ((1, "filler"), (2, "filler"), (3, "stuff"), (4, "stuff"))]
+    got = run(spark, rows)
+    assert all(got[i].text.count(w) <= 34 for i, w in ((1, "filler"), (2, "filler"), (3, "stuff"), (4, "stuff")))
+    assert got[1].text.count("filler") >= 8 and got[3].text.count("stuff") >= 8
+
+
+def test_units_join_to_the_text(spark):
+    rng = random.Random(18)
+    texts = ["", " \n ", "a " * 50, "\t x\ty " * 30, "".join(prose(rng, 9)) * 2, "日本語 " * 40, "w" * 5000, " ".join(prose(rng, 1)[0].replace(",", "").replace(".", "") for _ in range(9))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in df.select("text", linededup.units(df.text).alias("u")).collect():
+        assert "".join(r.u) == r.text and all(len(x.split()) <= 16 for x in r.u)
