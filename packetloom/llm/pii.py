@@ -17,12 +17,18 @@ PATTERNS = {
     "ip": f"(?:{_OCTET}\\.){{3}}{_OCTET}",
     "date": "[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\\.[0-9]{2}\\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}",
     "ssn": "[0-9]{3}-[0-9]{2}-[0-9]{4}",
-    "phone": "(?:\\+?1[ .-]?)?(?:\\([2-9][0-9]{2}\\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}",
+    # ten digits in phone form, as one run if they begin with 2 to 9, and + with any country's number
+    "phone": "(?:\\+?1[ .-]?)?(?:\\([0-9]{3}\\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})|1?[2-9][0-9]{9}|\\+[1-9](?:[ .()/-]{0,2}[0-9]){7,14}",
     "card": "[0-9](?:[ -]?[0-9]){12,18}",
 }
-# possessive runs and borders keep the search linear: no value begins or ends inside a longer run
+# borders keep the search linear: no value begins or ends inside a longer run; dates and
+# addresses may also be followed by a hyphen, begin after one of their kind, and a date end at a time
 _BEFORE, _AFTER = "(?<![A-Za-z0-9._%+@-])", "(?![A-Za-z0-9@]|[.-][0-9])"
-ANY = _BEFORE + "(?:" + "|".join(PATTERNS.values()) + ")" + _AFTER
+_AFTERS = {"ip": "(?![A-Za-z0-9@]|[.][0-9])", "date": "(?![A-SU-Za-z0-9@]|T(?![0-9])|[.][0-9])"}
+_RANGE = {"ip": "(?:(?<=[.][0-9]-)|(?<=[.][0-9]{2}-)|(?<=[.][0-9]{3}-))",
+          "date": "(?:(?<=[0-9]{4}-[0-9]{2}-[0-9]{2}-)|(?<=[0-9]{2}[.][0-9]{2}[.][0-9]{4}-)|(?<=[0-9]{2}/[0-9]{2}/[0-9]{4}-))"}
+ANY = "|".join([_BEFORE + "(?:" + "|".join(f"(?:{p}){_AFTERS.get(k, _AFTER)}" for k, p in PATTERNS.items()) + ")",
+                *[f"{_RANGE[k]}(?:{PATTERNS[k]}){_AFTERS[k]}" for k in _RANGE]])
 
 
 def _round(key: str, tag: Column, number: Column, half: Column, size: Column) -> Column:
@@ -81,12 +87,34 @@ def _card(d: Column, key: str) -> Column:
     return bind(body, lambda b: F.concat(b, ((10 - luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))
 
 
-def _phone(d: Column, key: str) -> Column:
-    """Area and exchange codes begin with 2 to 9; a leading country code stays."""
+def _phone(m: Column, d: Column, key: str) -> Column:
+    """Three sets of ten digits, each permuted in itself: valid North American codes (both begin with 2 to 9), small area codes, small exchange codes.
+
+    A leading 1 stays.  Of other countries' numbers the country code stays and the rest is
+    permuted among those of its length.
+    """
     local = F.substring(d, -10, 10)
-    halves = feistel(_part(local, 1, 3).cast("int") - 200, (_part(local, 4, 3).cast("int") - 200) * 10_000 + _part(local, 7, 4).cast("int"), F.lit(800), F.lit(8_000_000), key, F.lit("phone"))
-    return bind(halves, lambda h: F.concat(_part(d, F.lit(1), F.length(d) - 10), (h["l"] + 200).cast("string"),
-                                           (F.floor(h["r"] / 10_000) + 200).cast("string"), _padded(h["r"] % 10_000, 4)))
+    area, rest = _part(local, 1, 3).cast("int"), _part(local, 4, 7).cast("int")
+
+    def made(area_from: int, rest_from: int, areas: int, rests: int, tag: str) -> Column:
+        halves = feistel(area - area_from, rest - rest_from, F.lit(areas), F.lit(rests), key, F.lit(tag))
+        return bind(halves, lambda h: F.concat(_part(d, F.lit(1), F.length(d) - 10), _padded(h["l"] + area_from, 3), _padded(h["r"] + rest_from, 7)))
+    return F.when(m.startswith("+") & ~d.rlike("^1[0-9]{10}$"), _abroad(d, key)).when(area < 200, made(0, 0, 200, 10_000_000, "phone-area")).when(
+        rest < 2_000_000, made(200, 0, 800, 2_000_000, "phone-exchange")).otherwise(made(200, 2_000_000, 800, 8_000_000, "phone"))
+
+
+_COUNTRY = "^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+
+
+def _abroad(d: Column, key: str) -> Column:
+    size = lambda k: F.pow(F.lit(10.0), k).cast("bigint")
+
+    def of(code: Column) -> Column:
+        n, at = F.length(d) - F.length(code), F.length(code) + 1
+        u = F.floor(n / 2).cast("int")
+        halves = feistel(_part(d, at, u), _part(d, at + u, n - u), size(u), size(n - u), key, F.concat_ws("-", F.lit("phone"), code, n.cast("string")))
+        return bind(halves, lambda h: F.concat(code, _padded(h["l"], u), _padded(h["r"], n - u)))
+    return bind(F.regexp_extract(d, _COUNTRY, 0), of)
 
 
 def _ssn(d: Column, key: str) -> Column:
@@ -126,7 +154,7 @@ def pseudonym(m: Column, key: str) -> Column:
     d = _digits(m)
     full = lambda kind: m.rlike("^(?:" + PATTERNS[kind] + ")$")
     options = [("email", full("email"), _email(m, key)), ("ip", full("ip"), _ip(m, key)), ("date", full("date"), _date(m, key)),
-               ("ssn", full("ssn"), bind(d, lambda x: _refilled(m, _ssn(x, key)))), ("phone", full("phone"), bind(d, lambda x: _refilled(m, _phone(x, key)))),
+               ("ssn", full("ssn"), bind(d, lambda x: _refilled(m, _ssn(x, key)))), ("phone", full("phone"), bind(d, lambda x: _refilled(m, _phone(m, x, key)))),
                ("card", full("card") & bind(d, lambda x: luhn_sum(x) % 10 == 0), bind(d, lambda x: _refilled(m, _card(x, key))))]
     out = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("value"))
     for kind, fits, value in reversed(options):
@@ -141,9 +169,11 @@ def _named(kind: str, value: Column) -> Column:
 def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in ``text``, and ``pii``: the array of (kind, value) put in, in order.
 
-    Numbers that pass their own check (Luhn for cards, valid ranges for phone and social
-    security numbers and addresses, existing days for dates) are permuted within their
-    format by ``key``; digits in other numbers, and invalid ones, stay.  Equal values get
+    Numbers that pass their own check (Luhn for cards, valid ranges for social security
+    numbers and addresses, existing days for dates) are permuted within their format by
+    ``key``, and so are phone numbers: any ten digits in phone form, ten digits from 2 on or
+    after +1 as one run, and + with 8 to 15 digits.  Digits in other numbers, and
+    invalid ones, stay.  Equal values get
     equal pseudonyms in all documents however their digits are grouped, and different
     values different ones.  A null text stays null with no findings.  Row by row, without
     a shuffle; other columns stay, one named ``pii`` is replaced.

@@ -59,3 +59,30 @@ def test_query_leaves_other_text_alone(spark, sf_dir):
         changed += before[r.doc_id] != r.text
         assert (before[r.doc_id] != r.text) == (r.n_found > 0)
     assert changed > 5
+
+
+def test_phones_of_all_codes_and_forms(spark):
+    rows = [(1, "+1 (017) 555-1234"), (2, "(136) 055-1234"), (3, "017-555-1234"), (4, "+15551234567"), (5, "5551234567"), (6, "555.123.4567"), (7, "(555)1234567"), (8, "+44 20 7946 0958"),
+            (9, "+442079460958"), (10, "+49 (0)30/123456"), (11, "+353 1 234 5678"), (12, "988 155 2485"), (13, "id 1700000000 and 11345678901"), (14, "+1500000 people")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r.doc_id: r for r in pii.pseudonymize(df, "k").collect()}
+    digits = lambda t: re.sub(r"\D", "", t)
+    for i, t in rows:
+        assert re.sub(r"\d", "0", got[i].text) == re.sub(r"\d", "0", t)
+        assert (got[i].text == t) == (i > 12) and [p.kind for p in got[i].pii] == ["phone"] * (i <= 12), (t, got[i])
+    assert digits(got[1].text) == "1" + digits(got[3].text) and digits(got[3].text)[0] in "01"
+    assert {digits(got[i].text)[-10:] for i in (4, 5, 6, 7)} == {digits(got[5].text)} and digits(got[8].text) == digits(got[9].text)
+    assert got[9].text.startswith("+44") and got[11].text.startswith("+353") and digits(got[12].text)[3] in "01" and digits(got[12].text)[0] not in "01"
+
+
+def test_phones_stay_apart(spark):
+    df = spark.range(3000).selectExpr("id AS doc_id", "format_string('%03d-%03d-%04d', id * 7 % 1000, id * 13 % 1000, id) AS text")
+    assert len({r.text for r in pii.pseudonymize(df, "k").collect()}) == 3000
+
+
+def test_times_and_ranges(spark):
+    rows = [(1, "2021-03-04T10:00", 1), (2, "2021-03-04-2021-03-05", 2), (3, "10.0.0.1-10.0.0.19", 2), (4, "28.02.1999-01.03.1999", 2), (5, "02/28/1999-03/01/1999, 10.0.0.100-10.0.0.200.", 4), (6, "2021-03-04Tx", 0), (7, "x-2021-03-04", 0)]
+    got = pii.pseudonymize(spark.createDataFrame(rows, "doc_id int, text string, n int"), "k").collect()
+    for r in got:
+        assert len(r.pii) == r.n and (r.text == {i: t for i, t, _ in rows}[r.doc_id]) == (r.n == 0), r
+        assert len(re.findall(pii.ANY, r.text)) == r.n
