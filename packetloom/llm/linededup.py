@@ -77,9 +77,10 @@ def _candidates(least_words: int) -> Column:
         def backward(m: Column) -> Column:
             far = F.greatest(m - least + 1, F.lit(0))
             more = F.when(far <= m - 2, F.get(F.filter(F.sequence(m - 2, far, F.lit(-1)), lambda k: enough(k, m)), 0))
-            return bind(F.when(~pair(m - 1), more), lambda k: run(k, m))
+            # where its first unit's own run ends earlier, as else both are one
+            return bind(F.when(~pair(m - 1), more), lambda k: F.when(enough(k, m - 1), run(k, m)))
         runs = F.concat(F.transform(F.sequence(F.lit(0), last - 1), forward), F.transform(F.sequence(F.lit(1), last), backward))
-        return F.when(last > 0, F.array_distinct(F.filter(runs, lambda r: r.isNotNull())))
+        return F.when(last > 0, F.filter(runs, lambda r: r.isNotNull()))
     with_words = F.filter(F.transform("_units", lambda t, i: F.struct(i.alias("at"), _n_words(t).alias("words"))), lambda x: x["words"] > 0)
     return bind(F.transform("_units", lambda t: F.xxhash64(t)), lambda h: F.transform(bind(with_words, of), lambda r: F.struct(
         r["start"].alias("start"), r["end"].alias("end"), F.xxhash64(F.slice(h, r["start"] + 1, r["end"] - r["start"] + 1)).alias("hash"))))
