@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """One row a row of ``docs``: key, n_shingles, component_id (smallest key reachable), kept (is that key).
 
     Documents are linked whose sets of ``size``-word shingles have 100 * common >=
-    ``per_cent`` * all, compared as whole sets; texts without words are linked with none.
+    ``per_cent`` * all, compared as whole sets; texts without words are linked with none.  ``per_cent`` is 75 at least.
     Repeated rows each have their row, rows of one key and different texts are different
     documents of that key, rows without a key are left out.  Other columns are not used.
 
@@ -211,6 +211,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
        different components may be similar although neither is to a leader.  Their
        large sketches are compared within the join, and only pairs that pass leave it.
     """
+    if per_cent < 75:
+        raise ValueError("per_cent under 75: the bands would miss more pairs than stated")
     docs = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(text, F.lit("")).alias("text")).where(F.col("doc").isNotNull())
     signatures = stored(signed(docs, size), "signatures")
     heads = stored(signatures.where("n_shingles > 0").groupBy("node").agg(

@@ -97,3 +97,8 @@ def test_odd_sketches_follow_the_similarity():
 def test_kept_rows_keep_their_columns(spark):
     df = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (None, "a b c d e f", "z"), (3, None, "n")], "doc_id int, text string, kept string")
     assert sorted(map(str, neardup.drop_near_duplicates(df).collect())) == sorted(map(str, df.where("doc_id IS NULL OR doc_id != 2").collect()))
+
+
+def test_bands_that_would_miss_pairs_are_refused(spark):
+    with pytest.raises(ValueError):
+        neardup.near_duplicates(spark.createDataFrame([(1, "a b c d e f")], "doc_id int, text string"), per_cent=50)
