@@ -113,10 +113,14 @@ def test_run_keeps_first_per_key_and_isolates_failures(spark):
         raise RuntimeError("no")
 
     detectors = (*run.DETECTORS, ("Broken", 1, broken))
-    everything = run.run_detection(rows, detectors=detectors, dedup=False)
+    failed = []
+    everything = run.run_detection(rows, detectors=detectors, dedup=False, failed=failed)
+    assert failed == ["Broken"]
     assert everything.filter("attack_type = 'BruteForce-SSH'").count() == 2
-    kept = run.run_detection(rows, detectors=detectors).filter("attack_type = 'BruteForce-SSH'").collect()
+    kept = run.run_detection(rows, detectors=detectors, failed=[]).filter("attack_type = 'BruteForce-SSH'").collect()
     assert [r.destination_ip for r in kept] == ["h0"]
+    with pytest.raises(RuntimeError):
+        run.run_detection(rows, detectors=detectors)
     assert run.run_detection(rows, disabled=[bruteforce.NAME]).filter("detector_name = 'Brute Force Detector'").count() == 0
 
 
