@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import bpe, decontam, fingerprints, licenses, linededup, neardup, pii, toxicity, urls, warc
+from packetloom.llm import bpe, decontam, fingerprints, licenses, linededup, neardup, pii, sharding, toxicity, urls, warc
 from packetloom.llm.common import scratch, sorted_join, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymize(docs, key="corpus pseudonyms").select(
         "doc_id", "text", F.size("pii").cast("long").alias("n_found"), F.array_join(F.transform("pii", lambda p: p["kind"]), ",").alias("kinds"))
+
+
+@query("op12_minimax_shards")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
