@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import bpe, decontam, fingerprints, licenses, linededup, neardup, pii, sharding, toxicity, urls, warc
+from packetloom.llm import bpe, collocations, decontam, fingerprints, licenses, linededup, neardup, pii, sharding, toxicity, urls, warc
 from packetloom.llm.common import scratch, sorted_join, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,29 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+_PHRASES = r"""
+WITH RECURSIVE pieces AS (SELECT coalesce(lang, 'und') AS lang, doc_id, row_number() OVER () AS row, unnest(string_split_regex(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+split AS MATERIALIZED (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM split GROUP BY 1),
+f AS MATERIALIZED (SELECT lang, k, array_to_string(w[i + 1:i + k], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(greatest(0, len(w) - k + 1))) AS i FROM split, range(1, 5) t(k)) GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+cand AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k > 1),
+cuts AS (SELECT c.lang, c.k, c.phrase, c.a, t.j, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a // (x.f + y.f))::BIGINT AS score
+  FROM cand c, range(1, 4) t(j) JOIN f x ON x.lang = c.lang AND x.k = t.j AND x.phrase = array_to_string(c.w[1:t.j], ' ')
+  JOIN f y ON y.lang = c.lang AND y.k = c.k - t.j AND y.phrase = array_to_string(c.w[t.j + 1:], ' ') WHERE t.j < c.k),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, j) = 1),
+inner_ AS (SELECT DISTINCT c.lang, s.m AS k, array_to_string(c.w[i + 1:i + s.m], ' ') AS phrase, c.a
+  FROM (SELECT *, unnest(range(3)) AS i FROM cand) c, (VALUES (2), (3)) s(m) WHERE s.m < c.k AND i + s.m <= c.k),
+held AS (SELECT lang, k, phrase, max(a) AS most FROM inner_ GROUP BY 1, 2, 3),
+kept AS (SELECT b.* FROM best b LEFT JOIN held h USING (lang, k, phrase) WHERE h.most IS NULL OR 100::HUGEINT * h.most < 80::HUGEINT * b.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, score FROM kept) JOIN sizes USING (lang)
+WHERE rank <= 2000"""
+
+
+@query("op13_collocations", _PHRASES)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
