@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import bpe, collocations, decontam, fingerprints, licenses, linededup, neardup, pii, sharding, toxicity, urls, warc
+from packetloom.llm import alignment, bpe, collocations, decontam, fingerprints, licenses, linededup, neardup, pii, sharding, toxicity, urls, warc
 from packetloom.llm.common import scratch, sorted_join, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,3 +189,9 @@ WHERE rank <= 2000"""
 @query("op13_collocations", _PHRASES)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return alignment.aligned_documents(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
