@@ -1,13 +1,14 @@
-"""Line dedup by repeated runs of lines."""
+"""Line dedup by content-defined chunks of lines."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import bind, text_or_empty
+from packetloom.llm.common import bind, stored, text_or_empty
 
 LONG, SLICE = 16, 8  # words a unit has at most; words a slice of a run without borders has
+REACH = 4  # lines beside a repeated chunk that are compared with those of its first occurrence
 SPACE = "[\\s\\x85\\p{Z}]"
 
 
@@ -18,7 +19,8 @@ def units(text: Column, modulus: int = 3) -> Column:
     slices of eight words where it finds none for long, as in one word over and over.
     """
     parts = F.array_remove(F.split(text, "(?<=\\n)|(?<=[.!?,;:] )"), "")
-    is_long = lambda p: (F.length(p) > 2 * LONG) & (_n_words(p) > LONG)
+    many = f"^{SPACE}*+(?:[^\\s\\x85\\p{{Z}}]++{SPACE}++){{{LONG}}}[^\\s\\x85\\p{{Z}}]"
+    is_long = lambda p: (F.length(p) > 2 * LONG) & p.rlike(many)
     return bind(parts, lambda ps: F.when(F.exists(ps, is_long), F.flatten(F.transform(ps, lambda p: F.when(is_long(p), _pieces(p, modulus)).otherwise(F.array(p))))).otherwise(ps))
 
 
@@ -51,48 +53,49 @@ def chunks(lines: Column, modulus: int) -> Column:
     return F.when(F.size(lines) > 0, bind(F.transform(lines, lambda u: F.xxhash64(u)), of))
 
 
-def _text_of(u: Column, chunk: Column) -> Column:
-    return F.array_join(F.slice(u, chunk["start"] + 1, chunk["end"] - chunk["start"] + 1), "")
+def _run(u: Column, start: Column, end: Column) -> Column:
+    return F.array_join(F.slice(u, start + 1, end - start + 1), "")
 
 
-def _candidates(least_words: int) -> Column:
-    """(start, end, hash) of the shortest runs of several units and ``least_words`` words of the column ``_units``.
+def _borders(h: Column) -> Column:
+    """Positions at which a chunk begins, by the hashes of the lines around alone.
 
-    One run begins at every unit that has words and one ends at every such unit, so the runs
-    within a repeated passage cover it whole, wherever it stands.
+    They are the first line, lines whose hash is smaller than that of both neighbours, those
+    whose hash is larger if neither neighbour is such a line, and repeats of the line
+    before.  So no two chunks begin at neighbouring lines (but in repeats), and of eight
+    lines in a row one begins a chunk but for three times in ten thousand.
     """
-    least = F.lit(least_words)
-
-    def of(p: Column) -> Column:  # (at, words) of the units with words, one word at least
-        last = F.size(p) - 1
-        pair = lambda k: F.get(p, k)["words"] + F.get(p, k + 1)["words"] >= least
-        enough = lambda k, m: F.aggregate(F.slice(p, k + 1, m - k + 1), F.lit(0), lambda n, x: n + x["words"]) >= least
-        run = lambda k, m: F.when(m.isNotNull() & k.isNotNull(), F.struct(F.get(p, k)["at"].alias("start"), F.get(p, m)["at"].alias("end")))
-
-        def forward(k: Column) -> Column:
-            far = F.least(k + least - 1, last)
-            more = F.when(far >= k + 2, F.get(F.filter(F.sequence(k + 2, far), lambda m: enough(k, m)), 0))
-            return bind(F.when(pair(k), k + 1).otherwise(more), lambda m: run(k, m))
-
-        def backward(m: Column) -> Column:
-            far = F.greatest(m - least + 1, F.lit(0))
-            more = F.when(far <= m - 2, F.get(F.filter(F.sequence(m - 2, far, F.lit(-1)), lambda k: enough(k, m)), 0))
-            # where its first unit's own run ends earlier, as else both are one
-            return bind(F.when(~pair(m - 1), more), lambda k: F.when(enough(k, m - 1), run(k, m)))
-        runs = F.concat(F.transform(F.sequence(F.lit(0), last - 1), forward), F.transform(F.sequence(F.lit(1), last), backward))
-        return F.when(last > 0, F.filter(runs, lambda r: r.isNotNull()))
-    with_words = F.filter(F.transform("_units", lambda t, i: F.struct(i.alias("at"), _n_words(t).alias("words"))), lambda x: x["words"] > 0)
-    return bind(F.transform("_units", lambda t: F.xxhash64(t)), lambda h: F.transform(bind(with_words, of), lambda r: F.struct(
-        r["start"].alias("start"), r["end"].alias("end"), F.xxhash64(F.slice(h, r["start"] + 1, r["end"] - r["start"] + 1)).alias("hash"))))
-
-
-def _share(part: Column, parts: Column, text: Column) -> Column:
+    at = lambda i: F.get(h, i)
+    yes = lambda c: F.coalesce(c, F.lit(False))
+
+    def begins(i: Column) -> Column:
+        low = (at(i) < at(i - 1)) & (at(i) < at(i + 1))
+        high = (at(i) > at(i - 1)) & (at(i) > at(i + 1)) & ~yes(at(i - 1) < at(i - 2)) & ~yes(at(i + 1) < at(i + 2))
+        return (i == 0) | yes(at(i) == at(i - 1)) | yes(low) | yes(high)
+    return F.filter(F.sequence(F.lit(0), F.size(h) - 1), begins)
+
+
+def line_chunks(u: Column, least_words: int) -> Column:
+    """(start, end, hash) of the chunks of the lines ``u``: from each border the fewest lines, two at least, with ``least_words`` words."""
+    enough = f"^{SPACE}*+(?:[^\\s\\x85\\p{{Z}}]++{SPACE}++){{{least_words - 1}}}[^\\s\\x85\\p{{Z}}]"
+
+    def of(h: Column) -> Column:
+        last = F.size(h) - 1
+
+        def chunk(b: Column) -> Column:
+            more = F.when(b + 2 <= last, F.get(F.filter(F.sequence(b + 2, F.least(b + 3 * least_words, last)), lambda e: _run(u, b, e).rlike(enough)), 0))
+            end = F.when(F.concat(F.get(u, b), F.get(u, b + 1)).rlike(enough), b + 1).otherwise(more)
+            return bind(end, lambda e: F.when(e.isNotNull(), F.struct(b.alias("start"), e.alias("end"), F.xxhash64(F.slice(h, b + 1, e - b + 1)).alias("hash"))))
+        return F.when(last > 0, F.filter(F.transform(_borders(h), chunk), lambda c: c.isNotNull()))
+    return bind(F.transform(u, lambda x: F.xxhash64(x)), of)
+
+
+def _share(part: Column, parts: Column, u: Column, text: Column) -> Column:
     """At least this share of the five-word runs of the longer document is common to both, by the lines of ``part``.
 
     Counted low: each text once, less four words a gap, without lines that a still earlier
     document holds; where the lines are under half of the document it is 0.
     """
-    u = F.col("_units")
     earlier = F.flatten(F.transform(F.filter(parts, lambda x: ~x["itself"] & (x["first"] < part["first"])), lambda x: x["lines"]))
     own = F.array_sort(F.array_except(part["lines"], earlier))
 
@@ -103,13 +106,22 @@ def _share(part: Column, parts: Column, text: Column) -> Column:
     return F.when(2 * F.size(part["lines"]) >= F.size(u), bind(own, of)).otherwise(0.0)
 
 
+def _equal_ends(a: Column, b: Column) -> Column:
+    """How many leading entries of two lists are equal."""
+    differ = F.filter(F.sequence(F.lit(0), F.lit(REACH)), lambda i: F.coalesce(F.get(a, i) != F.get(b, i), F.lit(True)))
+    return F.get(differ, 0)
+
+
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 3, least_words: int = 8, copy_share: float | None = 0.86) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``, and ``n_lines``, ``n_removed``, ``is_copy``.
 
-    A run of several lines and ``least_words`` words at least that occurs elsewhere too is
-    removed but for its first occurrence, in the order of key and place, after comparing it
-    byte by byte.  Every line begins a run and ends one, so a longer passage goes whole.
-    What is removed stays where it occurs first; where runs overlap, line by line.
+    Chunks of several lines and ``least_words`` words at least begin where the hashes of
+    the lines around say so (``_borders``), so what stands before a passage does not shift
+    them.  A chunk that occurs elsewhere too is removed but for its first occurrence, in the
+    order of key and place, after comparing it byte by byte, and with it up to four
+    lines on either side, as far as they too equal those of the first occurrence.  So a
+    passage goes whole although its ends fall within chunks.  What is removed stays where
+    it occurs first; where passages overlap, line by line.
 
     A document of which one earlier document holds ``copy_share`` (of the five-word runs of
     the longer of both) is a copy as a whole: it is left as it is and marked ``is_copy``,
@@ -121,47 +133,58 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", modulu
     alike; rows of one key and different texts are different documents, a null key
     comes first.  Other columns are kept; those with the names of the results are replaced.
 
-    Hashes of runs are counted with partial sums; only documents that hold a repeated
-    hash are cut again, and only such runs are moved as text.  The table itself is moved
-    once: both joins with it use the same columns and keys and so share one exchange.  A
-    run of a third of all documents is one row a task in the counts, and one key of a
-    plain join that the runtime may split.
+    Every text is cut once and the hashes of its chunks written; only documents that hold a
+    repeated hash are cut again, and only their repeated chunks are moved as text.  The
+    table itself is moved once: both joins with it use the same columns and keys and so
+    share one exchange.  A chunk of a third of all documents is one row a task in the
+    counts, and one key of plain joins that the runtime may split.
     """
     new = ("n_lines", "n_removed", "is_copy")
     kept = [c for c in docs.columns if c not in new]
-    rows = docs.select(*kept).withColumn("_hash", F.xxhash64(text))
-    same = lambda a, b: F.col(f"{a}.{key}").eqNullSafe(F.col(f"{b}._key")) & (F.col(f"{a}._hash") == F.col(f"{b}._of"))
-
-    cut = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_of"), units(text_or_empty(text), modulus).alias("_units"))
-    seen = cut.select("_key", "_of", F.explode(_candidates(least_words)).alias("c")).select("_key", "_of", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.hash").alias("hash"))
+    # the columns of the table stay together, so that none can meet a name used here
+    rows = docs.select(F.struct(*kept).alias("row")).select("row", F.col("row").getField(key).alias("id"), F.xxhash64(F.col("row").getField(text)).alias("digest"))
+    body = F.col("row").getField(text)
+    same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.digest") == F.col(f"{b}.digest"))
+
+    cut = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("digest"), units(text_or_empty(text), modulus).alias("u"))
+    hashed = stored(cut.select("id", "digest", F.size("u").alias("lines"), F.transform(line_chunks(F.col("u"), least_words), lambda c: c["hash"]).alias("hashes")), "line-chunks")
+    seen = hashed.select("id", "digest", F.explode("hashes").alias("hash"))
+    # repeated rows of one document repeat its chunks too, which costs a comparison and removes nothing
     repeated = seen.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    places = seen.join(repeated, "hash").groupBy("_key", "_of").agg(F.collect_set(F.struct("start", "end", "hash")).alias("_places"))
+    wanted = seen.join(repeated, "hash").groupBy("id", "digest").agg(F.collect_set("hash").alias("hashes"))
 
     # the hash of the whole row keeps all columns in the exchange, as the last join needs them
-    u = F.col("_units")
-    found = rows.alias("r").join(places.alias("p"), same("r", "p")).select(
-        "_key", "_of", F.xxhash64(*[F.col(f"r.{c}") for c in kept]).alias("_row"), units(text_or_empty(f"r.{text}"), modulus).alias("_units"), _n_words(F.col(f"r.{text}")).alias("doc_words"), "_places")
-    held = found.select("_key", "_of", "_row", "doc_words", "_units", F.explode("_places").alias("c")).select(
-        "_key", "_of", "_row", "doc_words", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.hash").alias("hash"), _text_of(u, F.col("c")).alias("chunk"))
-    firsts = held.groupBy("hash", "chunk").agg(F.count("*").alias("n"), F.min(F.struct("_key", "_of", "start", "end", "doc_words")).alias("first")).where("n > 1").drop("n")
-    itself = F.col("_key").eqNullSafe(F.col("first._key")) & (F.col("_of") == F.col("first._of"))
-    # a run that overlaps its own first occurrence leaves that whole
-    begin = F.when(itself, F.greatest(F.col("start"), F.col("first.end") + 1)).otherwise(F.col("start"))
-    again = held.join(firsts, ["hash", "chunk"]).where(~(itself & (F.col("start") == F.col("first.start")))).select(
-        "_key", "_of", itself.alias("itself"), F.col("first._key").alias("f_key"), F.col("first._of").alias("f_of"), F.col("first.doc_words").alias("fdoc_words"), begin.alias("begin"), "end").where("begin <= end")
-    by_first = again.groupBy("_key", "_of", "f_key", "f_of", "itself", "fdoc_words").agg(F.collect_set(F.struct("begin", "end")).alias("_at")).select(
-        "_key", "_of", F.struct("itself", F.struct("f_key", "f_of").alias("first"), F.col("fdoc_words").alias("words"), F.array_distinct(F.flatten(
-            F.transform("_at", lambda x: F.sequence(x["begin"], x["end"])))).alias("lines")).alias("part"))
-    drops = by_first.groupBy("_key", "_of").agg(F.collect_list("part").alias("_parts"))
-    joined = rows.alias("r").join(drops.alias("d"), same("r", "d"), "left").withColumn("_units", units(text_or_empty(text), modulus))
-    copy = F.coalesce(F.exists("_parts", lambda x: ~x["itself"] & (_share(x, F.col("_parts"), F.col(text)) >= copy_share)), F.lit(False)) if copy_share is not None else F.lit(False)
-    joined = joined.withColumn("_copy", copy)
-    joined = joined.withColumn("_drop", F.when(F.col("_copy") | F.col("_parts").isNull(), F.array().cast("array<int>")).otherwise(
-        F.array_distinct(F.flatten(F.transform("_parts", lambda x: x["lines"])))))
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_units") - 1), F.col("_drop")), lambda i: F.get(u, i))
-    return joined.withColumn("_n", F.size("_drop")).select(
-        *[F.when(F.col("_n") > 0, F.array_join(left, "")).otherwise(F.col(c)).alias(c) if c == text else F.col(f"r.{c}") for c in kept],
-        F.size("_units").cast("long").alias("n_lines"), F.col("_n").cast("long").alias("n_removed"), F.col("_copy").alias("is_copy"))
+    found = rows.alias("r").join(wanted.alias("p"), same("r", "p")).select(
+        "r.id", "r.digest", F.xxhash64("row").alias("whole"), units(F.coalesce(body, F.lit("")), modulus).alias("u"), _n_words(body).alias("words"), "hashes")
+    u = F.col("u")
+    held = found.select("id", "digest", "whole", "words", u, F.explode(F.filter(line_chunks(u, least_words), lambda c: F.array_contains("hashes", c["hash"]))).alias("c"))
+    start, end = F.col("c.start"), F.col("c.end")
+    held = held.select(
+        "id", "digest", "whole", "words", F.col("c.hash").alias("hash"), start.alias("start"), end.alias("end"), _run(u, start, end).alias("chunk"),
+        F.reverse(F.slice(u, F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH)))).alias("before"), F.slice(u, end + 2, REACH).alias("after"))
+    firsts = held.groupBy("hash", "chunk").agg(F.count("*").alias("n"), F.min(F.struct("id", "digest", "start", "end", "words", "before", "after")).alias("first")).where("n > 1").drop("n")
+    itself = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("digest") == F.col("first.digest"))
+    again = held.join(firsts, ["hash", "chunk"]).where(~(itself & (F.col("start") == F.col("first.start"))))
+    # a chunk that overlaps its own first occurrence leaves that whole, and is not drawn out
+    begin = F.when(itself, F.greatest(F.col("start"), F.col("first.end") + 1)).otherwise(F.col("start") - _equal_ends(F.col("before"), F.col("first.before")))
+    stop = F.when(itself, F.col("end")).otherwise(F.col("end") + _equal_ends(F.col("after"), F.col("first.after")))
+    again = again.select("id", "digest", itself.alias("itself"), F.struct("first.id", "first.digest").alias("origin"), F.col("first.words").alias("fwords"), begin.alias("begin"), stop.alias("stop")).where("begin <= stop")
+    by_first = again.groupBy("id", "digest", "origin", "itself", "fwords").agg(F.collect_set(F.struct("begin", "stop")).alias("runs")).select(
+        "id", "digest", F.struct("itself", F.col("origin").alias("first"), F.col("fwords").alias("words"), F.array_distinct(F.flatten(
+            F.transform("runs", lambda x: F.sequence(x["begin"], x["stop"])))).alias("lines")).alias("part"))
+    drops = by_first.groupBy("id", "digest").agg(F.collect_list("part").alias("parts"))
+    known = hashed.groupBy("id", "digest").agg(F.first("lines").alias("lines")).alias("h").join(drops.alias("d"), same("h", "d"), "left").select("h.id", "h.digest", "lines", "parts")
+
+    joined = rows.alias("r").join(known.alias("k"), same("r", "k"), "left").select("row", "lines", "parts")
+    joined = joined.withColumn("u", F.when(F.col("parts").isNotNull(), units(F.coalesce(body, F.lit("")), modulus)))
+    copy = F.coalesce(F.exists("parts", lambda x: ~x["itself"] & (_share(x, F.col("parts"), u, body) >= copy_share)), F.lit(False)) if copy_share is not None else F.lit(False)
+    joined = joined.withColumn("copy", copy)
+    joined = joined.withColumn("gone", F.when(F.col("copy") | F.col("parts").isNull(), F.array().cast("array<int>")).otherwise(
+        F.array_distinct(F.flatten(F.transform("parts", lambda x: x["lines"])))))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("u") - 1), F.col("gone")), lambda i: F.get(u, i))
+    return joined.withColumn("n", F.size("gone")).select(
+        *[(F.when(F.col("n") > 0, F.array_join(left, "")).otherwise(body) if c == text else F.col("row").getField(c)).alias(c) for c in kept],
+        F.coalesce("lines", F.lit(0)).cast("long").alias("n_lines"), F.col("n").cast("long").alias("n_removed"), F.col("copy").alias("is_copy"))
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
