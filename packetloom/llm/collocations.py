@@ -20,7 +20,7 @@ _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
-COUNT_PAIRS = 1_500_000  # pairs that are counted at once before they leave a task
+COUNT_PAIRS = 700_000  # pairs that are counted at once before they leave a task
 FILTER_BITS = 1 << 26  # of the filter of frequent groups, 8 MB, whatever their number
 
 
@@ -58,7 +58,7 @@ def occurrences(text: np.ndarray) -> tuple[pa.LargeBinaryArray, np.ndarray, np.n
     return words, piece, place
 
 
-def _texts_by_lang(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[tuple[str, np.ndarray]]:
+def _texts_by_lang(batches: Iterator[pa.RecordBatch], most_bytes: int = 2 << 20) -> Iterator[tuple[str, np.ndarray]]:
     """(lang, text bytes) of some texts at a time, a line end after each."""
     held: dict[str, list[bytes]] = {}
     size = 0
@@ -109,15 +109,13 @@ def frequent_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     schema = pa.schema([("at", pa.int64()), ("bits", pa.int64())])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(bits, bool)
-        for batch in batches:
-            for place in _places(batch.column(0).to_numpy(zero_copy_only=False), bits):
-                seen[place] = True
-        words = np.packbits(seen, bitorder="little").view(np.int64)
-        at = np.flatnonzero(words)
+        places = [p.astype(np.int64) for batch in batches for p in _places(batch.column(0).to_numpy(zero_copy_only=False), bits)]
+        places = np.unique(np.concatenate(places)) if places else np.zeros(0, np.int64)
+        first = np.flatnonzero(np.diff(places >> 6, prepend=-1))
+        words = np.bitwise_or.reduceat(np.uint64(1) << (places & 63).astype(np.uint64), first).view(np.int64) if len(first) else places
+        at = places[first] >> 6
         for i in range(0, len(at), 100_000):
-            part = at[i:i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(words[part])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(at[i:i + 100_000]), pa.array(words[i:i + 100_000])], schema=schema)
 
     found = ids.mapInArrow(mark, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(bits // 64, np.int64)

@@ -12,15 +12,14 @@ REACH = 4  # lines beside a repeated chunk that are compared with those of its f
 SPACE = "[\\s\\x85\\p{Z}]"
 
 
-def units(text: Column, modulus: int = 3) -> Column:
+def units(text: Column, modulus: int = 4) -> Column:
     """The text cut after line ends and, as prose runs on in long lines, after sentence and clause marks; joined they give the text.
 
-    What then has more than sixteen words is cut at word borders that ``chunks`` finds, and
+    What then has over 48 characters and more than sixteen words is cut at word borders that ``chunks`` finds, and
     slices of eight words where it finds none for long, as in one word over and over.
     """
     parts = F.array_remove(F.split(text, "(?<=\\n)|(?<=[.!?,;:] )"), "")
-    many = f"^{SPACE}*+(?:[^\\s\\x85\\p{{Z}}]++{SPACE}++){{{LONG}}}[^\\s\\x85\\p{{Z}}]"
-    is_long = lambda p: (F.length(p) > 2 * LONG) & p.rlike(many)
+    is_long = lambda p: (F.length(p) > 3 * LONG) & (_n_words(p) > LONG)
     return bind(parts, lambda ps: F.when(F.exists(ps, is_long), F.flatten(F.transform(ps, lambda p: F.when(is_long(p), _pieces(p, modulus)).otherwise(F.array(p))))).otherwise(ps))
 
 
@@ -65,7 +64,7 @@ def _borders(h: Column) -> Column:
     before.  So no two chunks begin at neighbouring lines (but in repeats), and of eight
     lines in a row one begins a chunk but for three times in ten thousand.
     """
-    at = lambda i: F.get(h, i)
+    at = lambda i: F.get(h, i)["hash"]
     yes = lambda c: F.coalesce(c, F.lit(False))
 
     def begins(i: Column) -> Column:
@@ -76,18 +75,17 @@ def _borders(h: Column) -> Column:
 
 
 def line_chunks(u: Column, least_words: int) -> Column:
-    """(start, end, hash) of the chunks of the lines ``u``: from each border the fewest lines, two at least, with ``least_words`` words."""
-    enough = f"^{SPACE}*+(?:[^\\s\\x85\\p{{Z}}]++{SPACE}++){{{least_words - 1}}}[^\\s\\x85\\p{{Z}}]"
-
-    def of(h: Column) -> Column:
-        last = F.size(h) - 1
+    """(start, end, hash) of the chunks of the lines ``u``: from each border two lines, or four, or eight, the fewest with ``least_words`` words."""
+    def of(x: Column) -> Column:
+        words = lambda i: F.get(x, i)["words"]
+        total = lambda b, n: sum((words(b + i) for i in range(1, n)), words(b))
 
         def chunk(b: Column) -> Column:
-            more = F.when(b + 2 <= last, F.get(F.filter(F.sequence(b + 2, F.least(b + 3 * least_words, last)), lambda e: _run(u, b, e).rlike(enough)), 0))
-            end = F.when(F.concat(F.get(u, b), F.get(u, b + 1)).rlike(enough), b + 1).otherwise(more)
-            return bind(end, lambda e: F.when(e.isNotNull(), F.struct(b.alias("start"), e.alias("end"), F.xxhash64(F.slice(h, b + 1, e - b + 1)).alias("hash"))))
-        return F.when(last > 0, F.filter(F.transform(_borders(h), chunk), lambda c: c.isNotNull()))
-    return bind(F.transform(u, lambda x: F.xxhash64(x)), of)
+            # null beyond the last line
+            lines = F.when(total(b, 2) >= least_words, 2).when(total(b, 4) >= least_words, 4).when(total(b, 8) >= least_words, 8)
+            return bind(lines, lambda n: F.when(n.isNotNull(), F.struct(b.alias("start"), (b + n - 1).alias("end"), F.xxhash64(F.slice(x, b + 1, n)).alias("hash"))))
+        return F.when(F.size(x) > 1, F.filter(F.transform(_borders(x), chunk), lambda c: c.isNotNull()))
+    return bind(F.transform(u, lambda t: F.struct(F.xxhash64(t).alias("hash"), _n_words(t).alias("words"))), of)
 
 
 def _share(part: Column, parts: Column, u: Column, text: Column) -> Column:
@@ -112,7 +110,7 @@ def _equal_ends(a: Column, b: Column) -> Column:
     return F.get(differ, 0)
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 3, least_words: int = 8, copy_share: float | None = 0.86) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 4, least_words: int = 8, copy_share: float | None = 0.86) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``, and ``n_lines``, ``n_removed``, ``is_copy``.
 
     Chunks of several lines and ``least_words`` words at least begin where the hashes of
@@ -157,14 +155,21 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", modulu
     found = rows.alias("r").join(wanted.alias("p"), same("r", "p")).select(
         "r.id", "r.digest", F.xxhash64("row").alias("whole"), units(F.coalesce(body, F.lit("")), modulus).alias("u"), _n_words(body).alias("words"), "hashes")
     u = F.col("u")
-    held = found.select("id", "digest", "whole", "words", u, F.explode(F.filter(line_chunks(u, least_words), lambda c: F.array_contains("hashes", c["hash"]))).alias("c"))
-    start, end = F.col("c.start"), F.col("c.end")
-    held = held.select(
+    held = found.select("id", "digest", "whole", "words", u, F.filter(line_chunks(u, least_words), lambda c: F.array_contains("hashes", c["hash"])).alias("cs"))
+    held = held.select("id", "digest", "whole", "words", u, "cs", F.posexplode("cs").alias("k", "c"))
+    start, end, ahead, behind = F.col("c.start"), F.col("c.end"), F.get("cs", F.col("k") + 1)["start"], F.get("cs", F.col("k") - 1)["end"]
+    # lines between two chunks go with the first of them
+    n_after = F.greatest(F.lit(0), F.least(F.coalesce(ahead - end - 1, F.lit(REACH)), F.lit(REACH)))
+    n_before = F.when(behind.isNotNull() & (start - behind - 1 <= REACH), 0).otherwise(F.least(start, F.lit(REACH)))
+    held = stored(held.select(
         "id", "digest", "whole", "words", F.col("c.hash").alias("hash"), start.alias("start"), end.alias("end"), _run(u, start, end).alias("chunk"),
-        F.reverse(F.slice(u, F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH)))).alias("before"), F.slice(u, end + 2, REACH).alias("after"))
-    firsts = held.groupBy("hash", "chunk").agg(F.count("*").alias("n"), F.min(F.struct("id", "digest", "start", "end", "words", "before", "after")).alias("first")).where("n > 1").drop("n")
+        F.reverse(F.slice(u, start - n_before + 1, n_before)).alias("before"), F.slice(u, end + 2, n_after).alias("after")), "repeated-chunks")
+    lowest = held.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("id", "digest", "start")).alias("low")).where("n > 1").drop("n")
+    # repeated rows of a document give equal rows here
+    firsts = held.alias("a").join(lowest, "hash").where(F.col("id").eqNullSafe(F.col("low.id")) & (F.col("digest") == F.col("low.digest")) & (F.col("start") == F.col("low.start"))).groupBy("hash").agg(
+        F.any_value(F.struct("id", "digest", "start", "end", "words", "chunk", "before", "after")).alias("first"))
     itself = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("digest") == F.col("first.digest"))
-    again = held.join(firsts, ["hash", "chunk"]).where(~(itself & (F.col("start") == F.col("first.start"))))
+    again = held.join(firsts, "hash").where((F.col("chunk") == F.col("first.chunk")) & ~(itself & (F.col("start") == F.col("first.start"))))
     # a chunk that overlaps its own first occurrence leaves that whole, and is not drawn out
     begin = F.when(itself, F.greatest(F.col("start"), F.col("first.end") + 1)).otherwise(F.col("start") - _equal_ends(F.col("before"), F.col("first.before")))
     stop = F.when(itself, F.col("end")).otherwise(F.col("end") + _equal_ends(F.col("after"), F.col("first.after")))
