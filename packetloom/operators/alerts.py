@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.operators.selection import top_rows
 from packetloom.operators.timeseries import fill_minutes, floor_time
 from packetloom.functions.text import interval_seconds
 from packetloom.schemas import SEVERITIES
+from packetloom.session import checkpoint_root
 
 # Attack families, matched by prefix in this order.
 FAMILIES = ("DDoS", "PortScan", "BruteForce", "SYNFlood")
@@ -33,21 +34,26 @@ def literal_rows(df: DataFrame, column: str, values: tuple[str, ...]) -> DataFra
 
 # ---- cooldown ------------------------------------------------------------------
 
-_CHUNK_WINDOWS = 16
-_CHUNK_SECONDS = 7 * 86_400
+STRETCH_ROWS = 50_000  # alert times that one task walks at a time
+FAN_IN = 32  # stretches whose maps are merged into one
+_NEVER = np.iinfo(np.int64).min
 
 
 def cooldown(alerts: DataFrame, window_seconds: float, tiebreak: str = "alert_id",
-             light_limit: int = 1_000) -> DataFrame:
+             light_limit: int = STRETCH_ROWS) -> DataFrame:
     """Per (source, attack type) keep an alert when the last *kept* one is old enough.
 
-    The clock restarts only on kept alerts, so the choice is a chain along
-    time.  Keys with at most ``light_limit`` alert times are folded in one
-    expression each.  A busier key is not walked in one task: time is cut into
-    chunks, every chunk works out where each possible entry leaves it, those
-    small summaries are chained per key, and each chunk then replays from its
-    known entry.  Alerts with equal times count as one; the smallest
-    ``tiebreak`` stands for them.  Alerts without a time all stay.
+    The clock restarts only on kept alerts, so the choice is a chain along time.  The alert
+    times are sorted by key and time over all tasks and cut into stretches of
+    ``light_limit`` rows, whatever keys they hold.  A key within one stretch is walked
+    there.  Of a key that goes on in further stretches, each stretch tells where every
+    possible entry leaves it; those maps are merged in a tree, the entries are handed down
+    again, and each stretch is walked from its entry.  So a hot key is as many tasks as it
+    has stretches.  A map is never larger than the alert times of its key within one window
+    from its first.
+
+    Alerts with equal times count as one; the smallest ``tiebreak`` stands for them.  Alerts
+    without a time all stay; a null source or type is the same key as an empty one.
     """
     if window_seconds <= 0:
         return alerts
@@ -55,31 +61,69 @@ def cooldown(alerts: DataFrame, window_seconds: float, tiebreak: str = "alert_id
     keyed = alerts.withColumns({"_t": F.unix_micros("timestamp"),
                                 **{f"_{k}": F.coalesce(F.col(k), F.lit("")) for k in KEY}})
     keys = [f"_{k}" for k in KEY]
-    instants = (keyed.filter(F.col("_t").isNotNull())
-                .groupBy(*keys, "_t").agg(F.min(F.col(tiebreak).cast("string")).alias("_first")))
-    sizes = instants.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    light = _light_keys(instants.join(sizes.filter(F.col("_n") <= light_limit), keys, "left_semi"), keys, window)
-    heavy = _heavy_keys(instants.join(sizes.filter(F.col("_n") > light_limit), keys, "left_semi"), keys, window)
-    kept = light.unionByName(heavy)
+    kept = _kept_times(keyed, keys, tiebreak, window, max(2, light_limit))
     same = [F.col(f"a.{k}") == F.col(f"k.{k}") for k in [*keys, "_t"]]
     timed = keyed.alias("a").join(kept.alias("k"), [*same, F.col(f"a.{tiebreak}").cast("string") == F.col("k._first")], "left_semi")
     return timed.drop("_t", *keys).unionByName(alerts.filter(F.col("timestamp").isNull()))
 
 
-def _light_keys(instants: DataFrame, keys: list[str], window: int) -> DataFrame:
-    """Fold the few times of each key; the lists are bounded by the caller."""
-    times = instants.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_t", "_first"))).alias("_all"))
-    kept = F.aggregate(
-        "_all", F.struct(F.lit(None).cast("long").alias("last"), F.slice("_all", 1, 0).alias("kept")),
-        lambda acc, x: F.when(acc["last"].isNull() | (x["_t"] - acc["last"] >= window),
-                              F.struct(x["_t"].alias("last"), F.array_append(acc["kept"], x).alias("kept"))).otherwise(acc))
-    return times.select(*keys, F.inline(kept["kept"]))
+def _kept_times(keyed: DataFrame, keys: list[str], tiebreak: str, window: int, rows: int) -> DataFrame:
+    checkpoint_root(keyed.sparkSession)
+    sorted_times = (keyed.filter(F.col("_t").isNotNull())
+                    .groupBy(*keys, "_t").agg(F.min(F.col(tiebreak).cast("string")).alias("_first"))
+                    .repartitionByRange(*keys, "_t").sortWithinPartitions(*keys, "_t"))
+    # task and row of the sorted table, fixed by writing it
+    place = F.monotonically_increasing_id()
+    times = sorted_times.withColumn("_stretch", F.shiftright(place, 33) * (1 << 33) + F.floor((place % (1 << 33)) / rows)).checkpoint()
+    spans = times.groupBy(*keys).agg(F.min("_stretch").alias("_from"), F.max("_stretch").alias("_to")).filter("_from != _to")
+    entries = _entries(times.join(spans.select(*keys), keys, "left_semi"), keys, window)
+    ddl = ", ".join(f"{k} string" for k in keys) + ", _t long, _first string"
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values([*keys, "_t"]).reset_index(drop=True)
+        t, enter = group["_t"].to_numpy(np.int64), group["_enter"].fillna(_NEVER).to_numpy(np.int64)
+        new = np.append(True, (group[keys].to_numpy()[1:] != group[keys].to_numpy()[:-1]).any(axis=1))
+        begins = np.flatnonzero(new)
+        ends = np.append(begins[1:], len(t))
+        at = np.array([b + np.searchsorted(t[b:e], enter[b]) for b, e in zip(begins, ends)])
+        kept = []
+        for place, end in zip(at, ends):
+            while place < end:
+                kept.append(place)
+                place += int(np.searchsorted(t[place:end], t[place] + window))
+        return group.loc[kept, [*keys, "_t", "_first"]]
+
+    # an entry belongs to one key of a stretch, so no others are held back by it
+    return times.join(entries, [*keys, "_stretch"], "left").groupBy("_stretch").applyInPandas(walk, ddl)
+
+
+def _squeezed(until: np.ndarray, leave: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The map without steps that lead to the same exit."""
+    edge = np.append(leave[1:] != leave[:-1], True)
+    return until[edge], leave[edge]
+
+
+def _through(until: np.ndarray, leave: np.ndarray, free_from: np.ndarray, window: int) -> np.ndarray:
+    """When the next alert may be kept after a stretch that was entered at ``free_from``."""
+    at = np.searchsorted(until, free_from)
+    return np.where(at < len(until), leave[np.minimum(at, len(until) - 1)] + window, free_from)
 
 
-def _heavy_keys(instants: DataFrame, keys: list[str], window: int) -> DataFrame:
-    span = max(window * _CHUNK_WINDOWS, _CHUNK_SECONDS * 1_000_000)
-    instants = instants.withColumn("_chunk", F.floor(F.col("_t") / F.lit(span)).cast("long"))
-    key_schema = ", ".join(f"{k} string" for k in keys)
+def _merged(first: tuple[np.ndarray, np.ndarray], then: tuple[np.ndarray, np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The map of two stretches in a row: exits of the first enter the second, later entries pass the first by."""
+    later = then[0] > first[0][-1]
+    leave = _through(*then, first[1] + window, window) - window
+    return _squeezed(np.append(first[0], then[0][later]), np.append(leave, then[1][later]))
+
+
+def _entries(times: DataFrame, keys: list[str], window: int) -> DataFrame:
+    """(key, stretch, time from which an alert may be kept there) of keys over several stretches."""
+    head = ", ".join(f"{k} string" for k in keys)
+    map_ddl = f"{head}, _stretch long, _until array<long>, _leave array<long>, _start long"
+
+    def row(group: pd.DataFrame, until: np.ndarray, leave: np.ndarray, start: int, stretch: int) -> pd.DataFrame:
+        use = np.searchsorted(until, start + window) + 1  # no entry is later than a window after the first time
+        return pd.DataFrame({**{k: [group[k].iloc[0]] for k in keys}, "_stretch": [stretch], "_until": [until[:use].tolist()], "_leave": [leave[:use].tolist()], "_start": [start]})
 
     def summarise(group: pd.DataFrame) -> pd.DataFrame:
         t = np.sort(group["_t"].to_numpy(np.int64))
@@ -88,42 +132,36 @@ def _heavy_keys(instants: DataFrame, keys: list[str], window: int) -> DataFrame:
         last = np.where(follow < len(t), np.minimum(follow, len(t) - 1), np.arange(len(t)))
         while not np.array_equal(further := last[last], last):
             last = further
-        chunk = int(group["_chunk"].iloc[0])
-        reach = int(np.searchsorted(t, chunk * span + window))
-        use = min(reach + 1, len(t))
-        ends = t[last[:use]]
-        edge = np.append(ends[1:] != ends[:-1], True)
-        head = {k: [group[k].iloc[0]] for k in keys}
-        return pd.DataFrame({**head, "_chunk": [chunk], "_until": [t[:use][edge].tolist()],
-                             "_leave": [ends[edge].tolist()]})
-
-    summary = instants.groupBy(*keys, "_chunk").applyInPandas(
-        summarise, f"{key_schema}, _chunk long, _until array<long>, _leave array<long>")
-
-    def chain(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_chunk")
-        free_from = np.iinfo(np.int64).min
-        entries = []
-        for until, leave in zip(group["_until"], group["_leave"]):
-            entries.append(free_from)
-            at = int(np.searchsorted(np.asarray(until), free_from))
-            if at < len(until):
-                free_from = int(leave[at]) + window
-        return pd.DataFrame({**{k: group[k] for k in keys}, "_chunk": group["_chunk"], "_enter": entries})
-
-    entries = summary.groupBy(*keys).applyInPandas(chain, f"{key_schema}, _chunk long, _enter long")
-
-    def replay(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_t").reset_index(drop=True)
-        t = group["_t"].to_numpy(np.int64)
-        kept, at = [], int(np.searchsorted(t, group["_enter"].iloc[0]))
-        while at < len(t):
-            kept.append(at)
-            at = int(np.searchsorted(t, t[at] + window))
-        return group.loc[kept, [*keys, "_t", "_first"]]
-
-    return (instants.join(entries, [*keys, "_chunk"]).groupBy(*keys, "_chunk")
-            .applyInPandas(replay, f"{key_schema}, _t long, _first string"))
+        return row(group, *_squeezed(t, t[last]), int(t[0]), int(group["_stretch"].iloc[0]))
+
+    def parts(group: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(np.asarray(u, np.int64), np.asarray(v, np.int64)) for u, v in zip(group["_until"], group["_leave"])]
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_stretch")
+        whole, *others = parts(group)
+        for part in others:
+            whole = _merged(whole, part, window)
+        return row(group, *whole, int(group["_start"].iloc[0]), int(group["_parent"].iloc[0]))
+
+    def hand_down(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_stretch")
+        free_from, entries = np.int64(group["_enter"].iloc[0]), []
+        for part in parts(group):
+            entries.append(int(free_from))
+            free_from = _through(*part, np.array([free_from]), window)[0]
+        return pd.DataFrame({**{k: group[k] for k in keys}, "_stretch": group["_stretch"], "_enter": entries})
+
+    level = times.groupBy(*keys, "_stretch").applyInPandas(summarise, map_ddl)
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("_stretch")) - 1
+    levels = [level.withColumn("_parent", F.floor(number / FAN_IN)).checkpoint()]
+    while not levels[-1].filter("_parent > 0").isEmpty():
+        above = levels[-1].groupBy(*keys, "_parent").applyInPandas(merge, map_ddl)
+        levels.append(above.withColumn("_parent", F.floor(F.col("_stretch") / FAN_IN)).checkpoint())
+    entries = levels[-1].select(*keys, "_parent").distinct().withColumn("_enter", F.lit(int(_NEVER)))
+    for level in reversed(levels):
+        entries = level.join(entries, [*keys, "_parent"]).groupBy(*keys, "_parent").applyInPandas(hand_down, f"{head}, _stretch long, _enter long").withColumnRenamed("_stretch", "_parent")
+    return entries.withColumnRenamed("_parent", "_stretch")
 
 
 # ---- counts ----------------------------------------------------------------------
