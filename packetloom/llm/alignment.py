@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,37 +15,38 @@ from pyspark.sql import functions as F
 from packetloom.llm.common import stored
 
 
-def common_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+BLOCK = 256  # ends of the shorter list that gallop together
+# How byte-level BPE files without a pattern of their own cut texts: fixed value.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LONG_TEXT = 200_000  # characters from which the tokenizers library encodes alone
+
+
+def common_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices in ``a`` and in ``b`` of the values that both ascending lists hold.
 
-    Galloping: each value of the shorter list is looked for in the longer one from the last
-    place on, in steps that double until they pass it, then by halving the last step.
+    Galloping: the last of each block of the shorter list is looked for in the longer one
+    from the last place on, in steps that double until they pass it; the block's values are
+    then searched by halving within the stretch that was passed.
     """
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     at, size = 0, len(long)
-    in_short, in_long = [], []
-    for i, x in enumerate(short):
-        step, low = 1, at
-        while at < size and long[at] < x:
-            low, at = at + 1, at + step
-            step += step
-        at = bisect_left(long, x, low, min(at, size))
-        if at == size:
-            break
-        if long[at] == x:
-            in_short.append(i)
-            in_long.append(at)
-            at += 1
-    return (in_short, in_long) if short is a else (in_long, in_short)
-
-
-def printed_groups(a_ids: list[str], b_ids: list[str], a_at: list[int], b_at: list[int]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of each group, cut after the common ends."""
-    out, i, j = [], 0, 0
-    for k, m in zip(a_at, b_at, strict=True):
-        out.append(f"{a_ids[i] if k == i else ','.join(a_ids[i:k + 1])}|{b_ids[j] if m == j else ','.join(b_ids[j:m + 1])}")
-        i, j = k + 1, m + 1
-    return ";".join(out)
+    in_short, in_long = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(0, len(short), BLOCK):
+        block = short[i:i + BLOCK]
+        low, step = at, BLOCK
+        while at < size and long[at] <= block[-1]:
+            at, step = at + step, step + step
+        at = min(at, size)
+        stretch = long[low:at]
+        if not len(stretch):
+            continue
+        place = np.searchsorted(stretch, block)
+        hit = np.flatnonzero(stretch[np.minimum(place, len(stretch) - 1)] == block)
+        in_short.append(hit + i)
+        in_long.append(place[hit] + low)
+        at = low + int(place[-1])  # ends up to here are below the next block
+    found = np.concatenate(in_short), np.concatenate(in_long)
+    return found if short is a else found[::-1]
 
 
 def _byte_letters() -> dict[str, int]:
@@ -55,6 +56,29 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b) if b in plain else chr(next(spare)): b for b in range(256)}
 
 
+class Printer:
+    """``a1,a2|b1;a3|b2,b3``: the ids of each group, cut after the common ends."""
+
+    def __init__(self, n_a: int, n_b: int):
+        self.n_a, self.n = n_a, n_a + n_b
+        ids = [*range(n_a), *range(n_b)]
+        # every id with each of the signs that may follow it
+        self.names = [f"{i},".encode() for i in ids] + [f"{i}|".encode() for i in ids] + [f"{i};".encode() for i in ids]
+
+    def groups(self, a: np.ndarray, b: np.ndarray, a_at: np.ndarray, b_at: np.ndarray) -> bytes:
+        if not len(a):
+            return b""
+        # tokens of a stand behind those of b in earlier groups, tokens of b behind those of a up to their own
+        a_group, b_group = (np.searchsorted(at, np.arange(len(x))) for at, x in ((a_at, a), (b_at, b)))
+        out = np.zeros(len(a) + len(b), np.int64)
+        a_name, b_name = a.copy(), b + self.n_a
+        a_name[a_at] += self.n
+        b_name[b_at] += 2 * self.n
+        out[np.arange(len(a)) + np.concatenate([[0], b_at + 1])[a_group]] = a_name
+        out[np.arange(len(b)) + (a_at + 1)[b_group]] = b_name
+        return b"".join(map(self.names.__getitem__, out.tolist()))[:-1]
+
+
 class ByteBpe:
     """A byte-level BPE file; strings of special tokens in a text are plain text."""
 
@@ -71,8 +95,22 @@ class ByteBpe:
         for token, i in vocab.items():
             known = all(c in letters for c in token)
             self.tokens[i] = bytes(letters[c] for c in token) if known else token.encode()
+        self.fast = self._by_rank(json.loads(file))
+
+    def _by_rank(self, spec: dict):
+        """An encoder by token ranks, where ids follow the order of merges, which gives the same ids."""
+        model, cut = spec["model"], spec["pre_tokenizer"] or {}
+        plain = spec["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not any(
+            model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        if not plain or any(model["vocab"].get(x + y) != 256 + i for i, (x, y) in enumerate(merges)):
+            return None
+        import tiktoken
+        return tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks={self.tokens[i]: i for i in range(256 + len(merges))}, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        if self.fast and max(map(len, texts)) < LONG_TEXT:
+            return [self.fast.encode_ordinary(" " + t) for t in texts]
         return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
 
@@ -118,13 +156,13 @@ class Aligner:
     def __init__(self, a: bytes, b: bytes, pairs: np.ndarray):
         self.a, self.b, self.pairs = ByteBpe(a), PieceBpe(b), pairs
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in x.tokens], np.int64) for x in (self.a, self.b))
-        self.a_names, self.b_names = ([str(i) for i in range(len(x.tokens))] for x in (self.a, self.b))
+        self.printer = Printer(len(self.a.tokens), len(self.b.tokens))
 
-    def align(self, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, str]]:
+    def align(self, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, bytes]]:
         """(n_a, n_b, pair numbers of the links in order, groups) of each text."""
         full = [t for t in texts if t]
         encoded = iter(zip(self.a.encode(full), self.b.encode(full), strict=True)) if full else iter(())
-        nothing = (0, 0, np.zeros(0, np.int32), "")
+        nothing = (0, 0, np.zeros(0, np.int32), b"")
         for text in texts:
             if not text:
                 yield nothing
@@ -135,10 +173,9 @@ class Aligner:
                 yield nothing
                 continue
             a_ids, b_ids = np.array(a, np.int64), np.array(b, np.int64)
-            a_at, b_at = common_ends(np.cumsum(self.a_sizes[a_ids]).tolist(), np.cumsum(self.b_sizes[b_ids]).tolist())
+            a_at, b_at = common_ends(np.cumsum(self.a_sizes[a_ids]), np.cumsum(self.b_sizes[b_ids]))
             keys = a_ids[a_at] * len(self.b.tokens) + b_ids[b_at]
-            yield len(a), len(b), np.searchsorted(self.pairs, keys).astype(np.int32), printed_groups(
-                list(map(self.a_names.__getitem__, a)), list(map(self.b_names.__getitem__, b)), a_at, b_at)
+            yield len(a), len(b), np.searchsorted(self.pairs, keys).astype(np.int32), self.printer.groups(a_ids, b_ids, a_at, b_at)
 
 
 _LOADED: dict[int, Aligner] = {}
@@ -193,11 +230,11 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", key: st
                 n_a, n_b, links, groups = zip(*found, strict=True)
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in links])]).astype(np.int32)
                 columns = [batch.column(0).slice(at, len(part)), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()),
-                           pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups], pa.string()),
+                           pa.array([hashlib.sha256(g).hexdigest() if g else "" for g in groups], pa.string()),
                            pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(links), pa.int32()))]
                 names = ["key", "n_a", "n_b", "groups_sha256", "links"]
                 if keep_groups:
-                    columns.append(pa.array(groups, pa.string()))
+                    columns.append(pa.array(groups, pa.binary()).cast(pa.string()))
                     names.append("groups")
                 at += len(part)
                 yield pa.RecordBatch.from_arrays(columns, names)

@@ -7,6 +7,7 @@ import random
 from bisect import bisect_right
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from packetloom.llm import alignment, queries
@@ -72,18 +73,21 @@ def test_query_on_documents(spark, sf_dir, tokenizers):
 
 @pytest.mark.parametrize("rows", [[], [
     (None, "no id"), (1, None), (1, ""), (2, " "), (3, "a  b\t\n c "), (4, "<|endoftext|> <s></s><unk> <0x41>"), (5, "é日本▁x"), (5, "plain"), (5, "plain"),
-    (6, "\x00nul\x00"), (7, "long words and more " * 8000), (8, "😀" * 50), (9, "x" * 3000)]])
+    (6, "\x00nul\x00"), (7, "long words and more " * 8000), (8, "😀" * 50), (9, "x" * 3000), (10, "one more word\n" * 16_000)]])
 def test_edge_rows(spark, tables, tokenizers, rows):
     folder = tables(documents=([(i, t, 1, "x") for i, t in rows], "doc_id bigint, text string, links int, n_a string"))
     check(tokenizers, rows, queries.QUERIES["op11_token_alignment"](spark, folder).collect())
 
 
-def test_galloping():
+@pytest.mark.parametrize("block", [1, 7, 256])
+def test_galloping(monkeypatch, block):
+    monkeypatch.setattr(alignment, "BLOCK", block)
     rng = random.Random(4)
     for _ in range(300):
         a, b = (sorted(rng.sample(range(1, 400), rng.randint(0, rng.choice([3, 60, 300])))) for _ in range(2))
         both = sorted(set(a) & set(b))
-        assert alignment.common_ends(a, b) == ([a.index(x) for x in both], [b.index(x) for x in both])
+        i, j = alignment.common_ends(np.array(a, np.int64), np.array(b, np.int64))
+        assert (i.tolist(), j.tolist()) == ([a.index(x) for x in both], [b.index(x) for x in both])
 
 
 def test_groups_are_kept_on_demand(spark, tokenizers):
