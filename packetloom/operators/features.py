@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from packetloom.functions.flags import ACK, FIN, PSH, RST, SYN, feature_flags, has_bit
 from packetloom.functions.ip import is_private_ip
 from packetloom.functions.text import size_class
+from packetloom.session import checkpoint_root
 
 EPS = 1e-9
 Step = Callable[[DataFrame], DataFrame]
@@ -18,7 +19,6 @@ ROLLED = ("packet_length", "src_port", "dst_port", "ttl")
 PROTOCOLS = ("TCP", "UDP", "ICMP", "ARP", "DNS")
 HALO = max(WINDOWS) - 1
 BUCKET_ROWS = 10_000
-RANGE_ROWS = 100_000
 # about 60 bytes a value: 120 MB at most, whatever the size of the packet table
 BROADCAST_VALUES = 2_000_000
 
@@ -73,36 +73,67 @@ def running_offsets(counts: DataFrame, key: str, rows: str, group: int = 4096) -
         key, (F.col("_base") + F.sum(rows).over(inside) - F.col(rows)).alias("_before"))
 
 
-def order_index(df: DataFrame, order: str = "packet_number", range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Rows plus ``_idx``: 0, 1, 2 ... in ``order``, gaps closed.
+def _bucket_table(cells: DataFrame, bucket_rows: int, most: int, group: int = 4096) -> DataFrame:
+    """(``_session``, ``_cell``, ``_bucket``) of sessions of several buckets.
 
-    Rows are numbered inside ranges of ``order`` and shifted by the number of
-    rows in earlier ranges.  Ranges depend on values only, so a task that runs
-    again numbers its rows as before.
+    Cells follow each other into buckets by the rows before them, a cell counting ``most``
+    at most, so that every bucket but the last of a session has ``bucket_rows`` less
+    ``most`` at least.  Running totals are taken in two levels: no task sees all
+    cells of a long session.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(order) / F.lit(range_rows)))
-    offsets = running_offsets(ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows")), "_range", "_rows")
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(order))
-    return (ranged.withColumn("_in", inside).join(offsets, "_range")
-            .withColumn("_idx", F.col("_before") + F.col("_in") - 1).drop("_range", "_in", "_before"))
-
-
-def with_halo(df: DataFrame, halo: int = HALO, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Indexed rows in buckets, each bucket led by the last ``halo`` rows of the one before.
-
-    Row frames of up to ``halo + 1`` rows computed per bucket then equal frames
-    over the whole table.
+    part = cells.select("_session", "_cell", F.least("_rows", F.lit(most)).alias("_n"), F.floor(F.col("_cell") / F.lit(group)).alias("_group"))
+    upper = part.groupBy("_session", "_group").agg(F.sum("_n").alias("_sum"))
+    by_group = Window.partitionBy("_session").orderBy("_group")
+    upper = upper.select(F.col("_session").alias("_s"), F.col("_group").alias("_g"), (F.sum("_sum").over(by_group) - F.col("_sum")).alias("_base"))
+    inside = Window.partitionBy("_session", "_group").orderBy("_cell")
+    before = F.col("_base") + F.sum("_n").over(inside) - F.col("_n")
+    placed = part.join(upper, F.col("_session").eqNullSafe(F.col("_s")) & F.col("_group").eqNullSafe(F.col("_g"))).select(
+        "_session", "_cell", F.floor(before / F.lit(bucket_rows)).alias("_bucket"))
+    several = placed.groupBy(F.col("_session").alias("_s")).agg(F.max("_bucket").alias("_last")).filter("_last > 0")
+    return placed.join(several, F.col("_session").eqNullSafe(F.col("_s"))).select("_session", "_cell", "_bucket", "_last")
+
+
+def _bounded(table: DataFrame, limit: int = BROADCAST_VALUES) -> DataFrame:
+    """Broadcast up to ``limit`` rows; a larger table is left to Spark."""
+    return F.broadcast(table) if table.limit(limit + 1).count() <= limit else table
+
+
+def bucketed(df: DataFrame, order: str, bucket_rows: int, session: str | None = None, halo: int = HALO) -> DataFrame:
+    """Rows with ``_session``, ``_own`` and ``_bucket``, the last ``halo`` rows of a bucket also in the next one of their session.
+
+    Row frames of up to ``halo + 1`` rows computed per (session, bucket) then equal frames
+    over the whole session.  A scan of two columns counts cells of the order, which make
+    buckets; a second one finds from which number on a bucket's rows are its last ones; the
+    rows then take both from a small table and have not moved yet.  Everything follows
+    from the values, so a task that runs again does the same.  Rows without a number come
+    first in the first bucket.
     """
     if bucket_rows <= halo:
         raise ValueError("a bucket must hold more rows than the halo")
-    own = F.floor(F.col("_idx") / F.lit(bucket_rows))
-    tail = F.pmod(F.col("_idx"), F.lit(bucket_rows)) >= bucket_rows - halo
-    return (df.withColumn("_own", own)
-            .withColumn("_bucket", F.explode(F.when(tail, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own")))))
+    cell_rows = max(1, min(bucket_rows // 2, bucket_rows - halo))
+    checkpoint_root(df.sparkSession)
+    rows = df.withColumns({"_session": F.col(session) if session else F.lit(0), "_cell": F.floor(F.col(order) / F.lit(cell_rows)).cast("long")})
+    cells = rows.groupBy("_session", "_cell").agg(F.count(F.lit(1)).alias("_rows"))
+    table = _bucket_table(cells, bucket_rows, cell_rows).checkpoint()
+    if table.isEmpty():
+        return rows.withColumns({"_own": F.lit(0).cast("long"), "_bucket": F.lit(0).cast("long")}).drop("_cell")
+
+    def placed(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
+        right = right.select(F.col("_session").alias("_s"), F.col("_cell").alias("_c"), *more)
+        return left.join(_bounded(right), F.col("_session").eqNullSafe(F.col("_s")) & (F.col("_cell") == F.col("_c")), "left").drop("_s", "_c")
+    numbers = placed(rows.select("_session", "_cell", F.col(order).alias("_at")), table, "_bucket").filter("_bucket IS NOT NULL")
+    from_last = F.row_number().over(Window.partitionBy("_session", "_bucket").orderBy(F.desc("_at")))
+    tails = numbers.withColumn("_r", from_last).filter(F.col("_r") <= halo).groupBy("_session", "_bucket").agg(F.min("_at").alias("_tail"))
+    tails = tails.select(F.col("_session").alias("_ts"), F.col("_bucket").alias("_tb"), "_tail")
+    ends = table.join(tails, F.col("_session").eqNullSafe(F.col("_ts")) & (F.col("_bucket") == F.col("_tb"))).select(
+        "_session", "_cell", "_bucket", F.when(F.col("_bucket") < F.col("_last"), F.col("_tail")).alias("_tail")).checkpoint()
+    found = placed(rows, ends, F.col("_bucket").alias("_own"), "_tail").withColumn("_own", F.coalesce("_own", F.lit(0).cast("long")))
+    both = F.when(F.col(order) >= F.col("_tail"), F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))
+    return found.withColumn("_bucket", F.explode(both)).drop("_cell", "_tail")
 
 
 def in_order():
-    return Window.partitionBy("_bucket").orderBy("_idx")
+    return Window.partitionBy("_session", "_bucket").orderBy("_idx")
 
 
 def frame(rows: int):
@@ -110,20 +141,27 @@ def frame(rows: int):
 
 
 def rolling(df: DataFrame, *steps: Step, order: str = "packet_number", bucket_rows: int = BUCKET_ROWS,
-            contiguous: bool = False) -> DataFrame:
-    """Apply windowed ``steps`` in packet order of the whole capture.
-
-    All steps share one partitioning and order, so together they cost one
-    shuffle and one sort.  ``contiguous`` says that ``order`` is 0 or 1, 2, 3
-    ... without gaps, as the ingest job numbers packets; the indexing shuffle
-    is then skipped.
+            contiguous: bool = False, session: str | None = None) -> DataFrame:
+    """Apply windowed ``steps`` in packet order of the whole capture, or of each ``session``.
+
+    All steps share one partitioning and order, so together they cost one shuffle and one
+    sort.  With ``session``, the name of a column, no frame crosses from one session to
+    another and every session counts from its own first packet; without it all rows are
+    one capture.  ``contiguous`` says that ``order`` is 0 or 1, 2, 3 ... without gaps in
+    each session, as the ingest job numbers packets; buckets then follow from the number
+    and need no scan.
     """
-    rows = df.withColumn("_idx", F.col(order).cast("long")) if contiguous \
-        else order_index(df, order, max(bucket_rows, RANGE_ROWS if bucket_rows >= BUCKET_ROWS else bucket_rows))
-    rows = with_halo(rows, bucket_rows=bucket_rows).withColumn("_n", F.row_number().over(in_order()))
+    if contiguous:
+        own, number = F.floor(F.col(order) / F.lit(bucket_rows)), F.col(order).cast("long")
+        tail = F.pmod(number, F.lit(bucket_rows)) >= bucket_rows - HALO
+        rows = df.withColumns({"_session": F.col(session) if session else F.lit(0), "_own": own}).withColumn(
+            "_bucket", F.explode(F.when(tail, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
+    else:
+        rows = bucketed(df, order, bucket_rows, session)
+    rows = rows.withColumn("_idx", F.col(order).cast("long")).withColumn("_n", F.row_number().over(in_order()))
     for step in steps:
         rows = step(rows)
-    return rows.filter(F.col("_bucket") == F.col("_own")).drop("_idx", "_own", "_bucket", "_n")
+    return rows.filter(F.col("_bucket") == F.col("_own")).drop("_session", "_idx", "_own", "_bucket", "_n")
 
 
 def window_sums(df: DataFrame, values: dict[str, Column], windows: Sequence[int]) -> DataFrame:
@@ -271,14 +309,22 @@ def burstiness(df: DataFrame) -> DataFrame:
     }).drop("_s_30", "_q_30")
 
 
-def zscore_features(df: DataFrame, columns: Sequence[str] = ROLLED) -> DataFrame:
-    """Deviation from the global mean in sample deviations, clipped at five."""
-    stats = df.agg(*[f(number(c)).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))])
+def zscore_statistics(df: DataFrame, columns: Sequence[str] = ROLLED) -> DataFrame:
+    """One row: mean and sample deviation of each column."""
+    return df.agg(*[f(number(c)).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))])
+
+
+def with_zscores(df: DataFrame, stats: DataFrame, columns: Sequence[str] = ROLLED) -> DataFrame:
     scores = {f"{c}_zscore": F.when(F.col(f"_s_{c}") > 0, F.least(F.lit(5.0), F.greatest(
         F.lit(-5.0), F.try_divide(number(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}"))))).otherwise(0.0) for c in columns}
     return df.crossJoin(F.broadcast(stats)).withColumns(scores).drop(*[f"_{n}_{c}" for c in columns for n in "ms"])
 
 
+def zscore_features(df: DataFrame, columns: Sequence[str] = ROLLED) -> DataFrame:
+    """Deviation from the global mean in sample deviations, clipped at five."""
+    return with_zscores(df, zscore_statistics(df, columns), columns)
+
+
 Z_COLUMNS = ROLLED
 RAW_FEATURES = ("packet_length", "src_port", "dst_port", "ttl", "ip_version", "is_tcp", "is_udp", "is_icmp",
                 "src_ip_frequency", "dst_ip_frequency", "hour_of_day", "is_private_src", "is_private_dst")
@@ -297,12 +343,16 @@ def feature_names() -> list[str]:
 
 
 def feature_matrix(df: DataFrame, order: str = "packet_number", bucket_rows: int = BUCKET_ROWS,
-                   contiguous: bool = False) -> DataFrame:
-    """Engineered packets plus every feature as a double, null and non-finite values as 0."""
-    # the global statistics are taken from the packets, before any shuffle
-    rows = zscore_features(df, Z_COLUMNS).withColumns({**base_features(), **flag_features()})
-    rows = rolling(rows, syn_ratio, rolling_statistics, protocol_entropy, diversity, burstiness,
-                   order=order, bucket_rows=bucket_rows, contiguous=contiguous)
+                   contiguous: bool = False, session: str | None = None) -> DataFrame:
+    """Engineered packets plus every feature as a double, null and non-finite values as 0.
+
+    Packets move once, before any feature is made: what needs only its own row or the
+    global statistics is added after the windows.
+    """
+    rows = rolling(df, lambda packets: packets.withColumns(flag_features()), syn_ratio, rolling_statistics, protocol_entropy, diversity, burstiness,
+                   order=order, bucket_rows=bucket_rows, contiguous=contiguous, session=session)
+    stats = zscore_statistics(df, Z_COLUMNS)
+    rows = with_zscores(rows, stats, Z_COLUMNS).withColumns(base_features())
     return rows.withColumns({name: finite(F.col(name)) for name in feature_names()})
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.operators import features as ft
@@ -102,6 +102,19 @@ def _(spark, d):
     return rounded(ft.rolling(rows, ft.rolling_statistics, bucket_rows=SMALL_BUCKETS), ROLL_SQL)
 
 
+_SESSIONS = "SELECT * REPLACE (CAST(row_number() OVER (PARTITION BY session_id ORDER BY packet_number) AS BIGINT) AS packet_number), packet_number AS capture_number FROM p"
+
+
+@register("m4_many_sessions", over("p", f"WITH e AS ({_SESSIONS}) " + select_sql(ROLL_SQL).replace("(ORDER BY", "(PARTITION BY session_id ORDER BY").replace(
+    "SELECT packet_number,", "SELECT capture_number AS packet_number,")))
+def _(spark, d):
+    # every session numbers its packets from 1, as separate exports do
+    inside = F.row_number().over(Window.partitionBy("session_id").orderBy("packet_number")).cast("long")
+    rows = fixtures.packets(spark, d).withColumns({"capture_number": F.col("packet_number"), "packet_number": inside})
+    rows = ft.rolling(rows, ft.rolling_statistics, bucket_rows=200, session="session_id").withColumn("packet_number", F.col("capture_number"))
+    return rounded(rows, ROLL_SQL)
+
+
 @register("m5_zscores", over("p", f"WITH {E_SQL} {select_sql(Z_SQL)}"))
 def _(spark, d):
     return rounded(ft.zscore_features(fixtures.packets(spark, d)), Z_SQL)

@@ -118,6 +118,30 @@ def test_rolling_equals_pandas(spark, sf_dir):
             assert np.allclose(got[f"packet_length_w{w}_{name}"], expected)
 
 
+def test_frames_stay_in_their_session(spark, sf_dir):
+    """Sessions of 1, 40 and 700 packets with numbers of their own, gaps, repeats and a null session."""
+    rng = random.Random(3)
+    rows = []
+    for name, n, step in (("one", 1, 1), ("short", 40, 1), (None, 90, 7), ("long", 700, 1), ("wide", 200, 10 ** 6)):
+        rows += [(name, i * step + 1, rng.randrange(40, 1500), rng.randrange(1, 9), rng.randrange(1, 9), 64) for i in range(n)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "session string, packet_number long, packet_length int, src_port int, dst_port int, ttl int")
+    got = features.rolling(df, features.rolling_statistics, bucket_rows=60, session="session").toPandas()
+    assert len(got) == len(rows)
+    for name, part in got.fillna({"session": "?"}).groupby("session"):
+        part = part.sort_values("packet_number")
+        r = part["packet_length"].astype(float).rolling(30, min_periods=1)
+        assert np.allclose(part["packet_length_w30_mean"], r.mean()) and np.allclose(part["packet_length_w30_max"], r.max()), name
+
+
+def test_packets_move_once_for_all_features(spark, tmp_path, sf_dir):
+    path = str(tmp_path / "engineered")
+    features.engineer(fixtures.packets(spark, sf_dir)).write.parquet(path)
+    plan = features.feature_matrix(spark.read.parquet(path), bucket_rows=64)._jdf.queryExecution().executedPlan().toString()
+    # the rows, the statistics, and the latter's one row
+    assert plan.count("FileScan parquet") + plan.count("Scan ExistingRDD") <= 3 and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_feature_list_is_stable():
     names = features.feature_names()
     assert len(names) == len(set(names)) and not {"packet_number", "session_id"} & set(names)
