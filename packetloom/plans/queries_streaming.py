@@ -120,6 +120,25 @@ def _(spark, d):
     return sinks.run_now(cooldown.cooldown(live, 21_600), scratch(spark, "p5")).drop("batch_id")
 
 
+@register("p5_settled_batches", _cooldown_sql(21_600).rsplit("SELECT u.alert_id", 1)[0] + """SELECT u.alert_id, u.source_ip, u.attack_type, make_timestamp(u.t) AS timestamp
+    FROM u JOIN k ON u.source_ip = k.source_ip AND u.attack_type = k.attack_type AND u.t = k.t WHERE make_timestamp(u.t) <= (SELECT max(timestamp) FROM a) - INTERVAL 2 DAY
+    UNION ALL SELECT concat(alert_id, '-timeless'), source_ip, attack_type, NULL FROM a WHERE seq % 40 = 0""")
+def _(spark, d):
+    """Six batches with alerts up to a day and a half out of order, and some without a time."""
+    fixtures.use_utc(spark)
+    alerts = fixtures.alerts(spark, d).select("seq", "alert_id", "source_ip", "attack_type", "timestamp")
+    timeless = alerts.filter("seq % 40 = 0").select("seq", F.concat("alert_id", F.lit("-timeless")).alias("alert_id"), "source_ip", "attack_type", F.lit(None).cast("timestamp").alias("timestamp"))
+    first, last = alerts.agg(F.min("timestamp").cast("double"), F.max("timestamp").cast("double")).first()
+    arrival = F.coalesce(F.col("timestamp").cast("double"), F.lit(first)) + F.pmod(F.xxhash64("alert_id"), F.lit(129_600))
+    batch = F.least(F.lit(5), F.floor((arrival - first) / F.lit((last - first + 1) / 6))).cast("int")
+    folder = scratch(spark, "p5-batches")
+    for i in range(6):  # one file a batch, in order of writing
+        alerts.unionByName(timeless).filter(batch == i).drop("seq").coalesce(1).write.parquet(f"{folder}/b{i}")
+    schema = alerts.drop("seq").schema
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/b*")
+    return sinks.run_now(cooldown.settled_cooldown(live, 21_600, "2 days"), scratch(spark, "p5s")).drop("batch_id")
+
+
 @register("p6_continuous_detection", over("b", f"""WITH {run_sql('b')}, rk AS (SELECT *, row_number() OVER (PARTITION BY source_ip, attack_type ORDER BY priority, first_packet, destination_ip, coalesce(dst_port, -1)) AS rn FROM al)
     SELECT attack_type AS alert_type, severity, confidence, source_ip AS src_ip, destination_ip AS dst_ip, timestamp, dst_port, detector_name FROM rk WHERE rn = 1"""))
 def _(spark, d):

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 KEY = ["source_ip", "attack_type"]
 
@@ -45,3 +47,71 @@ def cooldown(alerts: DataFrame, window_seconds: float, delay: str = "10 minutes"
     keyed = alerts.withColumns({f"_{k}": F.coalesce(k, F.lit("")) for k in KEY})
     return keyed.withWatermark("timestamp", delay).groupBy(*[f"_{k}" for k in KEY]).applyInPandasWithState(
         judge, schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Settling(StatefulProcessor):
+    """Holds a key's alerts back until the watermark has passed them, then judges them in time order."""
+
+    def __init__(self, names: list[str], step: int):
+        self.names, self.step = names, step
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "t long")
+        self.waiting = handle.getListState("waiting", "t long, id string, row binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = []
+        for part in rows:
+            timeless = part["timestamp"].isna()
+            if timeless.any():
+                yield part.loc[timeless, self.names]
+            part = part[~timeless]
+            times = part["timestamp"].astype("datetime64[us]").astype("int64")
+            held += [(int(t), str(i), pickle.dumps(row)) for t, i, row in zip(times, part["alert_id"], part[self.names].itertuples(index=False, name=None))]
+        if held:
+            self.waiting.appendList(held)
+            self.handle.registerTimer(min(t for t, *_ in held) // 1_000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = timerValues.getCurrentWatermarkInMs() * 1_000
+        held = sorted(self.waiting.get(), key=lambda r: (r[0], r[1])) if self.waiting.exists() else []
+        last = self.last.get()[0] if self.last.exists() else None
+        kept = []
+        due = [r for r in held if r[0] <= until]
+        for t, _, row in due:
+            if last is None or t - last >= self.step:
+                last = t
+                kept.append(pickle.loads(bytes(row)))
+        left = held[len(due):]
+        if left:
+            self.waiting.put([tuple(r) for r in left])
+            self.handle.registerTimer(left[0][0] // 1_000 + 1)
+        else:
+            self.waiting.clear()
+        if last is not None and due:
+            self.last.update((last,))
+        if kept:
+            yield pd.DataFrame(kept, columns=self.names)
+
+    def close(self) -> None:
+        pass
+
+
+def settled_cooldown(alerts: DataFrame, window_seconds: float, delay: str = "10 minutes") -> DataFrame:
+    """The batch form's result on a stream, whatever batches the alerts come in.
+
+    An alert waits in the state of its key until the watermark, ``delay`` behind the newest
+    alert, has passed it; an event-time timer then judges what is due in time order.  So
+    alerts out of order by less than ``delay`` are judged where they belong, and a result
+    comes ``delay`` late; later ones are dropped by the watermark.  Alerts without a time
+    all pass at once; of alerts with equal times the smallest ``alert_id`` stands.  State
+    is one time a key and the alerts of the last ``delay``.
+    """
+    alerts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    keyed = alerts.withColumns({f"_{k}": F.coalesce(k, F.lit("")) for k in KEY})
+    return keyed.withWatermark("timestamp", delay).groupBy(*[f"_{k}" for k in KEY]).transformWithStateInPandas(
+        _Settling(alerts.columns, round(window_seconds * 1_000_000)), alerts.schema, "append", "eventTime")

@@ -190,3 +190,12 @@ def test_auc_with_ties(spark):
     df = spark.createDataFrame(rows, "y boolean, s double")
     pairs = [(a > b) + (a == b) / 2 for y, a in rows if y for z, b in rows if not z]
     assert auc(df, F.col("y"), F.col("s")).first()[0] == pytest.approx(sum(pairs) / len(pairs))
+
+
+def test_one_hot_key_over_many_stretches(spark):
+    rng = random.Random(21)
+    rows = [("hot", "x", rng.randrange(0, 86_400_000), f"n{i:06}") for i in range(60_000)]
+    df = spark.createDataFrame([(n, s, k, START + dt.timedelta(milliseconds=t)) for s, k, t, n in rows], "alert_id string, source_ip string, attack_type string, timestamp timestamp")
+    for window in (30, 20_000):
+        kept = {r[0] for r in al.cooldown(df, window, light_limit=500).select("alert_id").collect()}
+        assert kept == keep_by_loop(rows, window * 1_000)
