@@ -83,19 +83,24 @@ class ByteBpe:
     """A byte-level BPE file; strings of special tokens in a text are plain text."""
 
     def __init__(self, file: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_buffer(file)
-        self.tokenizer.encode_special_tokens = True
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        letters = _byte_letters()
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.file, self.library = file, None
+        spec, letters = json.loads(file), _byte_letters()
+        vocab = {**spec["model"]["vocab"], **{t["content"]: t["id"] for t in spec["added_tokens"]}}
         self.tokens = [b""] * (1 + max(vocab.values()))
         for token, i in vocab.items():
             known = all(c in letters for c in token)
             self.tokens[i] = bytes(letters[c] for c in token) if known else token.encode()
-        self.fast = self._by_rank(json.loads(file))
+        self.fast = self._by_rank(spec)
+
+    def _from_library(self):
+        if self.library is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+            self.library = Tokenizer.from_buffer(self.file)
+            self.library.encode_special_tokens = True
+            self.library.no_padding()
+            self.library.no_truncation()
+        return self.library
 
     def _by_rank(self, spec: dict):
         """An encoder by token ranks, where ids follow the order of merges, which gives the same ids."""
@@ -111,7 +116,7 @@ class ByteBpe:
     def encode(self, texts: list[str]) -> list[list[int]]:
         if self.fast and max(map(len, texts)) < LONG_TEXT:
             return [self.fast.encode_ordinary(" " + t) for t in texts]
-        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        return [e.ids for e in self._from_library().encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
 
 class PieceBpe:
@@ -189,9 +194,9 @@ def _aligner(number: int, a, b, pairs) -> Aligner:
     return _LOADED[number]
 
 
-def _in_parts(texts: list[str | None], most_chars: int = 1 << 20) -> Iterator[list[str | None]]:
+def _in_parts(column: pa.Array, most_chars: int = 1 << 19) -> Iterator[list[str | None]]:
     part, size = [], 0
-    for text in texts:
+    for text in (t.as_py() for t in column):
         part.append(text)
         size += len(text or "")
         if size >= most_chars:
@@ -225,7 +230,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", key: st
         aligner = _aligner(number, *held)
         for batch in batches:
             at = 0
-            for part in _in_parts(batch.column(1).to_pylist()):
+            for part in _in_parts(batch.column(1)):
                 found = list(aligner.align(part))
                 n_a, n_b, links, groups = zip(*found, strict=True)
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in links])]).astype(np.int32)

@@ -40,6 +40,16 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that ``df`` does not have, one a stem."""
+    out = []
+    for stem in stems:
+        while stem in df.columns:
+            stem += "_"
+        out.append(stem)
+    return out
+
+
 def bind(value: Column, use) -> Column:
     """``use(x)`` with ``value`` computed once, however often and however deep ``use`` refers to it."""
     return F.transform(F.array(value), use)[0]

@@ -64,9 +64,11 @@ def spans(docs: DataFrame, templates: DataFrame, text: str = "text", key: tuple[
     All word pairs of the whole texts are joined on their hash with the template positions
     (and compared as words), and every match votes for its diagonal, the position in the
     text less that in the template.  An exact template needs all votes of one diagonal.
-    For the others diagonals with two votes at least and not over ``drift`` apart are
-    merged, so that inserted or dropped words do no harm, and ``score`` is the share of the
-    template's pairs that voted, at most 1; places under ``coverage`` go.
+    For the others a diagonal with two votes at least is merged with those not over
+    ``drift`` from it, so that inserted or dropped words do no harm, and verified: ``score``
+    is the share of the template's pairs that stand there in the template's order, each
+    counted once.  Places under ``coverage`` go, and of places that share diagonals the best
+    stays.
 
     ``key`` columns name a document; equal keys are taken as one document.  Null texts,
     texts and templates of fewer than two words have no places.  Votes are counted before
@@ -80,15 +82,32 @@ def spans(docs: DataFrame, templates: DataFrame, text: str = "text", key: tuple[
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_PAIRS else wanted
     grams = docs.select(*key, F.explode(bind(words(F.col(text)), _pairs)).alias("p")).select(*key, "p.*")
     hits = grams.withColumn("gram", F.xxhash64("a", "b")).join(wanted, "gram").where("a = t_a AND b = t_b")
-    lines = hits.groupBy(*key, "template", "label", "exact", "pairs", (F.col("at") - F.col("t_at")).alias("diagonal")).agg(
-        F.count_distinct("t_at").alias("votes"), F.min("at").alias("low"), (F.max("at") + 1).alias("high"))
-    lines = lines.where(F.when(F.col("exact"), F.col("votes") == F.col("pairs")).otherwise(F.col("votes") >= F.least(F.lit(2), F.col("pairs"))))
-    in_order = Window.partitionBy(*key, "template").orderBy("diagonal")
-    apart = F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(in_order) > drift)
-    merged = lines.withColumn("_run", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(in_order)).groupBy(
-        *key, "template", "label", "exact", "pairs", "_run").agg(F.sum("votes").alias("votes"), F.min("low").alias("first_word"), F.max("high").alias("last_word"))
-    scored = merged.withColumn("score", F.least(F.lit(1.0), F.col("votes") / F.col("pairs"))).where(F.col("score") >= coverage)
-    return scored.select(*key, "template", "label", "exact", "first_word", "last_word", "score")
+    # a template position votes for a diagonal once, so these lists are no longer than templates
+    lines = hits.groupBy(*key, "template", "label", "exact", "pairs", (F.col("at") - F.col("t_at")).alias("diagonal")).agg(F.collect_set(F.struct("t_at", "at")).alias("votes"))
+    lines = lines.where(F.when(F.col("exact"), F.size("votes") == F.col("pairs")).otherwise(F.size("votes") >= F.least(F.lit(2), F.col("pairs"))))
+    near = Window.partitionBy(*key, "template").orderBy("diagonal").rangeBetween(-drift, drift)
+    around = F.when(F.col("exact"), F.col("votes")).otherwise(F.flatten(F.collect_list("votes").over(near)))
+    reached = lines.withColumn("around", around).where(F.size(F.array_distinct(F.transform("around", lambda v: v["t_at"]))) >= coverage * F.col("pairs"))
+    scored = reached.withColumn("score", _in_order(F.col("around")) / F.col("pairs")).where(F.col("score") >= coverage)
+    rank = F.struct("score", (-F.col("diagonal")).alias("d"))
+    best = scored.withColumn("best", F.col("exact") | (F.max(rank).over(near) == rank)).where("best")
+    return best.select(*key, "template", "label", "exact", F.array_min(F.transform("around", lambda v: v["at"])).alias("first_word"),
+                       (F.array_max(F.transform("around", lambda v: v["at"])) + 1).alias("last_word"), "score")
+
+
+def _in_order(votes: Column) -> Column:
+    """Most votes that follow each other both in the template and in the text.
+
+    Taken by template position, the state holds the smallest text position at which a chain
+    of each length can end; positions of one template word are taken from the last, so only
+    one of them joins a chain.
+    """
+    ordered = F.array_sort(F.transform(votes, lambda v: F.struct(v["t_at"].alias("t"), (-v["at"]).alias("a"))))
+
+    def add(ends: Column, v: Column) -> Column:
+        shorter = F.size(F.filter(ends, lambda e: e < -v["a"]))
+        return F.concat(F.slice(ends, F.lit(1), shorter), F.array(-v["a"]), F.slice(ends, shorter + 2, F.size(ends)))
+    return F.size(F.aggregate(ordered, F.array().cast("array<int>"), add))
 
 
 def scan(docs: DataFrame, templates: DataFrame | None = None, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
@@ -102,16 +121,17 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, text: str = "text"
     templates = template_table(docs.sparkSession) if templates is None else templates
     new = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     kept = [c for c in docs.columns if c not in new]
-    marked = docs.select(*kept).withColumn("_text", F.xxhash64(text))
-    found = spans(marked, templates, text, (key, "_text"), **options)
+    row = F.struct(*kept)
+    marked = docs.select(row.alias("row")).select("row", F.col("row").getField(key).alias("id"), F.xxhash64(F.col("row").getField(text)).alias("digest"), F.col("row").getField(text).alias("body"))
+    found = spans(marked, templates, "body", ("id", "digest"), **options)
     base = F.when(F.col("exact"), F.col("first_word"))
-    evidence = found.groupBy(F.col(key).alias("_key"), F.col("_text").alias("_hash")).agg(
+    evidence = found.groupBy(F.col("id").alias("_key"), F.col("digest").alias("_hash")).agg(
         F.count(base).alias("n_base"), F.min(base).alias("first_word"), F.max(base).alias("last_word"),
         F.collect_set(F.when(F.col("exact"), F.col("label"))).alias("_base"), F.collect_set("label").alias("_all"), F.max("score").alias("score"))
-    joined = marked.withColumn("n_words", F.size(words(F.coalesce(F.col(text), F.lit(""))))).join(
-        evidence, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_text") == F.col("_hash")), "left")
+    joined = marked.withColumn("n_words", F.size(words(F.coalesce(F.col("body"), F.lit(""))))).join(
+        evidence, F.col("id").eqNullSafe(F.col("_key")) & (F.col("digest") == F.col("_hash")), "left")
     names = lambda c: F.concat_ws(",", F.array_sort(c))
     return joined.select(
-        *kept, F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
+        *[F.col("row").getField(c).alias(c) for c in kept], F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
         F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"),
         names(F.col("_base")).alias("base_labels"), names(F.col("_all")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))

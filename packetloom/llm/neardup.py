@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.llm.common import stored
@@ -259,7 +259,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         F.col("doc").alias(key), "n_shingles", F.coalesce("component_id", "doc").alias("component_id"), (F.col("doc") == F.coalesce("component_id", "doc")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each group, the one of the smallest key; all columns as before, rows without a key stay."""
-    gone = near_duplicates(docs, key, **options).where("NOT kept").select(key).distinct()
-    return docs.join(gone, key, "left_anti").select(*docs.columns)
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each group, the one of the smallest key; all columns as before, rows without a key stay.
+
+    Rows of one key and different texts are judged apart: each goes only if its own text is
+    in a group that a smaller key stands for.  Of the rows of the smallest key all stay.
+    """
+    # a text is named by a key that no other text has
+    named = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.sha2(text, 256).alias("digest"), F.col(text).alias("text"))
+    texts = named.groupBy("id", "digest").agg(F.first("text").alias("text"))
+    several = texts.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    if several.isEmpty():
+        gone = near_duplicates(docs, key, text, **options).where("NOT kept").select(key).distinct()
+        return docs.join(gone, key, "left_anti").select(*docs.columns)
+    ordered = stored(texts.withColumn("number", F.dense_rank().over(Window.partitionBy("id").orderBy("digest"))), "texts-of-keys")
+    most = ordered.agg(F.max("number")).first()[0]
+    numbered = ordered.select((F.col("id").cast("long") * most + F.col("number") - 1).alias("doc"), "text")
+    judged = near_duplicates(numbered, "doc", "text", **options).where(F.floor(F.col("component_id") / most) != F.floor(F.col("doc") / most))
+    gone = ordered.join(judged, F.col("doc") == F.col("id").cast("long") * most + F.col("number") - 1).select("id", "digest")
+    return docs.alias("d").join(gone.alias("g"), (F.col(f"d.{key}") == F.col("g.id")) & F.sha2(F.col(f"d.{text}"), 256).eqNullSafe(F.col("g.digest")), "left_anti").select(*docs.columns)

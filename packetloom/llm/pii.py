@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import bind, text_or_empty
+from packetloom.llm.common import bind, fresh, text_or_empty
 
 ROUNDS = 8
 # 400 years are 146 097 = 189 * 773 days, so dates from here on split evenly into two halves.
@@ -13,7 +13,8 @@ FIRST_DAY, DAY_LEFT, DAY_RIGHT = "1800-01-01", 189, 773
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 PATTERNS = {
-    "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}",
+    # a host name has 253 characters at most, so 127 labels; the bound also keeps the search flat
+    "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+){0,125}\\.[A-Za-z]{2,}",
     "ip": f"(?:{_OCTET}\\.){{3}}{_OCTET}",
     "date": "[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\\.[0-9]{2}\\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}",
     "ssn": "[0-9]{3}-[0-9]{2}-[0-9]{4}",
@@ -175,13 +176,15 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     after +1 as one run, and + with 8 to 15 digits.  Digits in other numbers, and
     invalid ones, stay.  Equal values get
     equal pseudonyms in all documents however their digits are grouped, and different
-    values different ones.  A null text stays null with no findings.  Row by row, without
+    values different ones, but for names of e-mail addresses, which become keyed 48-bit
+    hashes.  Dates outside 1800 to 2199 and social security areas from 900 stay.  A null text stays null with no findings.  Row by row, without
     a shuffle; other columns stay, one named ``pii`` is replaced.
     """
     whole = text_or_empty(text)
+    matches, named = fresh(docs, "matches", "named")
     found = F.when(whole.rlike("[0-9@]"), F.regexp_extract_all(whole, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    marked = docs.withColumn("_found", found).withColumn("pii", F.transform("_found", lambda m: pseudonym(m, key)))
-    put = F.concat(F.transform(F.arrays_zip(F.col("pii").getField("value").alias("v"), F.col("_found").alias("m")), lambda x: F.coalesce(x["v"], x["m"])), F.array(F.lit("")))
+    marked = docs.withColumn(matches, found).withColumn(named, F.transform(matches, lambda m: pseudonym(m, key)))
+    put = F.concat(F.transform(F.arrays_zip(F.col(named).getField("value").alias("v"), F.col(matches).alias("m")), lambda x: F.coalesce(x["v"], x["m"])), F.array(F.lit("")))
     rebuilt = F.array_join(F.flatten(F.zip_with(F.split(F.col(text), ANY), put, lambda gap, new: F.array(gap, new))), "")
-    return marked.withColumn(text, F.when(F.size("_found") > 0, rebuilt).otherwise(F.col(text))).withColumn(
-        "pii", F.filter("pii", lambda p: p["kind"].isNotNull())).select(*[c for c in docs.columns if c != "pii"], "pii")
+    return marked.withColumn(text, F.when(F.size(matches) > 0, rebuilt).otherwise(F.col(text))).withColumn(
+        "pii", F.filter(named, lambda p: p["kind"].isNotNull())).select(*[c for c in docs.columns if c != "pii"], "pii")

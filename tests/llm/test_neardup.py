@@ -102,3 +102,9 @@ def test_kept_rows_keep_their_columns(spark):
 def test_bands_that_would_miss_pairs_are_refused(spark):
     with pytest.raises(ValueError):
         neardup.near_duplicates(spark.createDataFrame([(1, "a b c d e f")], "doc_id int, text string"), per_cent=50)
+
+
+def test_texts_of_one_key_are_judged_apart(spark):
+    rows = [(1, "a b c d e f g h"), (1, "completely other words that make a text of its own"), (0, "a b c d e f g h"), (None, "a b c d e f g h"), (2, None)]
+    kept = neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [rows[1], rows[2], rows[3], rows[4]]))

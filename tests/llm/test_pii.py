@@ -86,3 +86,14 @@ def test_times_and_ranges(spark):
     for r in got:
         assert len(r.pii) == r.n and (r.text == {i: t for i, t, _ in rows}[r.doc_id]) == (r.n == 0), r
         assert len(re.findall(pii.ANY, r.text)) == r.n
+
+
+def test_long_host_names_do_not_end_the_search(spark):
+    rows = [("see x@" + "b." * 100_000 + "co",), ("write to " + "a." * 50_000 + "b@c.org now",), ("1 " * 100_000 + "2024-01-02",), ("me@" + "sub." * 100 + "example.com",)]
+    got = [r.text for r in pii.pseudonymize(spark.createDataFrame(rows, "text string"), "k").collect()]
+    assert got[0] == rows[0][0] and not got[3].startswith("me@") and got[3].endswith("example.com")
+
+
+def test_a_column_of_the_same_name_stays(spark):
+    row = pii.pseudonymize(spark.createDataFrame([("a@b.org", 3, 4)], "text string, matches int, _found int"), "k").first()
+    assert (row.matches, row._found, len(row.pii)) == (3, 4, 1)
