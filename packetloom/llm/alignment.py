@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import stored
+from packetloom.llm.common import arrow_rows, stored
 
 
 BLOCK = 256  # ends of the shorter list that gallop together
@@ -194,7 +194,7 @@ def _aligner(number: int, a, b, pairs) -> Aligner:
     return _LOADED[number]
 
 
-def _in_parts(column: pa.Array, most_chars: int = 1 << 19) -> Iterator[list[str | None]]:
+def _in_parts(column: pa.Array, most_chars: int = 1 << 18) -> Iterator[list[str | None]]:
     part, size = [], 0
     for text in (t.as_py() for t in column):
         part.append(text)
@@ -276,7 +276,8 @@ def aligned_documents(docs: DataFrame, a_path: str, b_path: str, text: str = "te
     come back as two arrays over the pairs that two vocabularies can form, a proven bound.
     """
     found, pairs = align(docs, a_path, b_path, text, key)
-    found = stored(found, "alignments")
+    with arrow_rows(docs.sparkSession, 500):
+        found = stored(found, "alignments")
     counts = np.zeros(len(pairs), np.int64)
     table = link_counts(found).toArrow()
     counts[table.column("pair").to_numpy()] = table.column("n").to_numpy()
