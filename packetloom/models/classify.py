@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
@@ -11,6 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetloom.session import checkpoint_root
+
 # Labels that are not an attack.
 HARMLESS = ("BENIGN", "NORMAL", "UNKNOWN")
 
@@ -84,17 +86,41 @@ def feature_importance(model: PipelineModel, names: Sequence[str], df: DataFrame
     return table.orderBy(F.desc("importance"), F.asc("feature")).limit(k)
 
 
+def stratified_folds(df: DataFrame, label: str = "attack_label", folds: int = 5, order: str = "packet_number", seed: int = 42, cells: int = 4096) -> DataFrame:
+    """Rows plus ``fold``: every class is dealt to the folds in turn, so its share in any two differs by one row at most.
+
+    Rows stand in the order of a seeded hash.  They are numbered inside ``cells`` ranges of
+    it and shifted by the counts of earlier ranges, so a class of any size is dealt by
+    many tasks.
+    """
+    place = F.xxhash64(F.col(order), F.lit(seed))
+    rows = df.withColumns({"_place": place, "_cell": F.pmod(place, F.lit(cells))})
+    before = Window.partitionBy(label).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(label, "_cell").agg(F.count(F.lit(1)).alias("_rows")).select(
+        F.col(label).alias("_l"), F.col("_cell").alias("_c"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(label, "_cell").orderBy("_place", order)) - 1
+    numbered = rows.withColumn("_in", inside).join(counts, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_cell") == F.col("_c")))
+    return numbered.withColumn("fold", F.pmod(F.col("_before") + F.col("_in"), F.lit(folds)).cast("int")).drop("_place", "_cell", "_l", "_c", "_before", "_in")
+
+
 def cross_validate(df: DataFrame, names: Sequence[str], label: str = "attack_label", folds: int = 5,
-                   estimator: Estimator | None = None, order: str = "packet_number", seed: int = 42) -> DataFrame:
-    """(fold, macro_f1) rows; folds are cut by a seeded hash inside each class."""
+                   estimator: Estimator | None = None, order: str = "packet_number", seed: int = 42,
+                   fit: Callable[[DataFrame], object] | None = None, predict: Callable[[DataFrame, object], DataFrame] | None = None) -> DataFrame:
+    """(fold, macro_f1) rows over stratified folds, which are stored once.
+
+    ``fit`` and ``predict`` (rows plus ``predicted_label``) take another model than the
+    library's classifiers.
+    """
     from packetloom.models.metrics import classifier_metrics
 
-    place = F.pmod(F.xxhash64(F.col(order), F.col(label), F.lit(seed)), F.lit(folds))
-    rows = df.withColumn("_fold", place)
+    checkpoint_root(df.sparkSession)
+    rows = stratified_folds(df, label, folds, order, seed).checkpoint()
+    fit = fit or (lambda part: train(part, names, label, estimator))
+    predict = predict or classify
     result = None
     for fold in range(folds):
-        model = train(rows.filter(F.col("_fold") != fold), names, label, estimator)
-        scored = classify(rows.filter(F.col("_fold") == fold), model)
+        model = fit(rows.filter(F.col("fold") != fold).drop("fold"))
+        scored = predict(rows.filter(F.col("fold") == fold).drop("fold"), model)
         f1 = classifier_metrics(scored, label, "predicted_label").select(F.lit(fold).alias("fold"), F.col("f1_macro").alias("macro_f1"))
         result = f1 if result is None else result.unionByName(f1)
     return result

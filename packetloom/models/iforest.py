@@ -127,11 +127,14 @@ def score(forest: Forest) -> Column:
     spark = SparkSession.getActiveSession()
     shared = spark.sparkContext.broadcast([tuple(np.asarray(part) for part in tree) for tree in forest.trees])
     scale = average_path(forest.sample) or 1.0
+    if not forest.names:  # nothing to split by: all rows are alike
+        return F.lit(-0.5)
 
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         trees = shared.value
         for columns in batches:
+            columns = columns if isinstance(columns, tuple) else (columns,)  # a single column comes bare
             x = np.column_stack([c.to_numpy(np.float64) for c in columns])
             rows, total = np.arange(len(x)), np.zeros(len(x))
             for feature, threshold, left, right, path in trees:

@@ -172,13 +172,27 @@ def all_events(profile: NetworkProfile, limits: BottleneckLimits = BottleneckLim
     return events
 
 
-def bottleneck_report(events: DataFrame, checks_run: int = 10) -> DataFrame:
-    """One row: events, worst severity, grave counts, number of checks run."""
+def checks_run(metrics: DataFrame) -> DataFrame:
+    """One row: how many checks the packets allowed.
+
+    Two of bandwidth, packet rate and protocol mix each, one of sizes, one of queue growth,
+    and two of hosts, of which one falls away where no packet names a source.
+    """
+    return metrics.select(F.when(F.col("top_src_ip").isNull(), 9).otherwise(10).alias("total_checks"))
+
+
+def bottleneck_report(events: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
+    """One row: events, worst severity, grave counts, and, of the profile's ``metrics``, the number of checks run."""
+    report = _report(events)
+    return report if metrics is None else report.drop("total_checks").crossJoin(F.broadcast(checks_run(metrics)))
+
+
+def _report(events: DataFrame) -> DataFrame:
     return events.agg(
         F.count(F.lit(1)).alias("event_count"),
         F.coalesce(F.max_by("severity", severity_rank(F.col("severity"))), F.lit("NONE")).alias("max_severity"),
         F.count_if(F.col("severity") == "CRITICAL").alias("critical_count"),
-        F.count_if(F.col("severity") == "HIGH").alias("high_count"), F.lit(checks_run).alias("total_checks"))
+        F.count_if(F.col("severity") == "HIGH").alias("high_count"), F.lit(10).alias("total_checks"))
 
 
 def filter_events(events: DataFrame, severity: str | None = None, check: str | None = None) -> DataFrame:

@@ -46,9 +46,13 @@ def fit_medians(df: DataFrame, names: Sequence[str]) -> list[float]:
 
 
 def fit_bounds(df: DataFrame, names: Sequence[str], multiple: float = IQR_MULTIPLE) -> tuple[list[float], list[float]]:
-    """Quartiles moved out by ``multiple`` quartile ranges."""
+    """Quartiles moved out by ``multiple`` quartile ranges; a column without values has no bounds."""
     low, high = [], []
     for q1, q3 in exact_quantiles(df, names, [0.25, 0.75]).values():
+        if q1 is None:
+            low.append(float("-inf"))
+            high.append(float("inf"))
+            continue
         low.append(q1 - multiple * (q3 - q1))
         high.append(q3 + multiple * (q3 - q1))
     return low, high

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 BINS = 65_536
 
@@ -76,8 +77,16 @@ def cut_at_rank(df: DataFrame, column: str, k: int) -> Cut | None:
 
 
 def _row_hash(df: DataFrame) -> Column:
-    """A number that tells rows with equal order columns apart, the same in every run."""
-    return F.shiftright(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), 2)
+    """A number that tells rows with equal order columns apart, the same in every run.
+
+    Nested columns are hashed as text, maps in the order of their keys, as maps have no hash.
+    """
+    def hashed(field) -> Column:
+        value = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, MapType):
+            value = F.array_sort(F.transform(F.map_entries(value), lambda e: F.to_json(F.struct(e.alias("e")))))
+        return F.to_json(F.struct(value.alias("v"))) if isinstance(field.dataType, (MapType, ArrayType, StructType)) else value
+    return F.shiftright(F.xxhash64(*[hashed(f) for f in df.schema]), 2)
 
 
 def top_rows(df: DataFrame, order: Sequence[str], k: int) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.flags import feature_flags, has_bit
-from packetloom.models import catalog, classify, iforest, metrics
+from packetloom.models import catalog, classify, iforest, metrics, training
 from packetloom.operators import prep
 from packetloom.operators.detect.run import all_alerts
 from packetloom.plans.catalogue import over, register
@@ -57,6 +57,34 @@ def _(spark, d):
                          ((F.col("anomaly_score") < forest.cutoff) == (F.col("anomaly_label") == "ANOMALY")).alias("label_follows_cutoff"))
 
 
+def _held(n: str) -> str:
+    """Rows that a class of ``n`` rows gives to the test part."""
+    return f"CAST(floor({n} * 0.2::DOUBLE + 0.5) AS BIGINT)"
+
+
+@register("o1_benign_training", over("p", f"""WITH c AS (SELECT {_TARGET} AS l, count(*) AS n FROM p GROUP BY 1) SELECT CAST(sum(n) FILTER (WHERE l = 'BENIGN') - sum({_held('n')}) FILTER (WHERE l = 'BENIGN') AS BIGINT) AS fitted_rows,
+    CAST(sum({_held('n')}) AS BIGINT) AS test_rows, CAST(sum({_held('n')}) FILTER (WHERE l <> 'BENIGN') AS BIGINT) AS test_attacks, CAST({len(INPUTS)} AS INT) AS inputs FROM c"""))
+def _(spark, d):
+    """Fitted on benign rows of the training part alone, judged on rows that neither part of the fit has seen."""
+    split = training.split_dataset(model_rows(spark, d).select("packet_number", "attack_label", *INPUTS), scratch(spark, "split"))
+    model = training.train_anomaly_model(split, INPUTS, trees=20)
+    judged = split.test.agg(F.count(F.lit(1)).alias("test_rows"), F.count_if(F.col("attack_label") != "BENIGN").alias("test_attacks"))
+    return judged.select(F.lit(model.fitted_rows).cast("long").alias("fitted_rows"), "test_rows", "test_attacks", F.lit(len(model.fitted.input_names)).alias("inputs"))
+
+
+# two trees written down: splits at packet_length 400, dst_port 100 and ttl 64
+_TREES = (((0, -1, 1, -1, -1), (400.0, 0.0, 100.0, 0.0, 0.0), (1, -1, 3, -1, -1), (2, -1, 4, -1, -1), (0.0, 1.5, 0.0, 3.0, 6.25)),
+          ((2, -1, -1), (64.0, 0.0, 0.0), (1, -1, -1), (2, -1, -1), (0.0, 2.0, 4.5)))
+FIXED_FOREST = iforest.Forest(("packet_length", "dst_port", "ttl"), 256, _TREES, -0.8, -0.7, 0.1)
+
+
+@register("o2_fixed_forest", over("p", f"""WITH s AS (SELECT packet_number, -power(2, -(((CASE WHEN packet_length <= 400 THEN 1.5 WHEN dst_port <= 100 THEN 3.0 ELSE 6.25 END + CASE WHEN ttl <= 64 THEN 2.0 ELSE 4.5 END)::DOUBLE / 2)
+    / {iforest.average_path(256)!r}::DOUBLE)) AS s FROM p) SELECT packet_number, round(s, 8) AS anomaly_score, CASE WHEN s < -0.8 THEN 'ANOMALY' ELSE 'NORMAL' END AS anomaly_label,
+    round(1 / (1 + exp((s + 0.7::DOUBLE) / 0.1::DOUBLE)), 8) AS anomaly_probability FROM s"""))
+def _(spark, d):
+    return iforest.classify(P(spark, d), FIXED_FOREST).select("packet_number", F.round("anomaly_score", 8).alias("anomaly_score"), "anomaly_label", F.round("anomaly_probability", 8).alias("anomaly_probability"))
+
+
 @register("o3_strongest_features", over("p", f"""WITH {SCALE_SQL}, u AS (UNPIVOT sc ON {', '.join(SCALED)} INTO NAME name VALUE v)
     SELECT packet_number, string_agg(name, ',' ORDER BY r) AS strongest FROM (SELECT *, row_number() OVER (PARTITION BY packet_number ORDER BY abs(v) DESC, name) AS r FROM u) WHERE r <= 2 GROUP BY 1"""))
 def _(spark, d):
@@ -166,6 +194,34 @@ def _(spark, d):
     return scores.crossJoin(classify.cross_validation_summary(scores))
 
 
+_FOLDS = f"""c AS (SELECT {_TARGET} AS label, count(*) AS n FROM p GROUP BY 1), f AS (SELECT label, n, fold, n // 5 + (fold < n % 5)::BIGINT AS rows FROM c, range(5) r(fold))"""
+
+
+@register("o9_fold_sizes", over("p", f"WITH {_FOLDS} SELECT label AS attack_label, CAST(fold AS INT) AS fold, rows FROM f"))
+def _(spark, d):
+    folds = classify.stratified_folds(model_rows(spark, d), folds=5)
+    return folds.groupBy("attack_label", "fold").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("o9_scores_of_a_constant", over("p", f"""WITH {_FOLDS}, t AS (SELECT fold, sum(rows) AS total, max(rows) FILTER (WHERE label = 'BENIGN') AS hit, count(*) AS classes FROM f GROUP BY 1)
+    SELECT CAST(fold AS INT) AS fold, round(2 * hit / (hit + total)::DOUBLE / classes, 9) AS macro_f1 FROM t"""))
+def _(spark, d):
+    rows = model_rows(spark, d).select("packet_number", "attack_label", *INPUTS)
+    scores = classify.cross_validate(rows, INPUTS, folds=5, fit=lambda part: "BENIGN", predict=lambda part, name: part.withColumn("predicted_label", F.lit(name)))
+    return scores.withColumn("macro_f1", F.round("macro_f1", 9))
+
+
+@register("o10_importance_of_all", over("p", f"SELECT CAST(count(*) AS BIGINT) AS features, 1.0::DOUBLE AS total, true AS in_order, 'dst_port' AS most FROM (VALUES {', '.join(f'({i})' for i in range(len(INPUTS)))}) v"))
+def _(spark, d):
+    """The label follows from the source, which is no input, and the target port."""
+    rows = model_rows(spark, d)
+    table = classify.feature_importance(classify.train(rows, INPUTS, estimator=small_forest()), INPUTS, rows, len(INPUTS))
+    ranked = table.withColumn("at", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))
+    return ranked.agg(F.count(F.lit(1)).alias("features"), F.round(F.sum("importance"), 4).alias("total"),
+                      F.lit([r["feature"] for r in table.collect()] == [r["feature"] for r in ranked.orderBy("at").collect()]).alias("in_order"),
+                      F.max_by("feature", "importance").alias("most"))
+
+
 @register("o10_feature_importance")
 def _(spark, d):
     rows = model_rows(spark, d)

@@ -348,7 +348,15 @@ _EV = f"ev AS ({NARROW_SQL})"
 @register("i10_bottleneck_report", over("b", f"""WITH {_frames('b')}, {_EV} SELECT count(*) AS event_count, {_MAXSEV} AS max_severity, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical_count,
     count(*) FILTER (WHERE severity = 'HIGH') AS high_count, CAST(10 AS INT) AS total_checks FROM ev"""))
 def _(spark, d):
-    return bn.bottleneck_report(bn.all_events(burst(spark, d), NARROW))
+    profile = burst(spark, d)
+    return bn.bottleneck_report(bn.all_events(profile, NARROW), profile.metrics)
+
+
+@register("i10_report_without_sources", over("b", f"""WITH n AS (SELECT * REPLACE (CAST(NULL AS VARCHAR) AS src_ip) FROM b) SELECT CAST(count(DISTINCT src_ip) + 9 AS INT) AS total_checks FROM n"""))
+def _(spark, d):
+    nameless = fixtures.packets(spark, d, "burst").withColumn("src_ip", F.lit(None).cast("string"))
+    profile = network_profile(nameless)
+    return bn.bottleneck_report(bn.all_events(profile, NARROW), profile.metrics).select("total_checks")
 
 
 @register("i11_event_table", over("b", f"WITH {_frames('b')}, {_EV} SELECT check_name, severity FROM ev WHERE severity = 'HIGH'"))
