@@ -88,6 +88,16 @@ def _(spark, d):
     return store.load_packets(spark, path, "table").select("packet_number", "timestamp", "src_ip", "session_id", "event_date")
 
 
+@register("a5_repeated_append", over("p", "SELECT packet_number, session_id, CAST(timestamp AS DATE) AS event_date FROM p WHERE session_id <> 'session-3' OR packet_number % 2 = 0"))
+def _(spark, d):
+    """All sessions, then everything once more, then one session again with half of its packets."""
+    path = scratch(spark, "table")
+    rows = fixtures.packets(spark, d)
+    for part in (rows, rows, rows.filter("session_id = 'session-3' AND packet_number % 2 = 0")):
+        store.append_table(part, path)
+    return store.read_table(spark, path).select("packet_number", "session_id", "event_date")
+
+
 @register("a6_csv_export", over("p", "SELECT packet_number, src_ip AS source_ip, dst_port AS destination_port, strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS timestamp FROM p"))
 def _(spark, d):
     path = scratch(spark, "csv")
@@ -114,6 +124,22 @@ def _(spark, d):
     return summary.drop("protocol_distribution", "transport_layer_distribution", "top_src_ips", "top_dst_ips")
 
 
+def _top_sql(side: str) -> str:
+    return f"(SELECT 'top_{side}_ips' AS list, {side}_ip AS name, count(*) AS packets FROM rec WHERE {side}_ip IS NOT NULL GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10)"
+
+
+@register("a8_ingest_lists", f"""WITH {RECORDS_SQL} SELECT 'protocol_distribution' AS list, protocol AS name, count(*) AS packets FROM rec GROUP BY 2
+    UNION ALL SELECT 'transport_layer_distribution', upper(transport_layer), count(*) FROM rec WHERE transport_layer IS NOT NULL GROUP BY 2 UNION ALL {_top_sql('src')} UNION ALL {_top_sql('dst')}""")
+def _(spark, d):
+    root = scratch(spark, "ingest")
+    export = export_dissected(spark, d)
+    for _ in range(2):  # a repeated run leaves the same table
+        summary = store.run_ingest(spark, export, f"{root}/table", "run-1", F.lit(_INGEST_TIME).cast("timestamp"))
+    summary = summary.select("protocol_distribution", "transport_layer_distribution", "top_src_ips", "top_dst_ips").persist()
+    parts = [summary.select(F.lit(c).alias("list"), F.explode(c).alias("x")).select("list", F.col("x")["ip" if c.startswith("top") else "category"].alias("name"), "x.packets") for c in summary.columns]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 @register("l2_table_retention", over("p", "SELECT packet_number, timestamp FROM p ORDER BY timestamp DESC, packet_number DESC LIMIT 1234"))
 def _(spark, d):
     root = scratch(spark, "retention")

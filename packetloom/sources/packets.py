@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,7 @@ from packetloom.operators.features import engineer, running_offsets
 from packetloom.operators.selection import cut_at_rank, top_rows
 from packetloom.operators.traffic import ingest_summary
 from packetloom.schemas import CSV_ALIASES, DISSECTED, PACKETS
+from packetloom.session import checkpoint_root
 
 SPLIT_TABLE_LIMIT = 1_000_000
 _LONG_NAMES = {short: long for long, short in CSV_ALIASES.items()}
@@ -41,7 +44,7 @@ def read_table(spark: SparkSession, path: str, limit: int | None = None) -> Data
     The limit becomes a cut-off found by counting, so no task holds ``limit``
     rows; rows without a time come after all others.
     """
-    rows = spark.read.parquet(path)
+    rows = spark.read.parquet(path).drop("session")
     if limit is None:
         return newest(rows, None)
     timed = rows.withColumn("_t", F.unix_micros("timestamp"))
@@ -69,9 +72,16 @@ def read_dissected(spark: SparkSession, path: str, kind: str = "json") -> DataFr
 def number_rows(df: DataFrame) -> DataFrame:
     """Rows of :func:`read_dissected` plus ``packet_number`` 1, 2, 3 ... in file order.
 
-    One narrow scan counts the rows of every file split; a row's number is the
-    count before its split plus its place inside it.  Rows are not shuffled.
+    The export is parsed once and written, with where each row came from; the rows of every
+    file split are counted from what was written, and a row's number is the count before
+    its split plus its place inside it.  So numbers and rows cannot come from two different
+    ways of splitting, and how the files are split does not show in the numbers.  Rows are
+    not shuffled.  A split without a count ends the job instead of losing its rows.
     """
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/parsed-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    df = spark.read.schema(df.schema).parquet(path)
     splits = df.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
     # files in name order, splits in file order; the file level holds one row per file
     files = splits.groupBy("_file").agg(F.sum("_n").alias("_rows"))
@@ -80,11 +90,18 @@ def number_rows(df: DataFrame) -> DataFrame:
     inside = F.sum("_n").over(Window.partitionBy("_file").orderBy("_block")) - F.col("_n")
     table = splits.withColumn("_in", inside).join(before_file, "_file").select(
         "_file", "_block", (F.col("_before") + F.col("_in")).alias("_offset"), "_first")
+    return numbered_by(df, table)
+
+
+def numbered_by(df: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows with the number that ``table`` (``_file``, ``_block``, ``_offset``, ``_first``) gives them; one without is an error."""
     # a split is some 128 MB of text: only a very large export exceeds the limit
     if table.limit(SPLIT_TABLE_LIMIT + 1).count() <= SPLIT_TABLE_LIMIT:
         table = F.broadcast(table)
-    return df.join(table, ["_file", "_block"]).withColumn(
-        "packet_number", F.col("_offset") + F.col("_id") - F.col("_first") + 1).drop("_file", "_block", "_id", "_offset", "_first")
+    number = F.col("_offset") + F.col("_id") - F.col("_first") + 1
+    lost = F.raise_error(F.concat(F.lit("rows of a split without a count: "), F.col("_file"), F.lit(" at "), F.col("_block").cast("string"))).cast("long")
+    return df.join(table, ["_file", "_block"], "left").withColumn(
+        "packet_number", F.when(F.col("_offset").isNotNull(), number).otherwise(lost)).drop("_file", "_block", "_id", "_offset", "_first")
 
 
 def _int(name: str) -> Column:
@@ -128,14 +145,37 @@ def to_records(df: DataFrame, ingest_time: Column, skip_non_ip: bool = False) ->
 # ---- writers ----------------------------------------------------------------------
 
 def append_table(df: DataFrame, path: str, session_id: str | None = None) -> None:
-    """Append packets, one folder per day.
+    """Add the packets of one or more sessions, one folder a day and session.
 
-    The rebalance hint lets AQE cut a day holding most rows into several files
-    and join small days, instead of one task per day.
+    What the table holds of these sessions is replaced: folders that are written anew are
+    swapped as the job commits, and days that a session no longer has are taken out after
+    that.  So a repeated or restarted run leaves the rows of one run.  The rebalance hint
+    lets AQE cut a day holding most rows into several files and join small days.
     """
     rows = df.withColumns({"session_id": F.lit(session_id).cast("string") if session_id or "session_id" not in df.columns
                            else F.col("session_id"), "event_date": F.to_date("timestamp")})
-    rows.hint("rebalance", F.col("event_date")).write.mode("append").partitionBy("event_date").parquet(path)
+    rows = rows.withColumn("session", session_folder(F.col("session_id")))
+    rows.hint("rebalance", F.col("event_date"), F.col("session")).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("event_date", "session").parquet(path)
+    # one name a folder that this call has written, from a scan of two columns
+    written = {(str(r["event_date"] or "__HIVE_DEFAULT_PARTITION__"), r["session"]) for r in rows.select("event_date", "session").distinct().collect()}
+    _remove_other_days(df.sparkSession, path, written)
+
+
+def session_folder(session_id: Column) -> Column:
+    """The folder name of a session; never read as a number."""
+    return F.concat(F.lit("s-"), F.coalesce(F.sha2(session_id, 256).substr(1, 16), F.lit("none")))
+
+
+def _remove_other_days(spark: SparkSession, path: str, written: set[tuple[str, str]]) -> None:
+    """Take out the folders of the sessions in ``written`` (day, session) of days that are not."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    for session in sorted({s for _, s in written}):
+        pattern = jvm.Path(f"{path}/event_date=*/session={session}")
+        files = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in files.globStatus(pattern) or []:
+            if (status.getPath().getParent().getName().removeprefix("event_date="), session) not in written:
+                files.delete(status.getPath(), True)
 
 
 def export_csv(df: DataFrame, path: str) -> None:
@@ -155,8 +195,12 @@ def run_ingest(spark: SparkSession, export_path: str, table_path: str, session_i
     export is parsed once and a lost executor costs no re-parse.
     """
     records = to_records(number_rows(read_dissected(spark, export_path, kind)), ingest_time, skip_non_ip)
-    append_table(engineer(clean_capture(records, ingest_time)), table_path, session_id)
-    written = spark.read.parquet(table_path).filter(F.col("session_id") == session_id)
+    # cleaned packets are written before frequencies are counted, so the export is parsed and cleaned once
+    path = f"{checkpoint_root(spark)}/cleaned-{uuid.uuid4().hex}"
+    clean_capture(records, ingest_time).write.parquet(path)
+    append_table(engineer(spark.read.parquet(path)), table_path, session_id)
+    # only the session's folders are read back
+    written = spark.read.parquet(table_path).filter(F.col("session") == session_folder(F.lit(session_id))).drop("session")
     if csv_path:
         export_csv(written, csv_path)
     return ingest_summary(written)
@@ -169,7 +213,7 @@ def keep_newest(spark: SparkSession, path: str, target: str, keep: int = 1_000_0
     boundary day is compared row by row.  Gives the kept rows, or None when
     nothing has to go.  Packets without a time are the oldest.
     """
-    rows = spark.read.parquet(path).withColumn("_t", F.unix_micros("timestamp"))
+    rows = spark.read.parquet(path).drop("session").withColumn("_t", F.unix_micros("timestamp"))
     if rows.count() <= keep:
         return None
     cut = cut_at_rank(rows, "_t", keep)

@@ -81,3 +81,33 @@ def test_dissected_layers(spark, tmp_path):
     assert (b.network_layer, b.packet_length, b.protocol, b.ip_version) == ("ARP", 42, "ARP", None)
     assert b.timestamp == dt.datetime(2024, 6, 1)
     assert (c.ttl, c.tcp_flags, c.protocol, c.app_layer_hint) == (None, "0x18", "HTTPS", "HTTPS")
+
+
+def test_numbers_do_not_depend_on_splits(spark, tmp_path):
+    lines = [f'{{"sniff_timestamp": "{1_700_000_000 + k}", "ip_src": "10.0.0.1", "length": "{k}"}}' for k in range(3000)]
+    (tmp_path / "x.json").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128MB", "20KB", "7KB"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = store.number_rows(store.read_dissected(spark, str(tmp_path)))
+            assert rows.filter("packet_number != cast(length AS int) + 1").count() == 0 and rows.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_split_without_a_count_is_an_error(spark):
+    rows = spark.createDataFrame([("f", 0, 5), ("f", 9, 6)], "_file string, _block long, _id long")
+    table = spark.createDataFrame([("f", 0, 0, 5)], "_file string, _block long, _offset long, _first long")
+    with pytest.raises(Exception, match="without a count"):
+        store.numbered_by(rows, table).collect()
+
+
+def test_a_session_is_replaced_whole(spark, tmp_path):
+    path = str(tmp_path / "t")
+    day = lambda n: dt.datetime(2024, 1, n)
+    schema = "packet_number long, timestamp timestamp"
+    store.append_table(spark.createDataFrame([(1, day(1)), (2, day(2)), (3, None)], schema), path, "1")
+    store.append_table(spark.createDataFrame([(9, day(1))], schema), path, "001")
+    store.append_table(spark.createDataFrame([(4, day(2))], schema), path, "1")
+    assert sorted((r.session_id, r.packet_number) for r in store.read_table(spark, path).collect()) == [("001", 9), ("1", 4)]
