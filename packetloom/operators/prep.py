@@ -9,7 +9,8 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.operators.selection import exact_quantiles, top_filter
+from packetloom.operators.selection import exact_quantiles, select_ranks, top_filter
+from packetloom.session import checkpoint_root
 
 IQR_MULTIPLE = 3.0
 
@@ -65,6 +66,9 @@ def varying_columns(df: DataFrame, names: Sequence[str]) -> list[str]:
 
 
 def fit(df: DataFrame, names: Sequence[str]) -> Fitted:
+    """Fit all steps.  The columns are written once; every pass reads what was written."""
+    checkpoint_root(df.sparkSession)
+    df = df.select(*[F.col(n).cast("double").alias(n) for n in names]).checkpoint()
     medians = fit_medians(df, names)
     filled = impute(df, names, medians)
     low, high = fit_bounds(filled, names)
@@ -106,13 +110,23 @@ def stratified_split(df: DataFrame, label: str, order: str = "packet_number", te
     """
     # two bits less than a long, so that differences of hashes cannot overflow
     rows = df.withColumn("_h", F.shiftright(F.xxhash64(F.col(order), F.lit(seed)), 2))
-    counts = [(r[label], r["n"]) for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()]
-    groups = [(F.col(label).eqNullSafe(F.lit(value)), n) for value, n in counts]
-    if min((n for _, n in groups), default=0) < min_per_class:
-        groups = [(F.lit(True), sum(n for _, n in groups))]
+    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    apart = min(counts.values(), default=0) >= min_per_class
+    key = F.col(label) if apart else F.lit(None).cast(rows.schema[label].dataType)
+    sizes = counts if apart else {None: sum(counts.values())}
+    takes = {value: int(n * test_share + 0.5) for value, n in sizes.items()}
+    # all classes in the same passes: the value from which on the largest hashes are taken
+    cuts = select_ranks(rows.select(key.alias("key"), F.col("_h").alias("x")), {v: [sizes[v] - k] for v, k in takes.items() if 0 < k})
     chosen = F.lit(False)
-    for mine, n in groups:
-        chosen = chosen | (mine & top_filter(rows.filter(mine), ["_h", order], int(n * test_share + 0.5)))
+    for value, k in takes.items():
+        if k == 0:
+            continue
+        mine = key.eqNullSafe(F.lit(value)) if apart else F.lit(True)
+        cut = cuts[value, sizes[value] - k]
+        if sizes[value] - cut.below == k:
+            chosen = chosen | (mine & (F.col("_h") >= cut.value))
+        else:  # rows of equal hash are parted by their order
+            chosen = chosen | (mine & top_filter(rows.filter(mine), ["_h", order], k))
     return rows.withColumn("is_test", chosen).drop("_h")
 
 

@@ -130,72 +130,94 @@ def _top(df: DataFrame, order: list[Column], k: int) -> tuple[Column, Column | N
     return higher | (same & sure), None if tied is None else same & tied, open_
 
 
+GROUP_BINS = 1_024
+
+
+@dataclass(frozen=True)
+class Ranked:
+    """The value at a rank, how many values are smaller and how many equal."""
+    value: float | int
+    below: int
+    equal: int
+
+
+def select_ranks(rows: DataFrame, wanted: dict[object, Sequence[int]], bins: int = GROUP_BINS) -> dict[tuple[object, int], Ranked]:
+    """The values at ascending ranks (from 0) of each key of ``rows`` (``key``, ``x``), all from the same passes.
+
+    ``x`` holds numbers, no null, NaN or infinity.  The value range of a key is cut into
+    bins, the bins that hold a wanted rank are cut again, until each holds one value.  A
+    round is one job for all keys and ranks; it brings ``bins`` rows a bracket at most to
+    the driver, and no task holds values.
+    """
+    spark = rows.sparkSession
+    bounds = {r["key"]: (r["n"], r["lo"], r["hi"]) for r in rows.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
+    kind = rows.schema["x"].dataType.simpleString()
+    key_kind = rows.schema["key"].dataType.simpleString()
+    found: dict[tuple[object, int], Ranked] = {}
+    open_: dict[tuple, list[int]] = {}  # (key, lo, hi, below) and the ranks inside
+    for key, ranks in wanted.items():
+        n, lo, hi = bounds.get(key, (0, None, None))
+        inside = [r for r in dict.fromkeys(ranks) if 0 <= r < n]
+        if inside and lo == hi:
+            found |= {(key, r): Ranked(lo, 0, n) for r in inside}
+        elif inside:
+            open_[key, lo, hi, 0] = inside
+    while open_:
+        brackets = list(open_)
+        table = spark.createDataFrame([(i, k, lo, hi) for i, (k, lo, hi, _) in enumerate(brackets)], f"i int, k {key_kind}, lo {kind}, hi {kind}")
+        half = lambda c: F.col(c).cast("double") / 2
+        # halves, as the whole width of a bracket may be no double; longs are subtracted exactly
+        share = (F.col("x") - F.col("lo")).cast("double") / (F.col("hi") - F.col("lo")).cast("double") if kind == "bigint" \
+            else (half("x") - half("lo")) / (half("hi") - half("lo"))
+        counts = rows.join(F.broadcast(table), F.col("key").eqNullSafe(F.col("k")) & F.col("x").between(F.col("lo"), F.col("hi"))).groupBy(
+            "i", F.least(F.lit(bins - 1), F.floor(share * bins)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        by_bracket: dict[int, list] = {}
+        for r in sorted(counts.collect(), key=lambda r: r["bin"]):
+            by_bracket.setdefault(r["i"], []).append(r)
+        before, open_ = open_, {}
+        for i, bracket in enumerate(brackets):
+            key, lo, hi, below = bracket
+            for r in by_bracket[i]:
+                inside = [k for k in before[bracket] if below <= k < below + r["n"]]
+                if inside and (r["lo"] == r["hi"]):
+                    found |= {(key, k): Ranked(r["lo"], below, r["n"]) for k in inside}
+                elif inside and (r["lo"], r["hi"]) == (lo, hi):
+                    raise ArithmeticError(f"values between {lo} and {hi} lie too close to be told apart")
+                elif inside:
+                    open_[key, r["lo"], r["hi"], below] = inside
+                below += r["n"]
+    return found
+
+
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float],
                     accuracy: int = 10_000, exact_limit: int = 2_000_000) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles of many columns in a few scans; null and NaN are no values.
+    """Linear-interpolated quantiles of many columns from shared passes; null and NaN are no values.
 
-    A mergeable sketch brackets each quantile, counting fixes its place inside
-    the bracket, and only the values inside are looked at exactly.  A bracket
-    holding more than ``exact_limit`` values is narrowed again first.
+    Every column gives its rows a key, and :func:`select_ranks` finds the two ranks around
+    each quantile of all columns at once.  ``accuracy`` and ``exact_limit`` are no longer
+    needed and have no effect.
     """
-    df = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in dict.fromkeys(columns)])
-    eps = 2.0 / accuracy
-    brackets: dict[tuple[str, float], tuple[float, float]] = {}
-    sketch = df.agg(*[
-        F.percentile_approx(F.col(c).cast("double"),
-                            [max(0.0, min(1.0, p + s * eps)) for p in probabilities for s in (-1, 1)],
-                            accuracy).alias(c) for c in columns]).first()
-    for c in columns:
-        values = sketch[c]
-        if values is None:
-            continue
-        for i, p in enumerate(probabilities):
-            brackets[c, p] = (values[2 * i], values[2 * i + 1])
-    keys = list(brackets)
-    if not keys:
-        return {c: [None] * len(probabilities) for c in columns}
-
-    def inside(c: str, lo: float, hi: float) -> Column:
-        return F.col(c).cast("double").between(F.lit(lo), F.lit(hi))
-
-    while True:
-        counts = df.agg(
-            *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
-            *[F.count_if(F.col(c).cast("double") < F.lit(brackets[c, p][0])).alias(f"b{i}") for i, (c, p) in enumerate(keys)],
-            *[F.count_if(inside(c, *brackets[c, p])).alias(f"m{i}") for i, (c, p) in enumerate(keys)],
-        ).first()
-        wide, widen = [], False
-        for i, (c, p) in enumerate(keys):
-            n, below, held = counts[f"n{columns.index(c)}"], counts[f"b{i}"], counts[f"m{i}"]
-            place = p * (n - 1)
-            lo, hi = brackets[c, p]
-            if place < below or place > below + held - 1:
-                # the sketch missed: open the bracket to the full range of the column
-                low, high = df.agg(F.min(F.col(c).cast("double")), F.max(F.col(c).cast("double"))).first()
-                brackets[c, p], widen = ((low, hi) if place < below else (lo, high)), True
-            elif held > exact_limit and lo < hi:
-                wide.append((i, c, p, (place - below) / (held - 1)))
-        if widen:
-            continue
-        if not wide:
-            break
-        narrowed = df.agg(*[
-            F.percentile_approx(F.when(inside(c, *brackets[c, p]), F.col(c).cast("double")),
-                                [max(0.0, q - eps), min(1.0, q + eps)], accuracy).alias(f"w{i}")
-            for i, c, p, q in wide]).first()
-        progress = False
-        for i, c, p, _ in wide:
-            new = tuple(narrowed[f"w{i}"])
-            progress = progress or new != brackets[c, p]
-            brackets[c, p] = new
-        if not progress:
-            break
-    wanted = []
-    for i, (c, p) in enumerate(keys):
-        n, below, held = counts[f"n{columns.index(c)}"], counts[f"b{i}"], counts[f"m{i}"]
-        fraction = min(1.0, max(0.0, (p * (n - 1) - below) / (held - 1))) if held > 1 else 0.0
-        wanted.append(F.percentile(F.when(inside(c, *brackets[c, p]), F.col(c).cast("double")),
-                                   F.lit(fraction)).alias(f"q{i}"))
-    values = df.agg(*wanted).first()
-    found = {key: values[f"q{i}"] for i, key in enumerate(keys)}
-    return {c: [found.get((c, p)) for p in probabilities] for c in columns}
+    columns = list(dict.fromkeys(columns))
+    infinite = float("inf")
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("key"), F.col(f"`{c}`").cast("double").alias("x")) for i, c in enumerate(columns)])).alias("c")).select("c.*")
+    cells = cells.filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    ends = {r["key"]: (r["n"], r["low"], r["high"]) for r in cells.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("x") == -infinite).alias("low"), F.count_if(F.col("x") == infinite).alias("high")).collect()}
+    wanted: dict[object, list[int]] = {}
+    for key, (n, low, high) in ends.items():
+        ranks = {r for p in probabilities for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))}
+        wanted[key] = [r - low for r in ranks if low <= r < n - high]
+    found = select_ranks(cells.filter(F.abs("x") != infinite), wanted)
+
+    def at(key: int, rank: int) -> float:
+        n, low, high = ends[key]
+        return -infinite if rank < low else infinite if rank >= n - high else found[key, rank - low].value
+
+    def quantile(key: int, p: float) -> float | None:
+        if key not in ends:
+            return None
+        place = p * (ends[key][0] - 1)
+        a, b = at(key, math.floor(place)), at(key, math.ceil(place))
+        return a if a == b else a + (b - a) * (place - math.floor(place))
+    return {c: [quantile(i, p) for p in probabilities] for i, c in enumerate(columns)}

@@ -137,3 +137,38 @@ def test_a_failing_detector_ends_the_run(spark, sf_dir):
     failed = []
     run.run_detection(packets, detectors=detectors, failed=failed)
     assert failed == ["broken"]
+
+
+def jobs_of(spark, group, work):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        result = work()
+        return result, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_ranks_of_many_keys_in_few_jobs(spark):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    data = {f"c{i}": rng.normal(0, 10.0 ** (i % 9), 3_000).round(i % 4) for i in range(85)}
+    df = spark.createDataFrame(list(zip(*[v.tolist() for v in data.values()])), ", ".join(f"{c} double" for c in data)).checkpoint() if spark.sparkContext.getCheckpointDir() else \
+        spark.createDataFrame(list(zip(*[v.tolist() for v in data.values()])), ", ".join(f"{c} double" for c in data))
+    got, jobs = jobs_of(spark, "quantiles", lambda: exact_quantiles(df, list(data), [0.25, 0.75]))
+    for c, v in data.items():
+        assert np.allclose(got[c], np.quantile(v, [0.25, 0.75]), rtol=1e-12), c
+    assert jobs <= 16  # some two a pass with adaptive execution
+
+
+def test_quantiles_at_the_infinities(spark):
+    df = spark.createDataFrame([(x,) for x in (-INF, 1.0, 2.0, INF, INF, NAN, None)], "x double")
+    assert exact_quantiles(df, ["x"], [0.0, 0.25, 0.5, 1.0]) == {"x": [-INF, 1.0, 2.0, INF]}
+
+
+def test_jobs_of_a_split_do_not_grow_with_the_classes(spark):
+    counts = {}
+    for classes in (2, 12):
+        rows = spark.range(1200).select("id", F.col("id").alias("packet_number"), (F.col("id") % classes).cast("string").alias("label"))
+        split, counts[classes] = jobs_of(spark, f"split-{classes}", lambda: prep.stratified_split(rows, "label"))
+        assert {r["n"] for r in split.filter("is_test").groupBy("label").agg(F.count("*").alias("n")).collect()} == {240 // classes}
+    assert counts[12] <= counts[2] + 4
