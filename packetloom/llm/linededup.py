@@ -181,15 +181,20 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", modulu
     known = hashed.groupBy("id", "digest").agg(F.first("lines").alias("lines")).alias("h").join(drops.alias("d"), same("h", "d"), "left").select("h.id", "h.digest", "lines", "parts")
 
     joined = rows.alias("r").join(known.alias("k"), same("r", "k"), "left").select("row", "lines", "parts")
-    joined = joined.withColumn("u", F.when(F.col("parts").isNotNull(), units(F.coalesce(body, F.lit("")), modulus)))
-    copy = F.coalesce(F.exists("parts", lambda x: ~x["itself"] & (_share(x, F.col("parts"), u, body) >= copy_share)), F.lit(False)) if copy_share is not None else F.lit(False)
-    joined = joined.withColumn("copy", copy)
-    joined = joined.withColumn("gone", F.when(F.col("copy") | F.col("parts").isNull(), F.array().cast("array<int>")).otherwise(
-        F.array_distinct(F.flatten(F.transform("parts", lambda x: x["lines"])))))
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("u") - 1), F.col("gone")), lambda i: F.get(u, i))
-    return joined.withColumn("n", F.size("gone")).select(
-        *[(F.when(F.col("n") > 0, F.array_join(left, "")).otherwise(body) if c == text else F.col("row").getField(c)).alias(c) for c in kept],
-        F.coalesce("lines", F.lit(0)).cast("long").alias("n_lines"), F.col("n").cast("long").alias("n_removed"), F.col("copy").alias("is_copy"))
+
+    def cleaned(u: Column) -> Column:
+        copy = F.exists("parts", lambda x: ~x["itself"] & (_share(x, F.col("parts"), u, body) >= copy_share)) if copy_share is not None else F.lit(False)
+        gone = F.array_distinct(F.flatten(F.transform("parts", lambda x: x["lines"])))
+        left = lambda g: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(u) - 1), g), lambda i: F.get(u, i)), "")
+        result = lambda value, n, is_copy: F.struct(value.alias("text"), n.cast("long").alias("n"), is_copy.alias("copy"))
+        return bind(copy, lambda c: F.when(c, result(body, F.lit(0), F.lit(True))).otherwise(bind(gone, lambda g: result(left(g), F.size(g), F.lit(False)))))
+    # in one expression that cuts the text once, as a filter on its result is moved to before the columns it is made from
+    cut_again = bind(units(F.coalesce(body, F.lit("")), modulus), cleaned)
+    untouched = F.struct(body.alias("text"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("copy"))
+    joined = joined.withColumn("after", F.when(F.col("parts").isNotNull(), cut_again).otherwise(untouched))
+    return joined.select(
+        *[(F.col("after.text") if c == text else F.col("row").getField(c)).alias(c) for c in kept],
+        F.coalesce("lines", F.lit(0)).cast("long").alias("n_lines"), F.col("after.n").alias("n_removed"), F.col("after.copy").alias("is_copy"))
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
