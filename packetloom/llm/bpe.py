@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 # White space of Unicode; Python's str.split also cuts at \x1c-\x1f.
 _SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
+END = "\uffff"  # ends a word; byte letters never reach it
 _NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
@@ -37,7 +38,7 @@ class WordBpe:
     share is encoded once.
     """
 
-    def __init__(self, spec: dict, cache_words: int = 300_000):
+    def __init__(self, spec: dict, cache_words: int = 150_000):
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.ids: dict[str, int] = model["vocab"]
@@ -45,15 +46,56 @@ class WordBpe:
         self.rank = {pair: i for i, pair in enumerate(merges)}
         self.halves = {a + b: (a, b) for a, b in reversed(merges)}
         self.made = {token: self.rank[pair] for token, pair in self.halves.items()}
-        self.longest = max(len(t.removesuffix(self.suffix)) for t in self.ids)
+        self.names = {i: t for t, i in self.ids.items()}
+        self._build_automaton()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut_special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.letters = _byte_letters()
         self.cache_words = cache_words
+        # what was met lately, and before that
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.words: dict[str, tuple[int, ...]] = {}
-        self.follows: dict[tuple[str | None, str], bool] = {}
+        self.older_words: dict[str, tuple[int, ...]] = {}
+        self.follows: dict[int, bool] = {}
+
+    def _build_automaton(self) -> None:
+        """States of an automaton over all tokens: where a letter leads, and which tokens end there.
+
+        The end of a word is a letter of its own.  ``ends`` holds (length, id) of the
+        tokens that end at a state, longest first, the end sign not counted.
+        """
+        self.steps: list[dict[str, int]] = [{}]
+        own: list[tuple[int, int] | None] = [None]
+        for token, i in self.ids.items():
+            word_end = bool(self.suffix) and token.endswith(self.suffix)
+            letters = token.removesuffix(self.suffix) if word_end else token
+            state = 0
+            for c in [*letters, END] if word_end else letters:
+                following = self.steps[state].get(c)
+                if following is None:
+                    following = self.steps[state][c] = len(self.steps)
+                    self.steps.append({})
+                    own.append(None)
+                state = following
+            own[state] = (len(letters), i)
+        self.fails, self.ends = [0] * len(self.steps), [()] * len(self.steps)
+        level = list(self.steps[0].values())
+        for state in level:
+            self.ends[state] = (own[state],) if own[state] else ()
+        while level:
+            below = []
+            for state in level:
+                for c, following in self.steps[state].items():
+                    fail = self.fails[state]
+                    while fail and c not in self.steps[fail]:
+                        fail = self.fails[fail]
+                    fail = self.steps[fail].get(c, 0)
+                    self.fails[following] = fail
+                    self.ends[following] = ((own[following],) if own[following] else ()) + self.ends[fail]
+                    below.append(following)
+            level = below
 
     # --- tokens -----------------------------------------------------------------------
 
@@ -106,40 +148,48 @@ class WordBpe:
         its other letters are the new nodes below.
         """
         out: dict[str, tuple[int, ...]] = {}
-        ids, follows, longest, suffix = self.ids, self.follows, self.longest, self.suffix
-        # of each node on the path: the last token of its encoding, and where that begins
-        last: list[str | None] = [None]
-        begins = [0]
+        steps, fails, ends, follows, names, size_of = self.steps, self.fails, self.ends, self.follows, self.names, len(self.names) + 1
+        # of each node on the path: its state, the last token of its encoding, and where that begins
+        states, last, begins = [0], [-1], [0]
         before = ""
         for word in sorted(words):
             size, shared, most = len(word), 0, min(len(before), len(last) - 1)
             while shared < most and word[shared] == before[shared]:
                 shared += 1
             shared = min(shared, size - 1)
-            del last[shared + 1:], begins[shared + 1:]
+            del states[shared + 1:], last[shared + 1:], begins[shared + 1:]
+            state = states[shared]
             for depth in range(shared + 1, size + 1):
-                end = suffix if depth == size else ""
-                for begin in range(max(0, depth - longest), depth):
-                    token = word[begin:depth] + end
-                    if token in ids:
-                        key = (last[begin], token)
-                        known = follows.get(key)
-                        if known is None:
-                            known = follows[key] = self._may_follow(*key) if begin else self._is_own_encoding(token)
-                        if known:
-                            break
+                c = word[depth - 1]
+                while state and c not in steps[state]:
+                    state = fails[state]
+                state = steps[state].get(c, 0)
+                here = state
+                if depth == size and self.suffix:  # tokens that end here and end the word
+                    while here and END not in steps[here]:
+                        here = fails[here]
+                    here = steps[here].get(END, 0)
+                for length, token in ends[here]:
+                    begin = depth - length
+                    key = (last[begin] + 1) * size_of + token
+                    known = follows.get(key)
+                    if known is None:
+                        known = follows[key] = self._may_follow(names[last[begin]], names[token]) if begin else self._is_own_encoding(names[token])
+                    if known:
+                        break
                 else:
-                    raise ValueError(f"no token of the vocabulary ends {word[:depth] + end!r}")
+                    raise ValueError(f"no token of the vocabulary ends {word[:depth]!r}")
                 if depth < size:
+                    states.append(state)
                     last.append(token)
                     begins.append(begin)
-            tokens = [ids[token]]
+            tokens = [token]
             while begin:
-                tokens.append(ids[last[begin]])
+                tokens.append(last[begin])
                 begin = begins[begin]
             out[word] = tuple(tokens[::-1])
             before = word
-        if len(follows) > 2 * self.cache_words:
+        if len(follows) > 4 * self.cache_words:
             follows.clear()
         return out
 
@@ -149,25 +199,31 @@ class WordBpe:
         text = unicodedata.normalize("NFC", text)
         return "".join(c.lower() for c in text) if "Σ" in text else text.lower()  # no final sigma
 
-    def _pieces(self, chunk: str) -> Iterator[int | str]:
+    def _pieces(self, chunk: str) -> list[int | str]:
         """Ids of special tokens and byte-letter words of a run without white space."""
+        if chunk.isascii():
+            # most are a word, or a word before one sign
+            if chunk.isalpha():
+                return [chunk.lower()]
+            if chunk[:-1].isalpha():
+                return [chunk[:-1].lower(), self.letters[ord(chunk[-1])]]
+        out: list[int | str] = []
         for section in self.cut_special.split(chunk) if self.cut_special else [chunk]:
             if section in self.special:
-                yield self.special[section]
-            elif section.isascii() and section.isalpha():
-                yield section.lower()
+                out.append(self.special[section])
             elif section:
-                for m in self.pattern.finditer(self._normal(section)):
-                    if m[0]:
-                        yield "".join([self.letters[b] for b in m[0].encode()])
+                out.extend("".join([self.letters[b] for b in m.encode()]) for m in self.pattern.findall(self._normal(section)) if m)
+        return out
 
     def _learn(self, chunks: set[str]) -> None:
-        pieces = {chunk: list(self._pieces(chunk)) for chunk in chunks}
-        words = {p for found in pieces.values() for p in found}
+        pieces = {chunk: self._pieces(chunk) for chunk in chunks}
         if len(self.words) > self.cache_words:
-            self.words.clear()
+            self.words, self.older_words = {}, self.words
+        words = {p for found in pieces.values() for p in found if p.__class__ is str} - self.words.keys()
+        known = words & self.older_words.keys()
+        self.words.update((w, self.older_words[w]) for w in known)
+        self.words |= self.encode_words(words - known)
         known = self.words
-        known |= self.encode_words(w for w in words if w.__class__ is str and w not in known)
         for chunk, found in pieces.items():
             if len(found) == 1:
                 first = found[0]
@@ -191,8 +247,11 @@ class WordBpe:
     def _encode_group(self, group: list[list[str]], flat: list[np.ndarray], ends: list[int]) -> None:
         """One trie for all words of some texts that are not in the cache yet."""
         if len(self.cache) > self.cache_words:
-            self.cache.clear()
-        self._learn(set(chain.from_iterable(group)) - self.cache.keys())
+            self.cache, self.older = {}, self.cache
+        unknown = set(chain.from_iterable(group)) - self.cache.keys()
+        known = unknown & self.older.keys()
+        self.cache.update((chunk, self.older[chunk]) for chunk in known)
+        self._learn(unknown - known)
         for chunks in group:
             ids = np.fromiter(chain.from_iterable(map(self.cache.__getitem__, chunks)), np.int32)
             flat.append(ids)
