@@ -92,6 +92,9 @@ def with_next(docs: DataFrame, key: str, carried: list[str], out: str = "next",
     Repeated values of one key stay in one range.
     """
     spark = docs.sparkSession
+    # columns with the names used here wait under others
+    renamed = {c: f"{c} of the table" for c in docs.columns if c in ("_order", "_range", "_head", "_to", "_wrap", "_copy", "_before", "_last")}
+    docs, key, carried = docs.withColumnsRenamed(renamed), renamed.get(key, key), [renamed.get(c, c) for c in carried]
     order = F.coalesce(F.col(key).cast("long"), F.lit(-2 ** 63))
     found = docs.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [i / ranges for i in range(ranges + 1)], 0.002)
     bounds = sorted({int(b) for b in found}) or [0]
@@ -109,6 +112,6 @@ def with_next(docs: DataFrame, key: str, carried: list[str], out: str = "next",
         F.array(F.struct(F.col("_range").alias("to"), F.lit(False).alias("halo"), F.lit(False).alias("wrap")),
                 F.struct(F.col("_to").alias("to"), F.lit(True).alias("halo"), F.col("_wrap").alias("wrap"))))
     dealt = keyed.join(F.broadcast(heads), "_order", "left").withColumn("_copy", F.explode(copies))
-    order_in = Window.partitionBy("_copy.to").orderBy("_copy.wrap", "_order", *carried, "_copy.halo")
-    following = dealt.withColumn(out, F.lead(F.struct(*carried)).over(order_in))
-    return following.where(~F.col("_copy.halo")).select(*docs.columns, out)
+    order_in = Window.partitionBy("_copy.to").orderBy("_copy.wrap", "_order", *[F.col(f"`{c}`") for c in carried], "_copy.halo")
+    following = dealt.withColumn(out, F.lead(F.struct(*[F.col(f"`{c}`") for c in carried])).over(order_in))
+    return following.where(~F.col("_copy.halo")).select(*[F.col(f"`{c}`") for c in docs.columns], out).withColumnsRenamed({v: k for k, v in renamed.items()})

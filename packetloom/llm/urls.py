@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import stored
+from packetloom.llm.common import fresh, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -81,8 +81,9 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     swept = events.withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1")
     swept = swept.join(F.broadcast(handed), "part", "left").select(
         "host", "path", F.explode(F.filter(F.coalesce("active", "handed"), lambda r: F.col("key").startswith(r["key"]))).alias("r"))
+    found, = fresh(pages, "found")
     best = swept.groupBy("host", "path").agg(F.max(F.struct(
-        F.length("r.rule").alias("size"), F.locate("/", F.col("r.key")).alias("host_size"), F.col("r.rule").alias("rule"), F.col("r.verdict").alias("verdict"))).alias("_best"))
+        F.length("r.rule").alias("size"), F.locate("/", F.col("r.key")).alias("host_size"), F.col("r.rule").alias("rule"), F.col("r.verdict").alias("verdict"))).alias(found))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     return split.join(best, ["host", "path"], "left").select(
-        *kept, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+        *kept, "host", "path", F.col(f"{found}.rule").alias("rule"), F.coalesce(f"{found}.verdict", F.lit(default)).alias("verdict"))

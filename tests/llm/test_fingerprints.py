@@ -60,3 +60,9 @@ def test_sketches_merge(spark):
     a, b = fingerprints.sketch(df.a), fingerprints.sketch(df.b)
     for r in df.select(fingerprints.merge(a, b).alias("m"), a.alias("a"), b.alias("b")).collect():
         assert r.m == (sorted(h for h in {*r.a, *r.b} if h < 2 ** 45) or sorted({*r.a, *r.b})[:1])
+
+
+def test_columns_with_names_used_inside(spark):
+    df = spark.createDataFrame([(1, "a", 7, 8), (2, "b", 9, 10)], "_order int, text string, _copy int, _last int")
+    got = {tuple(r)[:4]: r.next.text for r in fingerprints.with_next(df, "_order", ["text", "_copy"]).collect()}
+    assert got == {(1, "a", 7, 8): "b", (2, "b", 9, 10): "a"}

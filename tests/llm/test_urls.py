@@ -50,3 +50,10 @@ def test_no_rules(spark):
     none = spark.createDataFrame([], "verdict string, host string, path string")
     got = urls.judge(spark.createDataFrame([(1, "http://a/b")], "page_id int, url string"), none, default="block").collect()
     assert [tuple(r)[2:] for r in got] == [("a", "/b", None, "block")]
+
+
+def test_other_columns_of_any_name_stay(spark):
+    rules = spark.sql(queries.URL_RULES)
+    pages = spark.createDataFrame([("http://a.net/es/x", 5, 6)], "url string, found int, _best int")
+    row = urls.judge(pages, rules).first()
+    assert (row.found, row._best, row.rule, row.verdict) == (5, 6, "net/es/", "block")
