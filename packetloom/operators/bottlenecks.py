@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.operators.alerts import literal_rows, severity_rank
-from packetloom.operators.profile import NetworkProfile
+from packetloom.operators.profile import NetworkProfile, positions
 from packetloom.operators.selection import exact_quantiles
 from packetloom.schemas import SEVERITIES
 
@@ -140,19 +140,17 @@ def queue_growth(per_minute: DataFrame, limits: BottleneckLimits = BottleneckLim
     """Share of minute slices whose bytes rise strictly.
 
     Slices start at every minute but the last ``growth_window``; the very last
-    slice is left out, as in the definition.  The series has one row per
-    minute of capture, so one ordered pass over it is small at any data size.
+    slice is left out, as in the definition.  Minutes are numbered day by day, and each is
+    handed to the slices that it is part of, so no task sees the whole series.
     """
     w = limits.growth_window
-    order = Window.orderBy("interval_start")
-    rows = per_minute.select(
-        F.row_number().over(order).alias("pos"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"),
-        *[F.lead("bytes", k).over(order).alias(f"b{k}") for k in range(w)])
-    rising = F.lit(True)
-    for k in range(w - 1):
-        rising = rising & (F.col(f"b{k}") < F.col(f"b{k + 1}"))
-    share = rows.filter((F.col("n") >= w + 1) & (F.col("pos") <= F.col("n") - w)).agg(
-        F.try_divide(F.count_if(rising), F.count(F.lit(1))).alias("share"))
+    rows = positions(per_minute.select("interval_start", "bytes"))
+    starts = F.explode(F.sequence(F.col("pos") - w + 1, F.col("pos"))).alias("start")
+    slices = rows.select(starts, "n", F.struct("pos", "bytes").alias("m")).filter(
+        (F.col("n") >= w + 1) & F.col("start").between(1, F.col("n") - w)).groupBy("start").agg(
+        F.transform(F.array_sort(F.collect_list("m")), lambda m: m["bytes"]).alias("b"))
+    rising = F.forall(F.sequence(F.lit(0), F.lit(max(w - 2, 0))), lambda k: (F.get("b", k) < F.get("b", k + 1)) | F.lit(w < 2))
+    share = slices.agg(F.try_divide(F.count_if(rising), F.count(F.lit(1))).alias("share"))
     x = F.col("share")
     return _events(share, _event(
         x >= 0.50, "queue_growth", F.when(x >= 0.70, "HIGH").otherwise("MEDIUM"), "queue_growth_fraction", F.round(x * 100, 2),

@@ -20,7 +20,7 @@ def session_totals(packets: DataFrame, alerts: DataFrame) -> DataFrame:
 
 def traffic_export(df: DataFrame, n: int = 10) -> DataFrame:
     """(metric, value) text rows: the counters, then one row per top talker."""
-    record = basic_stats(df).crossJoin(host_cardinality(df))
+    record = basic_stats(df).crossJoin(F.broadcast(host_cardinality(df)))
     names = ["total_packets", "total_bytes", "capture_duration_seconds", "packets_per_second", "bytes_per_second",
              "unique_src_ips", "unique_dst_ips"]
     pairs = ", ".join(f"'{c}', cast({c} AS double)" for c in names)
@@ -38,5 +38,5 @@ def executive_summary(packets: DataFrame, alerts: DataFrame, health: DataFrame)
     threat = F.when(F.col("critical_alerts") > 0, "CRITICAL").when(F.col("high_alerts") > 0, "HIGH") \
         .when(F.col("total_alerts") > 0, "MEDIUM").otherwise("LOW")
     traffic = basic_stats(packets).select("total_packets", "total_bytes", F.col("capture_duration_seconds").alias("capture_duration_s"))
-    return (counted.withColumn("overall_threat_level", threat).crossJoin(traffic).crossJoin(host_cardinality(packets))
-            .crossJoin(health.select("health_score", "health_status")))
+    return (counted.withColumn("overall_threat_level", threat).crossJoin(F.broadcast(traffic)).crossJoin(F.broadcast(host_cardinality(packets)))
+            .crossJoin(F.broadcast(health.select("health_score", "health_status"))))

@@ -125,12 +125,12 @@ def traffic_summary(df: DataFrame, n: int = 10) -> DataFrame:
     minutes = as_nested(minute_timeline(df).select("minute", "packets", "bytes"),
                         "minute_series", "minute", "packets", "bytes")
     totals = df.agg(*_basic_sums(), *_size_sums()).select(*_basic_columns(), *SIZE_COLUMNS)
-    record = totals.crossJoin(count_hosts(talkers))
+    record = totals.crossJoin(F.broadcast(count_hosts(talkers)))
     for side in ("src", "dst"):
         ranked = as_nested(tops.filter(F.col("side") == side).select("rank", "ip", "packets"),
                            f"top_{side}_ips", "rank", "ip", "packets")
-        record = record.crossJoin(ranked)
-    return record.crossJoin(protocols).crossJoin(minutes)
+        record = record.crossJoin(F.broadcast(ranked))
+    return record.crossJoin(F.broadcast(protocols)).crossJoin(minutes)
 
 
 def ingest_summary(df: DataFrame, n: int = 10) -> DataFrame:
@@ -145,7 +145,7 @@ def ingest_summary(df: DataFrame, n: int = 10) -> DataFrame:
         F.count_if(F.col("src_ip").isNotNull() & (F.col("src_ip") != "None")).alias("packets_with_ip"),
         F.count_if(F.col("src_ip").isNull() | (F.col("src_ip") == "None")).alias("packets_without_ip"),
         F.min("timestamp").alias("capture_start"), F.max("timestamp").alias("capture_end"))
-    record = totals.crossJoin(count_hosts(talkers))
+    record = totals.crossJoin(F.broadcast(count_hosts(talkers)))
     for column in ("protocol", "transport_layer"):
         record = record.crossJoin(as_nested(category_counts(df, column),
                                             f"{column}_distribution", "category", "packets"))

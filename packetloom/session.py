@@ -50,11 +50,14 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts.
 
-    On a cluster this is ``spark.checkpoint.dir``, set by whoever runs it.  Where
-    it is unset, a folder in the warehouse is taken, which all nodes share too.
+    On a cluster this is ``spark.checkpoint.dir``, set by whoever runs it.  Where it is unset
+    and the master is local, as in tests, a folder in the warehouse is taken; elsewhere that
+    is an error, as no other folder is known to be shared.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -35,4 +35,4 @@ def recent_rates(windows: DataFrame, last_n: int | None = None, history: int = H
     recent = windows.orderBy(F.desc("window_start"), F.asc("interface")).limit(size)
     now = recent.agg(F.round(F.avg("bytes_per_second"), 4).alias("average_bps"),
                      F.max_by("utilisation_pct", "window_start").alias("current_utilisation"))
-    return now.crossJoin(windows.agg(F.max("bytes_per_second").alias("peak_bps")))
+    return now.crossJoin(F.broadcast(windows.agg(F.max("bytes_per_second").alias("peak_bps"))))
