@@ -25,7 +25,7 @@ def shingle_hashes(text: Column, size: int = 5) -> Column:
     return bind(words(text), of)
 
 
-def sketch(text: Column, fraction: float = 0.125, size: int = 5) -> Column:
+def sketch(text: Column, fraction: float = 0.5, size: int = 5) -> Column:
     """Sorted distinct shingle hashes below ``fraction`` of the range.
 
     A text with words but no such hash keeps its smallest one, so that only wordless texts
@@ -39,7 +39,7 @@ def sketch(text: Column, fraction: float = 0.125, size: int = 5) -> Column:
     return bind(shingle_hashes(text, size), kept)
 
 
-def merge(a: Column, b: Column, fraction: float = 0.125) -> Column:
+def merge(a: Column, b: Column, fraction: float = 0.5) -> Column:
     """Sketch of two texts' shingles together, from their sketches alone."""
     limit = int(fraction * 2 ** BITS)
     return bind(F.array_sort(F.array_union(a, b)), lambda both: F.when(
@@ -67,7 +67,7 @@ def printed(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), BITS // 4, "0")), "")
 
 
-def fingerprint(docs: DataFrame, text: str = "text", out: str = "sketch", fraction: float = 0.125, size: int = 5) -> DataFrame:
+def fingerprint(docs: DataFrame, text: str = "text", out: str = "sketch", fraction: float = 0.5, size: int = 5) -> DataFrame:
     """``docs`` with the sketch of every whole text in ``out`` (array<bigint>); null counts as empty, no shuffle."""
     return docs.withColumn(out, sketch(text_or_empty(text), fraction, size))
 

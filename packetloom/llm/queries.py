@@ -71,12 +71,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_fingerprints")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    pairs = fingerprints.with_next(fingerprints.fingerprint(docs), "doc_id", ["text", "sketch"])
+    pairs = fingerprints.with_next(docs, "doc_id", ["text"])
     size = F.length("text")
     cut = F.floor(size / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), size - cut), F.substring(F.col("next.text"), F.lit(1), cut))
-    pairs = pairs.select("doc_id", size.cast("long").alias("n_chars"), "sketch", F.col("next.sketch").alias("next_sketch"), edited.alias("edited"))
-    pairs = fingerprints.fingerprint(pairs, "edited", "edited_sketch")
+    # texts move, sketches do not: they are made where the pairs are
+    pairs = pairs.select("doc_id", size.cast("long").alias("n_chars"), "text", F.col("next.text").alias("next_text"), edited.alias("edited"))
+    for text, out in (("text", "sketch"), ("next_text", "next_sketch"), ("edited", "edited_sketch")):
+        pairs = fingerprints.fingerprint(pairs, text, out)
     own, other, after = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
     return pairs.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),

@@ -18,7 +18,7 @@ def shingle(words):
     return seed >> 16
 
 
-def sketch(text, limit=2 ** 45):
+def sketch(text, limit=2 ** 47):
     words = [w for w in re.split("[\x20\x09-\x0d]+", text.lower()) if w]
     hashes = {shingle(words[i:i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {shingle([" ".join(words)])} if words else set()
     return sorted(h for h in hashes if h < limit) or sorted(hashes)[:1]
@@ -59,7 +59,7 @@ def test_sketches_merge(spark):
     df = spark.createDataFrame([("a b c d e f g h " * 3, "q r s t u v w " * 9), ("one two", "three four"), ("", "x y z")], "a string, b string")
     a, b = fingerprints.sketch(df.a), fingerprints.sketch(df.b)
     for r in df.select(fingerprints.merge(a, b).alias("m"), a.alias("a"), b.alias("b")).collect():
-        assert r.m == (sorted(h for h in {*r.a, *r.b} if h < 2 ** 45) or sorted({*r.a, *r.b})[:1])
+        assert r.m == (sorted(h for h in {*r.a, *r.b} if h < 2 ** 47) or sorted({*r.a, *r.b})[:1])
 
 
 def test_columns_with_names_used_inside(spark):
