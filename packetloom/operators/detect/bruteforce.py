@@ -26,9 +26,8 @@ def service_profile(auth: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """One row per (source, target, port): attempts, sizes, times, rate and flags."""
     mask = strict_flags(F.col("tcp_flags"))
     span = c.duration()
-    return auth.groupBy(*keys, "src_ip", "dst_ip", "dst_port").agg(
-        F.count(F.lit(1)).alias("attempts"), F.avg(F.coalesce("packet_length", F.lit(0))).alias("avg_packet_size"),
-        F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"), F.min("packet_number").alias("first_packet"),
+    return c.weighted(auth).groupBy(*keys, "src_ip", "dst_ip", "dst_port").agg(
+        F.sum("_packets").alias("attempts"), (F.sum("_bytes") / F.sum("_packets")).alias("avg_packet_size"), *c.seen(),
         *c.flag_counts(mask, syn=SYN, ack=ACK),
     ).withColumns({"duration_seconds": span, "attempts_per_second": c.per_second(F.col("attempts"), span),
                    "service": port_to_service(F.col("dst_port"))})

@@ -32,7 +32,40 @@ class Thresholds:
 
 
 def flag_counts(mask: Column, **bits: int) -> list[Column]:
-    return [F.count_if(has_bit(mask, bit)).alias(f"{name}_count") for name, bit in bits.items()]
+    return [number_of(has_bit(mask, bit)).alias(f"{name}_count") for name, bit in bits.items()]
+
+
+def weighted(df: DataFrame) -> DataFrame:
+    """Rows that say how many packets they stand for: packets count one each, :func:`folded` rows stay."""
+    if "_packets" in df.columns:
+        return df
+    return df.withColumns({
+        "_packets": F.lit(1).cast("long"), "_bytes": F.coalesce("packet_length", F.lit(0)).cast("long") if "packet_length" in df.columns else F.lit(0).cast("long"),
+        "_first": F.col("timestamp"), "_last": F.col("timestamp"), "_number": F.col("packet_number")})
+
+
+def folded(df: DataFrame) -> DataFrame:
+    """Packets of equal ends, port, protocol and flags as one row; all rules can be told from these.
+
+    Summed a task first, so a flood is one row a task in the shuffle.
+    """
+    names = [c for c in ("src_ip", "dst_ip", "dst_port", "protocol", "tcp_flags") if c in df.columns]
+    return weighted(df).groupBy(*names).agg(
+        F.sum("_packets").alias("_packets"), F.sum("_bytes").alias("_bytes"), F.min("_first").alias("_first"),
+        F.max("_last").alias("_last"), F.min("_number").alias("_number"))
+
+
+def number_of(test: Column) -> Column:
+    """Packets for which the test holds."""
+    return F.coalesce(F.sum(F.when(test, F.col("_packets"))), F.lit(0).cast("long"))
+
+
+TIMES = (F.min, "_first", "first_seen"), (F.max, "_last", "last_seen"), (F.min, "_number", "first_packet")
+
+
+def seen() -> list[Column]:
+    """When and with which packet a group began, and when it ended."""
+    return [pick(source).alias(name) for pick, source, name in TIMES]
 
 
 def duration(start: str = "first_seen", end: str = "last_seen") -> Column:

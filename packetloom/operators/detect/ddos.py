@@ -23,13 +23,11 @@ def window_profile(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """
     mask = strict_flags(F.col("tcp_flags"))
     protocol = F.upper(F.coalesce("protocol", F.lit("")))
+    df = c.weighted(df)
     by_target = df.groupBy(*keys, "dst_ip").agg(
-        F.count(F.lit(1)).alias("packets"),
-        F.sum(F.coalesce("packet_length", F.lit(0)).cast("long")).alias("bytes"),
-        F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"),
-        F.min("packet_number").alias("first_packet"),
-        F.count_if(protocol == "TCP").alias("tcp_count"), F.count_if(protocol == "UDP").alias("udp_count"),
-        F.count_if(protocol.startswith("ICMP")).alias("icmp_count"), *c.flag_counts(mask, syn=SYN, ack=ACK))
+        F.sum("_packets").alias("packets"), F.sum("_bytes").alias("bytes"), *c.seen(),
+        c.number_of(protocol == "TCP").alias("tcp_count"), c.number_of(protocol == "UDP").alias("udp_count"),
+        c.number_of(protocol.startswith("ICMP")).alias("icmp_count"), *c.flag_counts(mask, syn=SYN, ack=ACK))
     # most packets first, the smaller address among equals: a null target never wins
     top = F.max(F.when(F.col("dst_ip").isNotNull(), F.col("packets")))
     totals = by_target.groupBy(*keys).agg(
@@ -122,10 +120,13 @@ def rules(limits: c.Thresholds, growth: bool) -> list:
     return out
 
 
-def detect(df: DataFrame, limits: c.Thresholds = c.Thresholds(), keys: Sequence[str] = ()) -> DataFrame:
-    """Alert rows; the growth rule is evaluated only when it can fire (``midpoint`` split)."""
+def detect(df: DataFrame, limits: c.Thresholds = c.Thresholds(), keys: Sequence[str] = (), packets: DataFrame | None = None) -> DataFrame:
+    """Alert rows; the growth rule is evaluated only when it can fire (``midpoint`` split).
+
+    It needs the times of single packets: where ``df`` is folded, those of ``packets``.
+    """
     profile = window_profile(df, keys)
     growth = limits.ddos_growth == "midpoint" and not keys
     if growth:
-        profile = profile.crossJoin(F.broadcast(growth_rate(df, "midpoint")))
+        profile = profile.crossJoin(F.broadcast(growth_rate(df if packets is None else packets, "midpoint")))
     return c.emit(profile.filter(F.col("total_packets") > 0), rules(limits, growth), NAME, PRIORITY, keys)

@@ -22,13 +22,11 @@ def source_profile(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     port rows to its final aggregate, and its hosts are counted, not collected.
     """
     group = [*keys, "src_ip"]
-    rows = df.filter(F.col("src_ip").isNotNull())
+    rows = c.weighted(df).filter(F.col("src_ip").isNotNull())
     mask = strict_flags(F.col("tcp_flags"))
     flags = ("syn_count", "ack_count", "rst_count", "fin_count")
     by_port = rows.groupBy(*group, "dst_port").agg(
-        F.count(F.lit(1)).alias("packets"), F.sum(F.coalesce("packet_length", F.lit(0)).cast("long")).alias("bytes"),
-        F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"),
-        F.min("packet_number").alias("first_packet"), *c.flag_counts(mask, syn=SYN, ack=ACK, rst=RST, fin=FIN))
+        F.sum("_packets").alias("packets"), F.sum("_bytes").alias("bytes"), *c.seen(), *c.flag_counts(mask, syn=SYN, ack=ACK, rst=RST, fin=FIN))
     ports = by_port.groupBy(*group).agg(
         F.sum("packets").alias("total_packets"), F.sum("bytes").alias("total_bytes"),
         F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min("first_packet").alias("first_packet"),

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.operators.detect import bruteforce, ddos, portscan, synflood
-from packetloom.operators.detect.common import Thresholds
+from packetloom.operators.detect.common import Thresholds, folded
+from packetloom.session import checkpoint_root
 
 log = logging.getLogger(__name__)
 
@@ -31,14 +32,24 @@ def all_alerts(df: DataFrame, limits: Thresholds = Thresholds(),
     """Alerts of all enabled detectors.
 
     One that cannot be planned ends the run; with a ``failed`` list it is logged, named
-    there and left out.
+    there and left out.  The packets are folded once for the library's own detectors, and
+    written: one scan, and one shuffle of sums, feed all their rules (a second scan of one
+    column feeds the growth rule where it is on).  Own detectors get the packets.
     """
+    own = {detect for _, _, detect in DETECTORS}
+    flows = None
     found = None
     for name, _, detect in sorted(detectors, key=lambda d: d[1]):
         if name in disabled:
             continue
         try:
-            alerts = detect(df, limits)
+            if detect in own:
+                if flows is None:
+                    checkpoint_root(df.sparkSession)
+                    flows = folded(df).checkpoint()
+                alerts = detect(flows, limits, **({"packets": df} if detect is ddos.detect else {}))
+            else:
+                alerts = detect(df, limits)
         except Exception:
             if failed is None:
                 raise

@@ -24,11 +24,11 @@ def window_profile(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     mask = tolerant_flags(F.col("tcp_flags")) if "tcp_flags" in df.columns else F.lit(SYN).cast("long")
 
     def seen(test):
-        return F.count_if(tcp & test)
+        return c.number_of(tcp & test)
 
+    df = c.weighted(df)
     by_target = df.groupBy(*keys, "dst_ip").agg(
-        F.count(F.lit(1)).alias("packets"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"),
-        F.min("packet_number").alias("first_packet"), F.count_if(tcp).alias("tcp"),
+        F.sum("_packets").alias("packets"), *c.seen(), c.number_of(tcp).alias("tcp"),
         seen(has_bit(mask, SYN)).alias("syn_count"), seen(has_bit(mask, ACK)).alias("ack_count"),
         seen(mask.bitwiseAND(SYN | ACK) == (SYN | ACK)).alias("syn_ack_count"),
         seen(has_bit(mask, RST)).alias("rst_count"), seen(has_bit(mask, FIN)).alias("fin_count"))

@@ -141,3 +141,19 @@ def test_order_and_partitions_do_not_matter(spark, sf_dir):
     columns = ["attack_type", "severity", "confidence", "source_ip", "destination_ip", "alert_id"]
     a, b = (sorted(map(tuple, run.run_detection(p, limits).select(*columns).collect())) for p in (packets, shuffled))
     assert a == b
+
+
+def test_packets_are_scanned_once_for_all_rules(spark, tmp_path, sf_dir):
+    from packetloom.operators.detect.common import folded
+    from packetloom.sources import fixtures
+    path = str(tmp_path / "packets")
+    fixtures.packets(spark, sf_dir, "burst").write.parquet(path)
+    packets = spark.read.parquet(path)
+    once = folded(packets)._jdf.queryExecution().executedPlan().toString()
+    after = run.run_detection(packets)._jdf.queryExecution().executedPlan().toString()
+    assert once.count("FileScan parquet") == 1 and once.count("Exchange hashpartitioning") == 1 and "FileScan" not in after
+    limits = Thresholds(ddos_packets_per_second=300, bruteforce_failed_attempts=3, ddos_growth="midpoint")
+    apart = [d(packets, limits) for _, _, d in run.DETECTORS]
+    names = ["attack_type", "severity", "confidence", "source_ip", "alert_id"]
+    want = sorted(tuple(r) for a in apart for r in a.select(*names).collect())
+    assert want == sorted(tuple(r) for r in run.all_alerts(packets, limits).select(*names).collect())
