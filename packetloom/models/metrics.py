@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 65_536
+BINS = 1_024
+RANGES = 64  # quantile ranges, each of so many bins
 
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -46,19 +47,27 @@ def classifier_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
         whole.alias("n_samples"), F.count_if(weight > 0).alias("n_classes"))
 
 
+def _bin_of(score: Column, cuts: Column) -> Column:
+    """Number of the bin of a score; it never falls as scores rise."""
+    at = F.size(F.filter(cuts, lambda c: c <= score))
+    low, high = F.get(cuts, F.greatest(at - 1, F.lit(0))), F.get(cuts, F.least(at, F.size(cuts) - 1))
+    share = F.coalesce(F.try_divide(score - low, high - low), F.lit(0.0))
+    return at * BINS + F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor(share * BINS)))
+
+
 def auc(df: DataFrame, positive: Column, score: Column, keys: tuple[str, ...] = ()) -> DataFrame:
     """Exact area under the ROC curve per ``keys``, from counts below and equal.
 
-    Scores are folded to distinct values, cut into value ranges, and counted
-    range by range, so no task needs the whole order of scores.  Needs scores
+    Scores are folded to distinct values, cut at approximate quantiles and between those
+    into equal widths, and counted bin by bin, so no task needs the whole order of scores,
+    also where one score lies far from all others.  Needs scores
     that are not null.
     """
     values = df.select(*keys, positive.cast("long").alias("_p"), score.cast("double").alias("_s")) \
         .groupBy(*keys, "_s").agg(F.sum("_p").alias("_pos"), F.sum(1 - F.col("_p")).alias("_neg"))
-    bounds = values.groupBy(*keys).agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
-    values = values.join(bounds, list(keys)) if keys else values.crossJoin(F.broadcast(bounds))
-    values = values.withColumn("_bin", F.least(F.lit(BINS - 1), F.floor(F.coalesce(
-        F.try_divide(F.col("_s") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)) * BINS)))
+    cuts = values.groupBy(*keys).agg(F.percentile_approx("_s", [i / RANGES for i in range(RANGES + 1)], 10_000).alias("_cuts"))
+    values = values.join(F.broadcast(cuts), list(keys)) if keys else values.crossJoin(F.broadcast(cuts))
+    values = values.withColumn("_bin", _bin_of(F.col("_s"), F.col("_cuts"))).drop("_cuts")
     bins = values.groupBy(*keys, "_bin").agg(F.sum("_neg").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bin")) - F.col("_n")
     bins = bins.select(*keys, "_bin", before.alias("_before"))

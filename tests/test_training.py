@@ -63,3 +63,19 @@ def test_ties_of_rows_with_maps(spark):
     kept = selection.top_rows(df.withColumn("t", F.unix_micros("timestamp")), ["t"], 2)
     assert kept.count() == 2
     assert alerts.keep_latest(df.withColumn("seq", F.lit(1)), 3).count() == 3
+
+
+def test_area_with_an_outlying_score(spark):
+    import random
+
+    import numpy as np
+    from packetloom.models import metrics
+    rng = random.Random(2)
+    rows = [(rng.random() < 0.4, round(rng.random(), 3)) for _ in range(3000)] + [(True, 1e300), (False, -1e12), (True, 0.5)]
+    df = spark.createDataFrame(rows, "good boolean, s double")
+    good, bad = (np.array([s for g, s in rows if g is want]) for want in (True, False))
+    want = ((good[:, None] > bad).sum() + 0.5 * (good[:, None] == bad).sum()) / (len(good) * len(bad))
+    assert abs(metrics.auc(df, F.col("good"), F.col("s")).first()["auc"] - want) < 1e-12
+    cuts = [0.1 * i for i in range(11)] + [1e300]
+    bins = df.select(metrics._bin_of(F.col("s"), F.array(*map(F.lit, cuts))).alias("b"), "s").orderBy("s").collect()
+    assert [r.b for r in bins] == sorted(r.b for r in bins) and len({r.b for r in bins}) > 500
