@@ -145,11 +145,14 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", modulu
     same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.digest") == F.col(f"{b}.digest"))
 
     cut = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("digest"), units(text_or_empty(text), modulus).alias("u"))
-    hashed = stored(cut.select("id", "digest", F.size("u").alias("lines"), F.transform(line_chunks(F.col("u"), least_words), lambda c: c["hash"]).alias("hashes")), "line-chunks")
-    seen = hashed.select("id", "digest", F.explode("hashes").alias("hash"))
+    hashed = stored(cut.select("id", "digest", F.size("u").alias("lines"), F.transform(line_chunks(F.col("u"), least_words), lambda c: c["hash"]).alias("hashes"),
+                               F.monotonically_increasing_id().alias("nr")), "line-chunks")
+    # row numbers as written, which are small in the exchange
+    seen = hashed.select("nr", F.explode("hashes").alias("hash"))
     # repeated rows of one document repeat its chunks too, which costs a comparison and removes nothing
     repeated = seen.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    wanted = seen.join(repeated, "hash").groupBy("id", "digest").agg(F.collect_set("hash").alias("hashes"))
+    in_row = seen.join(repeated, "hash").groupBy("nr").agg(F.collect_set("hash").alias("hashes"))
+    wanted = hashed.select("nr", "id", "digest").join(in_row, "nr").groupBy("id", "digest").agg(F.array_distinct(F.flatten(F.collect_list("hashes"))).alias("hashes"))
 
     # the hash of the whole row keeps all columns in the exchange, as the last join needs them
     found = rows.alias("r").join(wanted.alias("p"), same("r", "p")).select(
