@@ -310,7 +310,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
     through the trie; at ``cache_words`` words a worker starts anew.  Other columns stay as
     they are; one already named ``ids`` is replaced.
     """
-    return _mapped(docs, tokenizer, text, ids, "array<int>", WordBpe, lambda bpe, column: bpe.encode(column.to_pylist()))
+    return _mapped(docs, tokenizer, text, ids, "array<int>", WordBpe, lambda bpe, column: bpe.encode(t.as_py() for t in column))
 
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
