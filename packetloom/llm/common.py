@@ -35,9 +35,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, which cuts its lineage."""
+    """``df`` written to the shared folder and read back, which cuts its lineage.
+
+    Spark deletes the shuffle files of a finished job when the driver has collected its
+    plan; asking for that here keeps the files of many steps from adding up on the disks.
+    """
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    df.sparkSession._jvm.java.lang.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
