@@ -114,6 +114,9 @@ def _(spark, d):
     return _shown(sinks.run_now(rules.spray_alerts(packets(spark, d, "real"), limits, "1 day", delay="1 day"), scratch(spark, "p4s")))
 
 
+FILE_ROWS = 100_000
+
+
 @register("p5_streaming_cooldown", _cooldown_sql(21_600))
 def _(spark, d):
     live = stream(spark, d, "alerts").select("alert_id", "source_ip", "attack_type", "timestamp")
@@ -131,11 +134,15 @@ def _(spark, d):
     first, last = alerts.agg(F.min("timestamp").cast("double"), F.max("timestamp").cast("double")).first()
     arrival = F.coalesce(F.col("timestamp").cast("double"), F.lit(first)) + F.pmod(F.xxhash64("alert_id"), F.lit(129_600))
     batch = F.least(F.lit(5), F.floor((arrival - first) / F.lit((last - first + 1) / 6))).cast("int")
-    folder = scratch(spark, "p5-batches")
-    for i in range(6):  # one file a batch, in order of writing
-        alerts.unionByName(timeless).filter(batch == i).drop("seq").coalesce(1).write.parquet(f"{folder}/b{i}")
+    folder, dealt = scratch(spark, "p5-batches"), scratch(spark, "p5-dealt")
+    alerts.unionByName(timeless).drop("seq").withColumn("batch", batch).write.partitionBy("batch").parquet(dealt)
+    dealt = spark.read.schema(alerts.drop("seq").schema.add("batch", "integer")).parquet(dealt)
+    sizes = {r["batch"]: r["n"] for r in dealt.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).collect()}
+    files = max(1, min(sizes.get(i, 0) for i in range(6)) // FILE_ROWS)  # so many rows that no file is empty
+    for i in range(6):  # as many files each batch, in order of writing
+        dealt.filter(F.col("batch") == i).drop("batch").repartition(files).write.parquet(f"{folder}/b{i}")
     schema = alerts.drop("seq").schema
-    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/b*")
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/b*")
     return sinks.run_now(cooldown.settled_cooldown(live, 21_600, "2 days"), scratch(spark, "p5s")).drop("batch_id")
 
 
