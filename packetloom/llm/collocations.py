@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import stored
+from packetloom.llm.common import arrow_rows, stored
 
 UNKNOWN = "und"
 # of every byte: 0 within a word, 1 between words, 2 between pieces; A-Z become a-z
@@ -21,6 +21,7 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 COUNT_PAIRS = 700_000  # pairs that are counted at once before they leave a task
+BATCH_ROWS = 1000  # texts, or rows of some hundred occurrences, that Python gets at a time
 FILTER_BITS = 1 << 26  # of the filter of frequent groups, 8 MB, whatever their number
 
 
@@ -160,7 +161,7 @@ def word_relation(docs: DataFrame, frequent) -> DataFrame:
 
 
 def _neighbours(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """(piece, place, left, right) of occurrences at adjacent places of one piece.
+    """(piece, place, left, right, row) of occurrences at adjacent places of one piece; ``row`` is where in the batch.
 
     The merge join of the relation with itself: it is sorted by piece and place, so a
     partner, if there is one, is the next entry.
@@ -169,7 +170,7 @@ def _neighbours(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(0).offsets.to_numpy()))
     piece, place, ids = flat
     fits = (row[1:] == row[:-1]) & (piece[1:] == piece[:-1]) & (place[1:] == place[:-1] + 1)
-    return piece[:-1][fits], place[:-1][fits], ids[:-1][fits], ids[1:][fits]
+    return piece[:-1][fits], place[:-1][fits], ids[:-1][fits], ids[1:][fits], row[:-1][fits]
 
 
 def pair_counts(relation: DataFrame) -> DataFrame:
@@ -184,7 +185,7 @@ def pair_counts(relation: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
-            *_, left, right = _neighbours(batch)
+            _, _, left, right, _ = _neighbours(batch)
             parts.append((left, right))
             held += len(left)
             if held >= COUNT_PAIRS:
@@ -197,16 +198,20 @@ def pair_counts(relation: DataFrame) -> DataFrame:
 
 
 def extended(relation: DataFrame, frequent) -> DataFrame:
-    """The relation of the next length, of groups that may be frequent, in the same order."""
+    """The relation of the next length, of groups that may be frequent, in the same order and rows.
+
+    Piece numbers begin again in other rows, so rows are not joined to longer ones.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            piece, place, left, right = _neighbours(batch)
+            piece, place, left, right, row = _neighbours(batch)
             ids = joined_id(left, right)
             keep = _passes(frequent.value, ids)
             if keep.any():
-                row = pa.array(np.array([0, keep.sum()], np.int32))
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(row, pa.array(x[keep], t)) for x, t in ((piece, pa.int32()), (place, pa.int32()), (ids, pa.int64()))], schema=RELATION)
+                sizes = np.bincount(row[keep])
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes[sizes > 0])]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(x[keep], t)) for x, t in ((piece, pa.int32()), (place, pa.int32()), (ids, pa.int64()))], schema=RELATION)
 
     return relation.mapInArrow(rows, RELATION_DDL)
 
@@ -254,22 +259,23 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, share: int
     """
     spark = docs.sparkSession
     source = _source(docs, lang, text)
-    words = stored(word_counts(source), "word-counts")
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    level = words.where(F.col("f") >= least).select(
-        "lang", "id", F.col("word").cast("string").alias("phrase"), F.col("word").cast("string").alias("last"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"))
-    relation, found = None, []
-    for length in range(2, longest + 1):
-        frequent = spark.sparkContext.broadcast(frequent_filter(level.select("id")))
-        relation = stored(word_relation(source, frequent) if relation is None else extended(relation, frequent), f"occurrences-{length - 1}")
-        pairs = pair_counts(relation).where(F.col("f") >= least)
-        a = level.select(F.col("lang"), F.col("id").alias("left"), F.col("phrase").alias("a_phrase"), F.col("f").alias("fa"), F.col("heads").alias("a_heads"))
-        b = level.select(F.col("id").alias("right"), F.col("last"), F.col("tails").alias("b_tails"), F.col("f").alias("fb"))
-        # heads: counts of the first 1, 2 ... words, tails: of the last 1, 2 ... words
-        level = stored(pairs.join(a, "left").join(b, "right").select(
-            "lang", _joined_id("left", "right").alias("id"), F.concat_ws(" ", "a_phrase", "last").alias("phrase"), "last", "f",
-            F.concat("a_heads", F.array("f")).alias("heads"), F.concat("b_tails", F.array("f")).alias("tails"), "left", "right"), f"phrases-{length}")
-        found.append(level)
+    with arrow_rows(spark, BATCH_ROWS):
+        words = stored(word_counts(source), "word-counts")
+        totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
+        level = words.where(F.col("f") >= least).select(
+            "lang", "id", F.col("word").cast("string").alias("phrase"), F.col("word").cast("string").alias("last"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"))
+        relation, found = None, []
+        for length in range(2, longest + 1):
+            frequent = spark.sparkContext.broadcast(frequent_filter(level.select("id")))
+            relation = stored(word_relation(source, frequent) if relation is None else extended(relation, frequent), f"occurrences-{length - 1}")
+            pairs = pair_counts(relation).where(F.col("f") >= least)
+            a = level.select(F.col("lang"), F.col("id").alias("left"), F.col("phrase").alias("a_phrase"), F.col("f").alias("fa"), F.col("heads").alias("a_heads"))
+            b = level.select(F.col("id").alias("right"), F.col("last"), F.col("tails").alias("b_tails"), F.col("f").alias("fb"))
+            # heads: counts of the first 1, 2 ... words, tails: of the last 1, 2 ... words
+            level = stored(pairs.join(a, "left").join(b, "right").select(
+                "lang", _joined_id("left", "right").alias("id"), F.concat_ws(" ", "a_phrase", "last").alias("phrase"), "last", "f",
+                F.concat("a_heads", F.array("f")).alias("heads"), F.concat("b_tails", F.array("f")).alias("tails"), "left", "right"), f"phrases-{length}")
+            found.append(level)
     candidates = None
     for i, rows in enumerate(found):
         length = i + 2

@@ -70,3 +70,22 @@ def test_a_full_filter_changes_nothing(spark, monkeypatch):
     monkeypatch.setattr(collocations, "frequent_filter", lambda ids: whole(ids, 64))
     got = collocations.collocations(spark.createDataFrame(rows, "lang string, text string"), least=5)
     assert sorted(map(tuple, got.collect())) == sorted(want(rows, 5))
+
+
+def test_rows_of_relation_stay_apart(spark):
+    """Piece numbers begin again in the next row; what ends one row is no neighbour of what begins the next."""
+    import numpy as np
+
+    relation = spark.createDataFrame([([0, 0], [0, 1], [11, 12]), ([0, 0, 0], [1, 2, 3], [13, 14, 15])], collocations.RELATION_DDL).coalesce(1)
+    every = spark.sparkContext.broadcast(np.full(16, -1, np.int64))
+    longer = collocations.extended(relation, every)
+    assert sorted((r.piece, r.place) for r in longer.collect()) == [([0], [0]), ([0, 0], [1, 2])]
+    assert [r.f for r in collocations.pair_counts(longer).collect()] == [1]
+
+
+def test_python_gets_bounded_batches(spark, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, kept = spark.conf.get(name), collocations.stored
+    monkeypatch.setattr(collocations, "stored", lambda df, n: seen.append(int(spark.conf.get(name))) or kept(df, n))
+    collocations.collocations(spark.createDataFrame([("a b " * 40, "en")], "text string, lang string")).collect()
+    assert len(seen) == 7 and max(seen) <= 1000 and spark.conf.get(name) == before
