@@ -62,3 +62,18 @@ def test_too_few_labels(spark, labels):
     model = toxicity.train(d, spark.createDataFrame(labels, "doc_id int, toxic int"))
     assert len({r.score for r in toxicity.scored(d, model).collect()}) == 1
     assert toxicity.scored(d.limit(0), model).count() == 0
+
+
+def test_all_labelled_rows_are_learnt_from(spark):
+    """A word that only rows late in the order of hashes hold is learnt, over several shards, whatever the partitions."""
+    docs = spark.range(9000).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN 'zaprok vermult' ELSE 'ein wort' END AS text")
+    ranked = docs.where("doc_id % 2 = 0 AND crc32(cast(cast(doc_id AS string) AS binary)) % 3 != 1").selectExpr("doc_id", "row_number() OVER (ORDER BY xxhash64(doc_id), doc_id) AS r")
+    docs = docs.join(ranked, "doc_id", "left").selectExpr("doc_id", "CASE WHEN r > 2000 THEN 'vrunsel noch' ELSE text END AS text").cache()
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 = 0 AS int) AS toxic")
+    models = [toxicity.train(docs.repartition(n), labels, shard_rows=1500) for n in (1, 5)]
+    assert models[0].place[crc32(b"vrunsel") % toxicity.BUCKETS] > 0
+    assert (models[0].embed == models[1].embed).all() and (models[0].dense() == models[1].dense()).all()
+    asked = spark.createDataFrame([(1, "das vrunsel dort"), (2, "ein wort")], "doc_id int, text string")
+    low, high = sorted(toxicity.scored(asked, models[0]).collect(), key=lambda r: -r.doc_id)
+    assert low.score < 0.3 < 0.7 < high.score
+    docs.unpersist()
