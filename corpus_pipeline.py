@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.llm import bpe, decontam, linededup, neardup, toxicity
-from packetloom.llm.common import scratch, table
+from packetloom.llm.common import arrow_rows, scratch, table
 from packetloom.llm.queries import tokenizer_path
 
 
@@ -49,6 +49,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("toxicity", reject_toxic), ("line dedup", dedup_lines), ("near dedup", dedup_documents),
           ("decontamination", decontaminate), ("encoding", encode)]
 
+BATCH_ROWS = 1000  # texts that Python gets at a time
+
 # Training, sketches and token ids have no SQL form; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
@@ -58,6 +60,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch(spark, "pipeline-" + name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with arrow_rows(spark, BATCH_ROWS):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
