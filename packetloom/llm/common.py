@@ -35,10 +35,31 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, which cuts its lineage."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written to the shared folder and read back, which cuts its lineage.
+
+    The shuffle files of the write go with it: nothing reads them again, and until the
+    driver happens to collect its garbage they would add up from step to step.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        # a frame made under the setting, as it is read when a frame is made
+        df.select("*").write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """The session has ``value`` for ``name`` within."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 @contextmanager

@@ -149,14 +149,15 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", modulu
     seen = hashed.select("id", "digest", F.explode("hashes").alias("hash"))
     # repeated rows of one document repeat its chunks too, which costs a comparison and removes nothing
     repeated = seen.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    wanted = seen.join(repeated, "hash").groupBy("id", "digest").agg(F.collect_set("hash").alias("hashes"))
+    wanted = stored(seen.join(repeated, "hash").groupBy("id", "digest").agg(F.collect_set("hash").alias("hashes")), "wanted-chunks")
 
     # the hash of the whole row keeps all columns in the exchange, as the last join needs them
     found = rows.alias("r").join(wanted.alias("p"), same("r", "p")).select(
         "r.id", "r.digest", F.xxhash64("row").alias("whole"), units(F.coalesce(body, F.lit("")), modulus).alias("u"), _n_words(body).alias("words"), "hashes")
     u = F.col("u")
     held = found.select("id", "digest", "whole", "words", u, F.filter(line_chunks(u, least_words), lambda c: F.array_contains("hashes", c["hash"])).alias("cs"))
-    held = held.select("id", "digest", "whole", "words", u, "cs", F.posexplode("cs").alias("k", "c"))
+    # outer, as a filter that the optimizer infers for a plain one would cut every text a second time
+    held = held.select("id", "digest", "whole", "words", u, "cs", F.posexplode_outer("cs").alias("k", "c")).where("k IS NOT NULL")
     start, end, ahead, behind = F.col("c.start"), F.col("c.end"), F.get("cs", F.col("k") + 1)["start"], F.get("cs", F.col("k") - 1)["end"]
     # lines between two chunks go with the first of them
     n_after = F.greatest(F.lit(0), F.least(F.coalesce(ahead - end - 1, F.lit(REACH)), F.lit(REACH)))
@@ -164,10 +165,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", modulu
     held = stored(held.select(
         "id", "digest", "whole", "words", F.col("c.hash").alias("hash"), start.alias("start"), end.alias("end"), _run(u, start, end).alias("chunk"),
         F.reverse(F.slice(u, start - n_before + 1, n_before)).alias("before"), F.slice(u, end + 2, n_after).alias("after")), "repeated-chunks")
-    lowest = held.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("id", "digest", "start")).alias("low")).where("n > 1").drop("n")
-    # repeated rows of a document give equal rows here
-    firsts = held.alias("a").join(lowest, "hash").where(F.col("id").eqNullSafe(F.col("low.id")) & (F.col("digest") == F.col("low.digest")) & (F.col("start") == F.col("low.start"))).groupBy("hash").agg(
-        F.any_value(F.struct("id", "digest", "start", "end", "words", "chunk", "before", "after")).alias("first"))
+    # the first occurrence with what is compared, in one count; repeated rows of a document give equal rows here
+    firsts = held.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct(
+        "id", "digest", "start", "end", "words", "chunk", "before", "after")).alias("first")).where("n > 1").drop("n")
     itself = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("digest") == F.col("first.digest"))
     again = held.join(firsts, "hash").where((F.col("chunk") == F.col("first.chunk")) & ~(itself & (F.col("start") == F.col("first.start"))))
     # a chunk that overlaps its own first occurrence leaves that whole, and is not drawn out
@@ -177,7 +177,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", modulu
     by_first = again.groupBy("id", "digest", "origin", "itself", "fwords").agg(F.collect_set(F.struct("begin", "stop")).alias("runs")).select(
         "id", "digest", F.struct("itself", F.col("origin").alias("first"), F.col("fwords").alias("words"), F.array_distinct(F.flatten(
             F.transform("runs", lambda x: F.sequence(x["begin"], x["stop"])))).alias("lines")).alias("part"))
-    drops = by_first.groupBy("id", "digest").agg(F.collect_list("part").alias("parts"))
+    # written, so that the chunks and their shuffles are gone when the table is moved
+    drops = stored(by_first.groupBy("id", "digest").agg(F.collect_list("part").alias("parts")), "repeated-lines")
     known = hashed.groupBy("id", "digest").agg(F.first("lines").alias("lines")).alias("h").join(drops.alias("d"), same("h", "d"), "left").select("h.id", "h.digest", "lines", "parts")
 
     joined = rows.alias("r").join(known.alias("k"), same("r", "k"), "left").select("row", "lines", "parts")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from packetloom.llm import linededup, queries
+from packetloom.llm.common import stored
 
 
 def prose(rng, sentences):
@@ -163,3 +166,26 @@ def test_units_join_to_the_text(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     for r in df.select("text", linededup.units(df.text).alias("u")).collect():
         assert "".join(r.u) == r.text and all(len(x.split()) <= 16 for x in r.u)
+
+
+def test_written_steps_leave_no_shuffle_files(spark):
+    files = lambda: set(map(str, spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split()))
+    before, name = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(name, None)
+    counts = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    for _ in range(50):  # they go beside the next step
+        if not (left := {f for f in files() - before if "shuffle_" in f}):
+            break
+        time.sleep(0.1)
+    assert not left and counts.count() == 7 and spark.conf.get(name, None) == setting
+
+
+def test_texts_are_cut_twice_at_most_before_the_last_join(spark, monkeypatch):
+    steps = {}
+
+    def planned(df, name):
+        steps[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return stored(df, name)
+    monkeypatch.setattr(linededup, "stored", planned)
+    run(spark, [(1, "".join(prose(random.Random(19), 20)))] * 2)
+    assert steps["repeated-chunks"].count("(?<=\\n)") == steps["line-chunks"].count("(?<=\\n)") == 1
