@@ -14,13 +14,14 @@ from packetloom.llm.common import stored
 
 BANDS, BAND_ROWS = 30, 4
 SAMPLES, SKETCH_BITS = BANDS * BAND_ROWS, 512
-# of nodes in buckets that hold several components: precise enough to part 0.75 from 0.65
-FINE_SAMPLES, FINE_BITS = 1024, 4096
+# of nodes in buckets that hold several components: half as many samples as bits part similarities best
+FINE_SAMPLES, FINE_BITS = 2048, 4096
 _SPACE_FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 _RNG = np.random.default_rng(20_240_101)
-_MULTIPLY = _RNG.integers(1 << 32, 1 << 63, FINE_SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 1 << 63, FINE_SAMPLES, dtype=np.uint64)
+_DRAWN = [(_RNG.integers(1 << 32, 1 << 63, 1024, dtype=np.uint64), _RNG.integers(0, 1 << 63, 1024, dtype=np.uint64)) for _ in range(FINE_SAMPLES // 1024)]
+_MULTIPLY = np.concatenate([m for m, _ in _DRAWN]) * np.uint64(2) + np.uint64(1)
+_ADD = np.concatenate([a for _, a in _DRAWN])
 
 
 def shingles(text: bytes | None, size: int = 5) -> np.ndarray:

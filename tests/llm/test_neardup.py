@@ -94,6 +94,19 @@ def test_odd_sketches_follow_the_similarity():
     assert apart == sorted(apart) and apart[0] == 0 and apart[1] < neardup.sketch_limit(0.75) < apart[3]
 
 
+def test_large_sketches_rule_out_seven_tenths():
+    """Half of the pairs at 0.67 leave the join of open buckets at most, and none at 0.75 stays in it."""
+    rng = np.random.default_rng(2)
+    limit, passed = neardup.sketch_limit(0.75, neardup.FINE_SAMPLES, neardup.FINE_BITS), {}
+    for per_cent in (67, 75):
+        common = 400 * per_cent // 100
+        pairs = [rng.integers(0, 1 << 63, 400, dtype=np.uint64) for _ in range(40)]
+        own = (400 - common) // 2
+        sketches = [[neardup.odd_sketch(neardup.minhash(x, neardup.FINE_SAMPLES), neardup.FINE_BITS) for x in (a[own:], a[:400 - own])] for a in pairs]
+        passed[per_cent] = sum(sum(int(v).bit_count() for v in (s ^ t).view(np.uint64)) <= limit for s, t in sketches)
+    assert passed[67] <= 20 and passed[75] == 40
+
+
 def test_kept_rows_keep_their_columns(spark):
     df = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (None, "a b c d e f", "z"), (3, None, "n")], "doc_id int, text string, kept string")
     assert sorted(map(str, neardup.drop_near_duplicates(df).collect())) == sorted(map(str, df.where("doc_id IS NULL OR doc_id != 2").collect()))
